@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papercairn.llm import mix, neardup, pack, spans, split
+from papercairn.llm import knn, mix, neardup, pack, sentences, spans, split
 from papercairn.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,41 @@ SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.s =
 @query
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(read(spark, d, "documents")).drop("cls")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    v = knn.valid(read(spark, d, "vectors"), "chunk_id", "vector", 64)
+    probes = read(spark, d, "vector_probes").select(F.col("chunk_id").alias("id")).distinct()
+    return knn.nearest(v, v.join(probes, "id", "left_semi")).select(F.col("id").alias("chunk_id"), "neighbour_id")
+
+
+SQL["p5_found"] = """
+WITH v AS (SELECT DISTINCT chunk_id, vector::DOUBLE[] AS vector FROM vectors WHERE len(vector) = 64 AND (list_max(vector) > 0 OR list_min(vector) < 0)),
+  s AS (SELECT a.chunk_id, b.chunk_id AS neighbour_id, list_cosine_similarity(a.vector, b.vector) AS s
+        FROM v a JOIN v b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id IN (SELECT chunk_id FROM vector_probes))
+SELECT chunk_id, neighbour_id FROM s QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY round(s, 12) DESC, neighbour_id) <= 10
+"""
+
+
+@query
+def p5_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest of every embedding whose id is divisible by 20."""
+    v = knn.valid(read(spark, d, "embeddings"), "vec_id", "embedding", 64)
+    near = knn.nearest(v, v.filter(F.col("id") % 20 == 0))
+    return near.select(F.col("id").cast("long").alias("vec_id"), F.col("neighbour_id").cast("long").alias("neighbour_id"), "rank")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "paragraphs").select(F.col("par_uid").alias("id"), "text")
+    sample = read(spark, d, "sentence_sample").select(F.col("par_uid").alias("id")).distinct()
+    found = sentences.sentences(p.join(sample, "id", "left_semi"), sentences.train(p.select("text")))
+    return found.select(F.col("id").alias("par_uid"), F.col("end").alias("sent_end"))
+
+
+@query
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every paragraph."""
+    p = read(spark, d, "paragraphs").select(F.col("par_uid").alias("id"), "text")
+    return sentences.sentences(p, sentences.train(p.select("text"))).withColumnRenamed("id", "par_uid")
