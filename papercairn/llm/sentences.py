@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,6 @@ def _script(ch: str) -> str:
     return "other"
 
 
-@lru_cache(100_000)
 def _shape(word: str) -> str:
     if not word:
         return "none"
