@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papercairn.llm import knn, mix, neardup, pack, sentences, spans, split
+from papercairn.llm import encoding, knn, mix, neardup, pack, sentences, spans, split
 from papercairn.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,18 @@ def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence of every paragraph."""
     p = read(spark, d, "paragraphs").select(F.col("par_uid").alias("id"), "text")
     return sentences.sentences(p, sentences.train(p.select("text"))).withColumnRenamed("id", "par_uid")
+
+
+@query
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every wrongly decoded paragraph and caption, as it stands and restored."""
+    p = read(spark, d, "paragraphs")
+    texts = p.select(F.lit("paragraphs").alias("tbl"), F.col("par_uid").alias("rec_id"), "text")
+    for name, key in (("paper_tables", "table_uid"), ("paper_figures", "figure_uid")):
+        texts = texts.unionByName(read(spark, d, name).select(F.lit(name).alias("tbl"), F.col(key).alias("rec_id"), F.col("caption").alias("text")))
+    return encoding.restored(texts, p.select("text"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_restored(spark, d).select("tbl", "rec_id")
