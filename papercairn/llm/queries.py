@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papercairn.llm import encoding, knn, mix, neardup, pack, sentences, spans, split
+from papercairn.llm import encoding, knn, mix, neardup, pack, scans, sentences, spans, split
 from papercairn.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,16 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_restored(spark, d).select("tbl", "rec_id")
+
+
+@query
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every paragraph and table with damage of scanning, repaired."""
+    p = read(spark, d, "paragraphs").select(F.lit("paragraphs").alias("tbl"), F.col("par_uid").alias("rec_id"), "text", F.lit(False).alias("is_table"))
+    t = read(spark, d, "paper_tables").select(F.lit("paper_tables").alias("tbl"), F.col("table_uid").alias("rec_id"), F.col("markdown").alias("text"), F.lit(True).alias("is_table"))
+    return scans.repaired(p.unionByName(t))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_repaired(spark, d).select("tbl", "rec_id")
