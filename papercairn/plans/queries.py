@@ -5,6 +5,459 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papercairn.functions import text as X
+from papercairn.operators import corpus, documents, retrieval, tables
+from papercairn.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------------------
+
+#: Queries of the retrieval set: id, text, and what a paper's title must hold for the paper to count as an answer.
+GOLDEN = (
+    ("g1", "suction blister grafting of the eyelids", "Suction blister grafting"),
+    ("g2", "narrowband light for the knees", "Narrowband light"),
+    ("g3", "IL-17 in depigmented patients", "role of IL-17"),
+    ("g4", "vitamin B12 at baseline", "role of vitamin B12"),
+    ("g5", "the of and", "Home phototherapy"),
+    ("g6", "erythema index on the cheeks after tarolimex cream", "Tarolimex cream"),
+)
+_GOLDEN_SQL = "(VALUES " + ", ".join(f"('{q}', '{t}', '{a}')" for q, t, a in GOLDEN) + ") AS golden(qid, query, anchor)"
+_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
+
+
+def golden(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(GOLDEN), "qid string, query string, anchor string")
+
+
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with the text that is indexed: embed_text, else header and text."""
+    c = read(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return c.withColumn("body", F.coalesce("embed_text", F.concat("context_header", F.lit("\n"), "text"), "text"))
+
+
+def _terms_sql(column: str) -> str:
+    tokens = rf"regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+(?:[-/][\p{{L}}\p{{N}}]+)*')"
+    every = f"flatten(list_transform({tokens}, lambda t: CASE WHEN regexp_matches(t, '[-/]') THEN list_concat([t], regexp_split_to_array(t, '[-/]')) ELSE [t] END))"
+    return f"list_filter({every}, lambda t: length(t) > 1 AND NOT list_contains([{_STOP_SQL[1:-1]}], t))"
+
+
+_BODY_SQL = "SELECT DISTINCT ON (chunk_id) chunk_id, paper_id, section_type, kind, meta, coalesce(embed_text, context_header || chr(10) || text, text) AS body FROM chunks"
+_BM25_SQL = f"""
+c AS ({_BODY_SQL}),
+t AS (SELECT chunk_id, {_terms_sql("coalesce(body, '')")} AS t FROM c),
+n AS (SELECT count(*) AS n, coalesce(nullif(sum(len(t)) / count(*), 0), 1) AS average FROM t),
+q AS (SELECT qid, unnest(list_distinct({_terms_sql("query")})) AS term FROM golden_set),
+p AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p GROUP BY term),
+s AS (SELECT qid, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT average FROM n)))), 6) AS score FROM p JOIN w USING (term) JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s)"""
+_SET_SQL = f"golden_set AS (SELECT * FROM {_GOLDEN_SQL})"
+
+
+@query(f"WITH {_SET_SQL}, {_BM25_SQL} SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 20")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(indexed(spark, d), "chunk_id", F.col("body"), golden(spark), 20)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_topk(spark, d)
+
+
+@query(f"WITH c AS ({_BODY_SQL}), t AS (SELECT chunk_id, unnest({_terms_sql('body')}) AS term FROM c), p AS (SELECT DISTINCT chunk_id, term FROM t) SELECT term, count(*) AS df, round(ln(1 + ((SELECT count(*) FROM c) - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM p GROUP BY term")
+def idf_table(spark: SparkSession, d: str) -> DataFrame:
+    c = indexed(spark, d)
+    return retrieval.idf(retrieval.postings(c, "chunk_id", F.col("body")), c.count()).withColumn("idf", F.round("idf", 9))
+
+
+@query(f"WITH c AS ({_BODY_SQL}), t AS (SELECT chunk_id, unnest({_terms_sql('body')}) AS term FROM c) SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY ALL")
+def postings(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.postings(indexed(spark, d), "chunk_id", F.col("body"))
+
+
+_DENSE_SQL = """
+v AS (SELECT DISTINCT ON (chunk_id) chunk_id, vector::DOUBLE[] AS vector FROM vectors WHERE len(vector) = 64 AND (list_max(vector) > 0 OR list_min(vector) < 0)),
+ds AS (SELECT a.chunk_id AS qid, b.chunk_id, round(list_cosine_similarity(a.vector, b.vector), 6) AS score FROM v a CROSS JOIN v b WHERE a.chunk_id IN (SELECT chunk_id FROM vector_probes)),
+dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM ds)"""
+
+
+def probes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "vector_probes").select("chunk_id").distinct()
+
+
+@query(f"WITH {_DENSE_SQL} SELECT qid, chunk_id, score, rank FROM dr WHERE rank <= 10")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "vectors")
+    asked = v.filter(F.size("vector") == 64).join(probes(spark, d), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("qid"), "vector")
+    return retrieval.dense(v, "chunk_id", "vector", asked, 10)
+
+
+@query(f"""WITH {_DENSE_SQL}, golden_set AS (SELECT chunk_id AS qid, body AS query FROM ({_BODY_SQL}) WHERE chunk_id IN (SELECT chunk_id FROM vector_probes)), {_BM25_SQL},
+a AS (SELECT qid, chunk_id, rank AS dense_rank FROM dr WHERE rank <= 50), b AS (SELECT qid, chunk_id, rank AS bm25_rank FROM r WHERE rank <= 50),
+f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, dense_rank, bm25_rank, round(coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm25_rank), 0), 9) AS rrf FROM a FULL JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id)
+SELECT *, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, coalesce(dense_rank, 1000000000), chunk_id) AS rank FROM f) WHERE rank <= 8""".replace("SELECT *, rank FROM (", "SELECT * FROM ("))
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """More like this: each probe chunk's vector and text, both rankings fused."""
+    c, v = indexed(spark, d), read(spark, d, "vectors")
+    own = probes(spark, d)
+    vectors = v.filter(F.size("vector") == 64).join(own, "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("qid"), "vector")
+    texts = c.join(own, "chunk_id", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("body").alias("query"))
+    return retrieval.fuse(retrieval.dense(v, "chunk_id", "vector", vectors, 50), retrieval.bm25(c, "chunk_id", F.col("body"), texts, 50), "chunk_id", 8)
+
+
+_FILTER_SQL = "lower(section_type) IN ('methods', 'results') AND meta.year BETWEEN 2015 AND 2022"
+
+
+@query(f"WITH {_SET_SQL}, {_BM25_SQL}, k AS (SELECT chunk_id FROM c WHERE {_FILTER_SQL}) SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM r WHERE rank <= 5000 AND chunk_id IN (SELECT chunk_id FROM k)) WHERE rank <= 8")
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.search(indexed(spark, d), "chunk_id", F.col("body"), golden(spark), 8, retrieval.passes(section_types=["Methods", "results"], years=(2015, 2022)))
+
+
+@query(f"""WITH {_SET_SQL}, {_BM25_SQL}, h AS (SELECT qid, paper_id, min(rank) AS rank FROM r JOIN c USING (chunk_id) WHERE rank <= 50 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM h),
+x AS (SELECT DISTINCT qid, paper_id FROM golden_set, papers WHERE contains(meta.title, anchor) AND paper_id IS NOT NULL),
+f AS (SELECT qid, min(place) AS place FROM o JOIN x USING (qid, paper_id) GROUP BY qid)
+SELECT g.qid, (SELECT count(*) FROM r WHERE r.qid = g.qid AND rank <= 50) AS n_hits, f.place AS rank,
+  CASE WHEN g.qid IN (SELECT qid FROM x) THEN coalesce(place <= 8, false) END AS hit, CASE WHEN g.qid IN (SELECT qid FROM x) THEN coalesce(1 / place, 0) END AS reciprocal
+FROM golden_set g LEFT JOIN f USING (qid)""")
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """hit@8 and reciprocal rank of the golden set; answers are papers whose title holds the anchor."""
+    c = indexed(spark, d)
+    hits = retrieval.bm25(c, "chunk_id", F.col("body"), golden(spark), 50).join(c.select("chunk_id", "paper_id"), "chunk_id")
+    titles = read(spark, d, "papers").filter("paper_id IS NOT NULL AND meta.title IS NOT NULL").select("paper_id", F.col("meta.title").alias("title"))
+    g = golden(spark)
+    answers = titles.join(F.broadcast(g), F.col("title").contains(F.col("anchor"))).groupBy("qid").agg(F.collect_set("paper_id").alias("anchors"))
+    return retrieval.evaluate(hits, g.join(answers, "qid", "left").select("qid", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors")), 8)
+
+
+# ---- the collection --------------------------------------------------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT DISTINCT file, coalesce('doi:' || lower(nullif(trim(doi), '')), 'sha1:' || nullif(trim(sha1), ''), 'path:' || file) AS g FROM manifest)
+SELECT file, g AS dup_group, file = min(file) OVER (PARTITION BY g) AS is_primary FROM m""")
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.duplicate_groups(read(spark, d, "manifest"))
+
+
+@query("SELECT DISTINCT file, sha1, title_guess FROM manifest WHERE (doi IS NULL OR trim(doi) = '') AND coalesce(len(doi_candidates), 0) = 0")
+def unidentified_files(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.unidentified(read(spark, d, "manifest"))
+
+
+@query("""SELECT DISTINCT lower(trim(doi)) AS paper_id, file FROM manifest WHERE is_primary AND error IS NULL AND doi IS NOT NULL
+AND lower(trim(doi)) NOT IN (SELECT lower(trim(paper_id)) FROM papers WHERE paper_id IS NOT NULL)""")
+def work_selection(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.to_process(read(spark, d, "manifest"), read(spark, d, "papers"))
+
+
+@query("SELECT par_uid, paper_id, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY par_uid ORDER BY ingested_at DESC, paper_id) AS n FROM paragraphs) WHERE n = 1")
+def latest_delivery(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.latest(read(spark, d, "paragraphs").select("par_uid", "paper_id", "ingested_at"), "par_uid", "ingested_at")
+
+
+@query("""WITH f AS (SELECT paper_id, min(file) AS file, max(pages) AS pages, max(total_chars) AS total_chars FROM manifest WHERE is_primary GROUP BY paper_id)
+SELECT DISTINCT p.paper_id, p.source, f.file, f.pages, f.total_chars FROM papers p LEFT JOIN f USING (paper_id)""")
+def papers_with_files(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.enriched(read(spark, d, "papers"), read(spark, d, "manifest")).select("paper_id", "source", "file", "pages", "total_chars").distinct()
+
+
+@query(r"""WITH p AS (SELECT DISTINCT file, regexp_replace(regexp_replace(lower(trim(x)), '^(https?://)?(dx\.)?(doi\.org/)?(doi:\s*)?', ''), '/+', '/', 'g') AS doi FROM (SELECT file, unnest(doi_candidates) AS x FROM manifest))
+SELECT doi, count(*) AS files, count(*) >= 3 AS banned FROM p GROUP BY doi""")
+def doi_claims(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.doi_claims(read(spark, d, "manifest"))
+
+
+@query("""SELECT kind, count(*) AS papers FROM (SELECT DISTINCT paper_id, CASE WHEN regexp_matches(paper_id, '^10\\.\\d{4,9}/') THEN 'doi' WHEN paper_id LIKE 'pmid:%' THEN 'pmid' WHEN paper_id LIKE 'sha1:%' THEN 'sha1' WHEN paper_id LIKE 'file:%' THEN 'file' WHEN paper_id IS NOT NULL THEN 'other' END AS kind FROM papers) GROUP BY kind""".replace("\\\\", "\\"))
+def identity_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "papers").select("paper_id").distinct().groupBy(X.paper_key_kind(F.col("paper_id")).alias("kind")).agg(F.count(F.lit(1)).alias("papers"))
+
+
+@query("""WITH k AS (SELECT DISTINCT chunk_id, greatest(1, floor(length(text) / 4))::INT AS t, count(*) OVER () AS n FROM (SELECT DISTINCT ON (chunk_id) chunk_id, text FROM chunks WHERE text IS NOT NULL)),
+o AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, n FROM k)
+SELECT share, t AS value FROM o, (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) AS q(share) WHERE i = round_even(share * (n - 1), 0)""")
+def token_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "chunks").filter("text IS NOT NULL").dropDuplicates(["chunk_id"]).select(X.approx_tokens(F.col("text")).alias("tokens"))
+    return corpus.nearest_rank(t, "tokens", [0.0, 0.1, 0.5, 0.9, 0.99, 1.0])
+
+
+@query("SELECT kind, section_type, count(DISTINCT chunk_id) AS chunks, count(DISTINCT paper_id) AS papers FROM chunks GROUP BY GROUPING SETS ((kind), (kind, section_type), ())")
+def chunk_distribution(spark: SparkSession, d: str) -> DataFrame:
+    read(spark, d, "chunks").select("chunk_id", "paper_id", "kind", "section_type").createOrReplaceTempView("papercairn_chunks")
+    return spark.sql("SELECT kind, section_type, count(DISTINCT chunk_id) AS chunks, count(DISTINCT paper_id) AS papers FROM papercairn_chunks GROUP BY GROUPING SETS ((kind), (kind, section_type), ())")
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.signals(*(read(spark, d, t) for t in ("papers", "paragraphs", "paper_tables", "manifest")))
+
+
+_SIGNALS_SQL = r"""
+p AS (SELECT DISTINCT paper_id, sec_ord, par_ord, text, path, coalesce(text, '') AS t, path[-1] AS head FROM paragraphs),
+s1 AS (SELECT paper_id, count(DISTINCT sec_ord) AS n_sections, count(*) AS n_paragraphs, sum(length(t)) AS n_chars,
+  sum(length(regexp_replace(t, '[^\x{FFFD}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}]', '', 'g')) + len(regexp_extract_all(t, '\(cid:\d+\)'))) AS broken,
+  count(text) - count(DISTINCT text) AS duplicates,
+  sum(CASE WHEN regexp_matches(t, '(?i)^\s*(received|accepted|correspond|copyright|©|e-?mail|doi:|https?://)') THEN 1 ELSE 0 END) AS frontmatter,
+  sum(CASE WHEN regexp_matches(ltrim(t), '^\p{Ll}') AND NOT regexp_matches(ltrim(t), '^(p|n|r|t|pH|mRNA|x|e|α|β|γ|κ|µ|mg|kg|ml)([^\p{L}\p{N}]|$)') THEN 1 ELSE 0 END) AS truncated,
+  count(DISTINCT CASE WHEN head IS NOT NULL AND (regexp_matches(head, '^[\d\s.|)]+$') OR length(head) = 1 OR length(head) > 150) THEN sec_ord END) AS bad_headings FROM p GROUP BY paper_id),
+s2 AS (SELECT paper_id, count(*) AS n_tables, sum(CASE WHEN trim(coalesce(markdown, '')) = '' THEN 1 ELSE 0 END) AS empty_tables FROM (SELECT DISTINCT paper_id, table_uid, markdown FROM paper_tables) GROUP BY paper_id),
+s3 AS (SELECT paper_id, max(pages) AS pages, max(total_chars) AS total_chars, max(is_scanned_candidate) AS scanned FROM manifest WHERE paper_id IS NOT NULL GROUP BY paper_id),
+b AS (SELECT paper_id, min(source) AS source, min(abstract) AS abstract, min(meta.title) AS title FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+g AS (SELECT b.paper_id, source, title, coalesce(n_sections, 0) AS n_sections, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_chars, 0) AS n_chars, coalesce(broken, 0) AS broken, coalesce(duplicates, 0) AS duplicates, coalesce(frontmatter, 0) AS frontmatter, coalesce(truncated, 0) AS truncated, coalesce(bad_headings, 0) AS bad_headings,
+  coalesce(n_tables, 0) AS n_tables, coalesce(empty_tables, 0) AS empty_tables, coalesce(pages, 0) AS pages, coalesce(total_chars, 0) AS total_chars, coalesce(scanned, false) AS scanned FROM b LEFT JOIN s1 USING (paper_id) LEFT JOIN s2 USING (paper_id) LEFT JOIN s3 USING (paper_id))"""
+_AUDIT_SQL = f"""WITH {_SIGNALS_SQL}, a AS (SELECT paper_id, list_filter([
+  CASE WHEN total_chars > 4000 AND n_chars / total_chars < 0.12 THEN 'under_extracted' END, CASE WHEN pages >= 3 AND n_sections <= 1 THEN 'no_sections' END, CASE WHEN pages >= 4 AND n_chars < 1500 THEN 'too_little_body' END,
+  CASE WHEN broken > 3 THEN 'broken_chars' END, CASE WHEN frontmatter >= 2 THEN 'frontmatter_leak' END, CASE WHEN bad_headings >= 2 THEN 'suspicious_headings' END, CASE WHEN duplicates >= 3 THEN 'duplicate_paragraphs' END,
+  CASE WHEN truncated >= 1 THEN 'truncated_paragraphs' END, CASE WHEN empty_tables >= 1 THEN 'empty_tables' END, CASE WHEN trim(coalesce(title, '')) = '' THEN 'no_title' END], lambda x: x IS NOT NULL) AS flags FROM g)"""
+
+
+@query(f"WITH {_SIGNALS_SQL} SELECT paper_id, n_sections, n_paragraphs, n_chars, broken, duplicates, frontmatter, truncated, bad_headings, n_tables, empty_tables, pages, total_chars, scanned FROM g")
+def paper_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _signals(spark, d).select("paper_id", "n_sections", "n_paragraphs", "n_chars", "broken", "duplicates", "frontmatter", "truncated", "bad_headings", "n_tables", "empty_tables", "pages", "total_chars", "scanned")
+
+
+@query(_AUDIT_SQL + " SELECT paper_id, array_to_string(flags, ',') AS flags FROM a")
+def paper_audit(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.audit(_signals(spark, d)).select("paper_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query(_AUDIT_SQL + " SELECT flag, count(*) AS papers FROM (SELECT unnest(CASE WHEN len(flags) > 0 THEN flags ELSE ['clean'] END) AS flag FROM a) GROUP BY flag")
+def flag_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.flag_counts(corpus.audit(_signals(spark, d)))
+
+
+@query()
+def paper_quality(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.quality(_signals(spark, d))
+
+
+# ---- papers as paragraphs --------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT DISTINCT ON (par_uid) par_uid, paper_id, sec_ord, par_ord, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^ ]'))
+SELECT paper_id, par_uid, first_uid FROM (SELECT *, first_value(par_uid) OVER (PARTITION BY paper_id, t ORDER BY sec_ord, par_ord, par_uid) AS first_uid FROM p) WHERE par_uid <> first_uid""".replace("\\\\", "\\"))
+def repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return documents.repeated_paragraphs(read(spark, d, "paragraphs"))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT paper_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\d+', '#', 'g') AS text FROM paragraphs),
+n AS (SELECT count(DISTINCT coalesce(paper_id, '-')) AS n FROM paragraphs)
+SELECT text, count(paper_id) AS papers FROM p WHERE length(text) BETWEEN 1 AND 200 GROUP BY text HAVING count(paper_id) >= 2 AND count(paper_id) >= 0.05 * (SELECT n FROM n)""")
+def boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    return documents.boilerplate(read(spark, d, "paragraphs"))
+
+
+_RUNS_SQL = r"CASE WHEN len(w) >= 6 THEN list_distinct(list_transform(range(1, len(w) - 4), lambda i: array_to_string(list_slice(w, i, i + 5), ' '))) ELSE [] END"
+
+
+@query(rf"""WITH a AS (SELECT paper_id, {_RUNS_SQL} AS g FROM (SELECT paper_id, regexp_extract_all(lower(min(abstract)), '[\p{{L}}\p{{N}}]+') AS w FROM papers WHERE abstract IS NOT NULL AND paper_id IS NOT NULL GROUP BY paper_id)),
+p AS (SELECT DISTINCT ON (par_uid) paper_id, par_uid, {_RUNS_SQL} AS g FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM paragraphs WHERE text IS NOT NULL))
+SELECT p.paper_id, par_uid, len(list_intersect(p.g, a.g)) / len(p.g) AS coverage FROM p JOIN a USING (paper_id) WHERE len(p.g) > 0 AND len(list_intersect(p.g, a.g)) / len(p.g) >= 0.8""")
+def abstract_echoes(spark: SparkSession, d: str) -> DataFrame:
+    return documents.abstract_echoes(read(spark, d, "papers"), read(spark, d, "paragraphs"))
+
+
+_MARKS_SQL = r"""
+p AS (SELECT DISTINCT ON (par_uid) paper_id, par_uid, text, cited_refs FROM paragraphs WHERE text IS NOT NULL),
+m AS (SELECT paper_id, par_uid, unnest(regexp_split_to_array(regexp_replace(x, '[\[\]\s]', '', 'g'), ',')) AS x FROM (SELECT paper_id, par_uid, unnest(regexp_extract_all(text, '\[\d{1,4}(?:\s*[,–-]\s*\d{1,4})*\]')) AS x FROM p)),
+ab AS (SELECT paper_id, par_uid, CAST(regexp_extract(x, '^\d+') AS INT) AS a, CAST(coalesce(nullif(regexp_extract(x, '[-–](\d+)$', 1), ''), regexp_extract(x, '^\d+')) AS INT) AS b FROM m WHERE regexp_matches(x, '^\d{1,4}([-–]\d{1,4})?$')),
+z AS (SELECT DISTINCT paper_id, par_uid, CAST(unnest(range(a, b + 1)) AS INT) AS number FROM ab WHERE b >= a AND b - a <= 40)"""
+
+
+@query(f"WITH {_MARKS_SQL} SELECT paper_id, par_uid, number FROM z")
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    return documents.citations(read(spark, d, "paragraphs"))
+
+
+@query(f"WITH {_MARKS_SQL} SELECT paper_id, count(DISTINCT number) AS cited, max(number) AS highest, max(number) - count(DISTINCT number) AS missing FROM z GROUP BY paper_id")
+def citation_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return documents.citation_gaps(read(spark, d, "paragraphs"))
+
+
+@query(rf"""WITH {_MARKS_SQL}, l AS (SELECT DISTINCT par_uid, CAST(regexp_extract(x, '(\d+)$', 1) AS INT) AS number FROM (SELECT par_uid, unnest(cited_refs) AS x FROM p) WHERE regexp_matches(x, '\d$'))
+SELECT z.paper_id, z.par_uid, count(l.number) AS linked, count(*) - count(l.number) AS unknown FROM z LEFT JOIN l ON z.par_uid = l.par_uid AND z.number = l.number GROUP BY ALL""")
+def relinked(spark: SparkSession, d: str) -> DataFrame:
+    return documents.relinked(read(spark, d, "paragraphs"))
+
+
+def _homes_sql(table: str, key: str, refs: str) -> str:
+    return f"""WITH r AS (SELECT DISTINCT paper_id, sec_ord, par_ord, par_uid, unnest({refs}) AS id FROM paragraphs),
+h AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY paper_id, id ORDER BY sec_ord, par_ord, par_uid) = 1)
+SELECT f.paper_id, f.{key}, f.id, h.par_uid, h.sec_ord, h.par_ord FROM (SELECT DISTINCT paper_id, {key}, id FROM {table}) f LEFT JOIN h USING (paper_id, id)"""
+
+
+@query(_homes_sql("paper_tables", "table_uid", "refs_table"))
+def table_homes(spark: SparkSession, d: str) -> DataFrame:
+    return documents.float_homes(read(spark, d, "paragraphs"), read(spark, d, "paper_tables"), "table_uid", "refs_table")
+
+
+@query(_homes_sql("paper_figures", "figure_uid", "refs_figure"))
+def figure_homes(spark: SparkSession, d: str) -> DataFrame:
+    return documents.float_homes(read(spark, d, "paragraphs"), read(spark, d, "paper_figures"), "figure_uid", "refs_figure")
+
+
+def _classify_sql(t: str) -> str:
+    """The class of a normalised lower-case title."""
+    q = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    main = [k for k in X.SECTIONS if k != "back"]
+    rules = [f"WHEN {t} = '' OR regexp_matches({t}, '{X.JUNK_TITLE}') THEN 'other'", f"WHEN {t} IN ({q(X.SECTIONS['back'])}) THEN 'back'"]
+    rules += [f"WHEN {t} IN ({q(X.SECTIONS[k])}) THEN '{k}'" for k in main]
+    rules += [f"WHEN regexp_matches({t}, '^({X._any_of(X.SECTIONS[k])})') THEN '{k}'" for k in [*main, "back"]]
+    last = rf"regexp_extract({t}, '([\p{{L}}\p{{N}}_-]+)$', 1)"
+    rules += [f"WHEN {last} IN ({q([w for w, k in X.LAST_WORDS.items() if k == kind])}) THEN '{kind}'" for kind in dict.fromkeys(X.LAST_WORDS.values())]
+    return "CASE " + " ".join(rules) + " ELSE 'other' END"
+
+
+_TITLE_SQL = r"lower(regexp_replace(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '(?i)^\s*(\d+(\.\d+)*|[ivxlcdm]+|[a-z])[.)]\s+', ''), '^[ :.\-—–\t]+|[ :.\-—–\t]+$', '', 'g'))"
+_SECTIONS_SQL = f"""
+h AS (SELECT paper_id, sec_ord, min(path) AS path FROM paragraphs GROUP BY ALL),
+parts AS (SELECT paper_id, sec_ord, i, {_TITLE_SQL} AS t FROM (SELECT paper_id, sec_ord, unnest(path) AS x, unnest(range(1, len(path) + 1)) AS i FROM h) WHERE x IS NOT NULL AND trim(x) <> ''),
+kinds AS (SELECT paper_id, sec_ord, i, {_classify_sql('t')} AS k, row_number() OVER (PARTITION BY paper_id, sec_ord ORDER BY i) AS n FROM parts WHERE NOT regexp_matches(t, '{X.JUNK_TITLE}')),
+one AS (SELECT coalesce(paper_id, '-') AS pk, sec_ord, coalesce(max(CASE WHEN n = 1 AND k <> 'other' THEN k END), arg_max(CASE WHEN k <> 'other' THEN k END, CASE WHEN k <> 'other' THEN i END)) AS own FROM kinds GROUP BY ALL),
+sec AS (SELECT paper_id, sec_ord, coalesce(own, 'other') AS own FROM h LEFT JOIN one ON coalesce(h.paper_id, '-') = one.pk AND h.sec_ord = one.sec_ord)""".replace("h LEFT JOIN one ON coalesce(h.paper_id, '-') = one.pk AND h.sec_ord = one.sec_ord", "h LEFT JOIN (SELECT pk, sec_ord AS so, own FROM one) ON coalesce(paper_id, '-') = pk AND sec_ord IS NOT DISTINCT FROM so")
+
+
+@query(f"WITH {_SECTIONS_SQL} SELECT paper_id, sec_ord, own FROM sec")
+def section_types(spark: SparkSession, d: str) -> DataFrame:
+    return documents.sections(read(spark, d, "paragraphs")).select("paper_id", "sec_ord", "own")
+
+
+@query(f"""WITH {_SECTIONS_SQL}, k AS (SELECT *, CASE WHEN own IN ('intro', 'methods', 'results', 'discussion') THEN own END AS known FROM sec),
+w AS (SELECT *, last_value(known IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY sec_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last, list_distinct(list(known) OVER (PARTITION BY paper_id)) AS types FROM k)
+SELECT paper_id, sec_ord, own, CASE WHEN own = 'other' AND len(list_filter(types, lambda x: x IS NOT NULL)) >= 2 AND list_has_any(types, ['methods', 'results']) THEN coalesce(last, 'other') ELSE own END AS section_type FROM w""")
+def carried_sections(spark: SparkSession, d: str) -> DataFrame:
+    return documents.carried_sections(read(spark, d, "paragraphs"))
+
+
+@query()
+def chunked_papers(spark: SparkSession, d: str) -> DataFrame:
+    return documents.chunk_papers(read(spark, d, "paragraphs"), read(spark, d, "papers"))
+
+
+@query()
+def markdown_view(spark: SparkSession, d: str) -> DataFrame:
+    return documents.markdown_view(read(spark, d, "paragraphs"))
+
+
+@query(r"""WITH a AS (SELECT paper_id, 'abstract' AS key, min(abstract) AS text FROM papers WHERE abstract IS NOT NULL AND paper_id IS NOT NULL GROUP BY paper_id),
+p AS (SELECT DISTINCT ON (par_uid) * FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^ ]')),
+h AS (SELECT paper_id, 'h:' || lower(x) AS key, min(x) AS text FROM (SELECT paper_id, unnest(path) AS x FROM p) WHERE trim(coalesce(x, '')) <> '' GROUP BY paper_id, lower(x))
+SELECT * FROM a UNION ALL SELECT * FROM h UNION ALL SELECT paper_id, 'p:' || par_uid, text FROM p""")
+def translation_units(spark: SparkSession, d: str) -> DataFrame:
+    return documents.units(read(spark, d, "paragraphs"), read(spark, d, "papers"))
+
+
+# ---- tables and boxes ------------------------------------------------------------------------------------------------
+
+_SEP_SQL = r"regexp_matches(trim(x), '^\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?$')"
+_ROWS_SQL = rf"""
+t AS (SELECT DISTINCT table_uid, caption, markdown FROM paper_tables),
+l AS (SELECT table_uid, x, i, {_SEP_SQL} AS sep FROM (SELECT table_uid, unnest(regexp_split_to_array(coalesce(markdown, ''), '\r\n|\n')) AS x, unnest(range(1, len(regexp_split_to_array(coalesce(markdown, ''), '\r\n|\n')) + 1)) AS i FROM t) WHERE trim(x) <> ''),
+w AS (SELECT table_uid, i, row_number() OVER (PARTITION BY table_uid ORDER BY i) - 1 AS row, string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|') AS c FROM l WHERE NOT sep)"""
+
+
+@query(rf"""WITH {_ROWS_SQL}, s AS (SELECT table_uid, count(*) AS n_rows, max(len(c)) AS n_cols, min(len(c)) AS least FROM w GROUP BY table_uid),
+k AS (SELECT DISTINCT table_uid FROM t), e AS (SELECT table_uid, count(*) AS n_lines, bool_or(sep) AS has FROM l GROUP BY table_uid)
+SELECT table_uid, coalesce(n_rows, 0) AS n_rows, coalesce(n_cols, 0) AS n_cols, greatest(0, coalesce(n_rows, 0) - 1) AS data_rows,
+  array_to_string(list_filter([CASE WHEN n_lines IS NULL THEN 'empty' END, CASE WHEN n_lines > 0 AND NOT has THEN 'no_separator' END, CASE WHEN n_lines > 0 AND coalesce(n_rows, 0) <= 1 THEN 'no_data_rows' END, CASE WHEN n_lines > 0 AND n_cols = 1 THEN 'single_column' END,
+    CASE WHEN n_lines > 0 AND n_cols <> least THEN 'ragged_columns' END, CASE WHEN n_lines > 0 AND n_cols >= 12 AND n_rows <= 2 THEN 'collapsed' END], lambda x: x IS NOT NULL), ',') AS problems
+FROM k LEFT JOIN s USING (table_uid) LEFT JOIN e USING (table_uid)""")
+def markdown_check(spark: SparkSession, d: str) -> DataFrame:
+    return tables.check(read(spark, d, "paper_tables")).withColumn("problems", F.array_join("problems", ","))
+
+
+@query(rf"WITH {_ROWS_SQL} SELECT table_uid, row, unnest(range(0, len(c))) AS col, trim(unnest(c)) AS value, row = 0 AS is_header FROM w")
+def table_grid(spark: SparkSession, d: str) -> DataFrame:
+    return tables.grid(read(spark, d, "paper_tables"))
+
+
+@query()
+def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every table's Markdown read into cells and written again, one separator row each."""
+    return tables.to_markdown(tables.grid(read(spark, d, "paper_tables")))
+
+
+@query("SELECT DISTINCT t.table_uid FROM t LEFT JOIN (SELECT table_uid, count(*) AS n FROM w GROUP BY table_uid) USING (table_uid) WHERE coalesce(n, 0) <= 1 AND length(trim(coalesce(caption, ''))) < 15".join(["WITH " + _ROWS_SQL + " ", ""]))
+def empty_tables(spark: SparkSession, d: str) -> DataFrame:
+    return tables.empty_tables(read(spark, d, "paper_tables"))
+
+
+_CAPTIONS = r"(?i)^\s*(suppl(?:ementary|\.)?\s+)?(table|tab|figure|fig)\.?\s*(S?)(\d{1,3}|[ivx]{1,4})\b[.:)]?\s*"
+
+
+@query(rf"""WITH c AS (SELECT DISTINCT 'table' AS tbl, table_uid AS uid, caption FROM paper_tables UNION SELECT 'figure', figure_uid, caption FROM paper_figures),
+p AS (SELECT *, lower(regexp_extract(caption, '{_CAPTIONS}', 2)) AS word, regexp_extract(caption, '(?i)^\s*(?:table|tab|figure|fig)\.?\s*(\d{{1,3}}|[ivx]{{1,4}})\b', 1) AS n FROM c)
+SELECT uid, CASE WHEN word LIKE 't%' THEN 'table' WHEN word LIKE 'f%' THEN 'figure' END AS kind,
+  CASE WHEN regexp_matches(n, '^\d+$') THEN CAST(n AS INT) WHEN n <> '' THEN nullif(list_position(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV'], upper(n)), 0) END AS number,
+  trim(regexp_replace(caption, '{_CAPTIONS}', '')) AS description FROM p""")
+def caption_parts(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "paper_tables").select(F.col("table_uid").alias("uid"), "caption").distinct()
+    f = read(spark, d, "paper_figures").select(F.col("figure_uid").alias("uid"), "caption").distinct()
+    return t.unionByName(f).withColumn("p", X.caption_parts(F.col("caption"))).select("uid", "p.kind", "p.number", "p.description")
+
+
+_BOXES_SQL = """
+b AS (SELECT DISTINCT paper_id, table_uid, pdf_span.page AS page, least(pdf_span.x0, pdf_span.x1) AS x0, least(pdf_span.y0, pdf_span.y1) AS y0, greatest(pdf_span.x0, pdf_span.x1) AS x1, greatest(pdf_span.y0, pdf_span.y1) AS y1 FROM paper_tables WHERE pdf_span IS NOT NULL),
+e AS (SELECT *, max(y1) OVER (PARTITION BY paper_id, page ORDER BY y0, y1, table_uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM b),
+bands AS (SELECT *, sum(CASE WHEN upto IS NULL OR y0 > upto THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id, page ORDER BY y0, y1, table_uid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM e)"""
+
+
+@query(f"WITH {_BOXES_SQL} SELECT paper_id, page, band, min(y0) AS y0, max(y1) AS y1, count(*) AS boxes FROM bands GROUP BY ALL")
+def merged_bands(spark: SparkSession, d: str) -> DataFrame:
+    return tables.merged_bands(tables.boxes(read(spark, d, "paper_tables")))
+
+
+@query(f"""WITH {_BOXES_SQL}, o AS (SELECT a.paper_id, a.page, a.table_uid AS first, b.table_uid AS second, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS area,
+  least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS least FROM b a JOIN b ON a.paper_id = b.paper_id AND a.page = b.page AND a.table_uid < b.table_uid) SELECT paper_id, page, first, second, area / least AS share FROM o WHERE least > 0 AND area > 0""")
+def overlapping_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return tables.overlapping(tables.boxes(read(spark, d, "paper_tables")))
+
+
+# ---- text functions --------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT DISTINCT paper_id, regexp_replace(coalesce(meta.title, ''), '[^-_.\p{L}\p{N}]', '_', 'g') AS name FROM papers WHERE meta.title <> ''""")
+def title_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "papers").filter("meta.title <> ''").select("paper_id", X.slug(F.col("meta.title")).alias("name")).distinct()
+
+
+@query(r"""SELECT DISTINCT file, nullif(lower(regexp_replace(regexp_extract(title_guess || ' ' || coalesce(doi, ''), '10\.\d{4,9}/[^\s"<>]+'), '[).,;:\]]+$', '')), '') AS doi FROM manifest WHERE title_guess IS NOT NULL""")
+def printed_dois(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "manifest").filter("title_guess IS NOT NULL")
+    return m.select("file", X.clean_doi(F.concat("title_guess", F.lit(" "), F.coalesce("doi", F.lit("")))).alias("doi")).distinct()
+
+
+@query(r"""SELECT DISTINCT par_uid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+([,;)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '(\d)\s+%', '\1%', 'g'), '\](,\s*|\s+)\[', '][', 'g'), '\(\s*\)', '', 'g') AS text FROM paragraphs WHERE text IS NOT NULL""")
+def tidy_punctuation(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "paragraphs").filter("text IS NOT NULL").select("par_uid", X.tidy_punctuation(F.col("text")).alias("text")).distinct()
+
+
+@query(r"""SELECT DISTINCT doc_id, length(regexp_replace(text, '[^\p{N}]', '', 'g')) / length(text) > 0.3 AND length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) < 0.55 AND length(text) >= 20 AS junk FROM documents WHERE length(text) > 0""")
+def junk_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").filter(F.char_length("text") > 0).select("doc_id", X.is_junk_sentence(F.col("text")).alias("junk")).distinct()
+
+
+@query(r"""WITH w AS (SELECT DISTINCT ON (c.chunk_id) c.chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(context_header), '[\p{L}\p{N}]+') AS b FROM chunks c WHERE text IS NOT NULL AND context_header IS NOT NULL),
+k AS (SELECT chunk_id, len(a) AS la, len(b) AS lb, list_sum(list_transform(list_distinct(b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS common FROM w)
+SELECT chunk_id, coalesce(common, 0)::INT AS common, CASE WHEN lb > 0 THEN coalesce(common, 0) / lb END AS precision, CASE WHEN la > 0 THEN coalesce(common, 0) / la END AS recall FROM k""")
+def lexical_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How far the words of a chunk's header stand in its text, as multisets."""
+    c = read(spark, d, "chunks").filter("text IS NOT NULL AND context_header IS NOT NULL").dropDuplicates(["chunk_id"])
+    return c.select("chunk_id", corpus.lexical_agreement(X.words(F.col("context_header")), X.words(F.col("text"))).alias("x")).select("chunk_id", "x.*")
+
+
+@query(r"""SELECT DISTINCT paper_id, trim(regexp_replace(strip_accents(lower(meta.authors[1])), '[^\p{L}\p{N}]+', ' ', 'g')) AS author FROM papers WHERE len(meta.authors) > 0""")
+def author_keys(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "papers").filter(F.size("meta.authors") > 0).select("paper_id", X.ascii_key(F.get("meta.authors", 0)).alias("author")).distinct()
