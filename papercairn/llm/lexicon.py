@@ -10,17 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def counts(texts: DataFrame, tokens: Callable[[str], dict[str, Counter] | Counter], share: float = 1e-6, least: int = 3, kinds: int = 1) -> dict[str, tuple[int, ...]]:
+def counts(texts: DataFrame, tokens: Callable[[str], dict[str, Counter] | Counter], share: float = 1e-6, least: int = 3, kinds: int = 1, apart: bool = False) -> dict[str, tuple[int, ...]]:
     """For every word that makes up the share `share` of all words or more, and occurs `least` times or more, its counts
     of each of `kinds` kinds over all texts (the first column of `texts`). tokens(text) lists the words of each kind;
-    the first kind is all occurrences. At most 1 / share words can be so frequent, at any size: that bounds the result,
+    the first kind is all occurrences. With `apart`, what white space parts is counted first and tokens() then applied to
+    each different piece once. At most 1 / share words can be so frequent, at any size: that bounds the result,
     which the caller may broadcast. Words are counted within tasks first, so a frequent word is no hot key."""
     column = texts.columns[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Counter() for _ in range(kinds)]
+        raw: Counter = Counter()
 
         def out() -> pa.RecordBatch:
+            for piece, n in raw.items():
+                for c, found in zip(own, tokens(piece)):
+                    for word in found:
+                        c[word] += n
+            raw.clear()
             words = list(own[0].keys() | set().union(*own[1:])) if kinds > 1 else list(own[0])
             batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in own)], ["word", *(f"n{i}" for i in range(kinds))])
             for c in own:
@@ -29,10 +36,12 @@ def counts(texts: DataFrame, tokens: Callable[[str], dict[str, Counter] | Counte
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                if text:
+                if text and apart:
+                    raw.update(text.split())
+                elif text:
                     for c, found in zip(own, tokens(text)):
                         c.update(found)
-            if len(own[0]) > 300_000:
+            if len(own[0]) + len(raw) > 300_000:
                 yield out()
         yield out()
 
