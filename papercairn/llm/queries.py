@@ -81,6 +81,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mix.report(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+@query
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document stands in each plan's mixture; documents that don't are left out."""
+    sized = mix.sized(read(spark, d, "documents"))
+    return mix.mixture(sized, mix.rates(sized, read(spark, d, "mix_targets"))).filter("copies > 0")
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).filter("unreachable").select("plan_id", "source")
@@ -109,9 +116,18 @@ SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.s =
 """
 
 
+@query
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every longest shared span, between one document of each text; p9_coverage has the class of every document."""
+    found, members = spans.shared(read(spark, d, "documents"))
+    first = members.groupBy("cls").agg(F.min("doc_id").alias("doc"))
+    a, b = first.select(F.col("cls").alias("cls_a"), F.col("doc").alias("doc_a")), first.select(F.col("cls").alias("cls_b"), F.col("doc").alias("doc_b"))
+    return found.join(a, "cls_a").join(b, "cls_b").select("doc_a", "doc_b", "start_a", "start_b", "length")
+
+
 @query
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return spans.coverage(read(spark, d, "documents")).drop("cls")
+    return spans.coverage(read(spark, d, "documents"))
 
 
 @query
