@@ -208,3 +208,16 @@ def overlaid(unit: DataFrame, cache: DataFrame) -> DataFrame:
     numbers = lambda t: F.array_sort(F.regexp_extract_all(t, F.lit(r"\[(\d+)\]"), 1))
     good = F.col("other").isNotNull() & (numbers(F.col("other")) == numbers(F.col("text")))
     return unit.join(c, ["paper_id", "key"], "left").select("paper_id", "key", F.when(good, F.col("other")).otherwise(F.col("text")).alias("text"), good.alias("translated"))
+
+
+def repaired_symbols(paragraphs: DataFrame) -> DataFrame:
+    """(paper_id, par_uid, text): paragraphs in which codes of a symbol font stand for signs, with the signs. A letter between
+    digits is a point anywhere; equals and plus are put only in papers that show somewhere that their fractions are no
+    fractions (P ¼ .05), so that About ¼ stays."""
+    p = distinct_paragraphs(paragraphs).filter("text IS NOT NULL").select("paper_id", "par_uid", "text")
+    sign = r"(\p{L}|\)) ¼ (?=[\d.−-])"
+    shown = p.filter(F.col("text").rlike(sign)).select("paper_id").distinct().withColumn("shown", F.lit(True))
+    point = F.regexp_replace("text", r"(?<=\d)Á(?=\d)", "·")
+    gated = F.regexp_replace(F.regexp_replace(point, sign, "$1 = "), r"(?<=[\p{L}\p{N}]) þ ", " + ")
+    out = p.join(shown, "paper_id", "left").select("paper_id", "par_uid", F.col("text").alias("before"), F.when(F.col("shown"), gated).otherwise(point).alias("text"))
+    return out.filter("text <> before").drop("before")

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
-from papercairn.operators import corpus, documents, retrieval, tables
-from papercairn.tables import read
+from papercairn.functions import python as P
+from papercairn.functions.encoders import encode
+from papercairn.operators import corpus, documents, joins, retrieval, tables
+from papercairn.sources import files, sinks
+from papercairn.streaming import ingest
+from papercairn.tables import read, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -461,3 +465,83 @@ def lexical_agreement(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT DISTINCT paper_id, trim(regexp_replace(strip_accents(lower(meta.authors[1])), '[^\p{L}\p{N}]+', ' ', 'g')) AS author FROM papers WHERE len(meta.authors) > 0""")
 def author_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "papers").filter(F.size("meta.authors") > 0).select("paper_id", X.ascii_key(F.get("meta.authors", 0)).alias("author")).distinct()
+
+
+@query("""WITH t AS (SELECT DISTINCT ON (table_uid) table_uid, paper_id, ingested_at FROM paper_tables WHERE paper_id IS NOT NULL ORDER BY table_uid, ingested_at),
+p AS (SELECT paper_id, ingested_at, max(par_uid) AS par_uid FROM paragraphs WHERE paper_id IS NOT NULL GROUP BY ALL)
+SELECT t.table_uid, p.par_uid FROM t ASOF LEFT JOIN p ON t.paper_id = p.paper_id AND t.ingested_at >= p.ingested_at""")
+def arrived_before(spark: SparkSession, d: str) -> DataFrame:
+    """The paragraph of its paper that arrived last before each table."""
+    t = read(spark, d, "paper_tables").filter("paper_id IS NOT NULL").groupBy("table_uid").agg(F.min_by(F.struct("paper_id", "ingested_at"), "ingested_at").alias("r")).select("table_uid", "r.*")
+    p = read(spark, d, "paragraphs").filter("paper_id IS NOT NULL").select("paper_id", F.col("ingested_at").alias("at"), "par_uid")
+    return joins.as_of(t, p, "paper_id", "ingested_at", "at", ["par_uid"]).select("table_uid", "par_uid")
+
+
+@query(r"""WITH p AS (SELECT DISTINCT ON (par_uid) paper_id, par_uid, text FROM paragraphs WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT paper_id FROM p WHERE regexp_matches(text, '(\p{L}|\)) ¼ [\d.−-]')),
+a AS (SELECT p.paper_id, par_uid, text, regexp_replace(regexp_replace(text, '(\d)Á(\d)', '\1·\2', 'g'), '(\d)Á(\d)', '\1·\2', 'g') AS point, s.paper_id IS NOT NULL AS shown FROM p LEFT JOIN s ON p.paper_id = s.paper_id),
+b AS (SELECT *, CASE WHEN shown THEN regexp_replace(regexp_replace(point, '(\p{L}|\)) ¼ ([\d.−-])', '\1 = \2', 'g'), '([\p{L}\p{N}]) þ ', '\1 + ', 'g') ELSE point END AS good FROM a)
+SELECT paper_id, par_uid, good AS text FROM b WHERE good <> text""")
+def repaired_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return documents.repaired_symbols(read(spark, d, "paragraphs"))
+
+
+@query(rf"""WITH s AS (SELECT DISTINCT paper_id, text, unnest({_RUNS_SQL}) AS g FROM (SELECT DISTINCT ON (doc_id) paper_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 25),
+c AS (SELECT DISTINCT paper_id, unnest({_RUNS_SQL}) AS g FROM (SELECT paper_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM paragraphs WHERE text IS NOT NULL)),
+v AS (SELECT s.paper_id, s.text, count(c.g) / count(*) AS coverage FROM s LEFT JOIN c ON s.paper_id = c.paper_id AND s.g = c.g GROUP BY ALL)
+SELECT * FROM v WHERE coverage < 0.5""")
+def missing_prose(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of documents that the paragraphs of their paper hardly have."""
+    source = read(spark, d, "documents").select("paper_id", "text").distinct()
+    return documents.missing_prose(source, read(spark, d, "paragraphs"), "paper_id")
+
+
+@query()
+def normalized_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "paragraphs").filter("text IS NOT NULL").select("par_uid", P.norm_text(F.col("text")).alias("text")).dropDuplicates(["par_uid"])
+
+
+@query()
+def hashed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A feature-hashed vector of each chunk."""
+    return indexed(spark, d).select("chunk_id", encode(F.col("body"), "hash", 256).alias("vector"))
+
+
+@query()
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading as printed, joined where its capitals are set apart, and without its number."""
+    h = read(spark, d, "paragraphs").select(F.explode("path").alias("printed")).filter("printed IS NOT NULL").distinct()
+    return h.select("printed", P.despace_heading(F.col("printed")).alias("joined")).select("printed", "joined", X.normalize_title(F.col("joined")).alias("title"), X.classify_section(F.col("joined")).alias("section_type"))
+
+
+@query(f"WITH {_SET_SQL}, {_BM25_SQL} SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 8")
+def saved_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index written, read again, and asked."""
+    c, at = indexed(spark, d), f"{shared_dir(spark)}/index-{abs(hash(d))}"
+    sinks.save_index(retrieval.postings(c, "chunk_id", F.col("body")), retrieval.lengths(c, "chunk_id", F.col("body")), at)
+    return sinks.index_search(sinks.load_index(spark, at), "chunk_id", golden(spark), 8)
+
+
+@query("SELECT section_type, count(*) AS paragraphs FROM (SELECT DISTINCT par_uid, section_type FROM paragraphs) GROUP BY section_type")
+def streamed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs taken in as a stream, each key once, and counted."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    static = read(spark, d, "paragraphs")
+    stream = ingest.arrivals(spark, f"{d}/paragraphs*.parquet", static.schema)
+    ingest.into(ingest.once_each(stream, "par_uid", "ingested_at", "3650 days"), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("section_type").agg(F.count(F.lit(1)).alias("paragraphs"))
+
+
+@query()
+def nested_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs, figures and tables nested into canonical documents and taken apart again: rows of each kind per paper."""
+    p = documents.distinct_paragraphs(read(spark, d, "paragraphs")).filter("paper_id IS NOT NULL")
+    papers = read(spark, d, "papers").filter("paper_id IS NOT NULL").dropDuplicates(["paper_id"])
+    f = read(spark, d, "paper_figures").dropDuplicates(["figure_uid"]).select("paper_id", F.col("figure_uid").alias("ord"), "id", "caption", "image")
+    t = read(spark, d, "paper_tables").dropDuplicates(["table_uid"]).select("paper_id", F.col("table_uid").alias("ord"), "id", "caption", "markdown", "source", "graphic", "footnote")
+    none = spark.createDataFrame([], "paper_id string, ord string, key string, number int, doi string, pmid string, title string, year int, journal string, authors array<string>, raw string, source string")
+    docs = files.nested({"papers": papers, "paragraphs": p.select("paper_id", "sec_ord", "par_ord", "path", "section_type", "id", "text", "cited_refs", "cited_keys", "refs_figure", "refs_table"), "figures": f, "tables": t, "references": none})
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return docs.select("paper_id", n("body_text").alias("sections"), F.coalesce(F.aggregate("body_text", F.lit(0), lambda a, s: a + F.size(s["paragraphs"])), F.lit(0)).alias("paragraphs"), n("figures").alias("figures"), n("tables").alias("tables"))
