@@ -147,8 +147,9 @@ def dehyphenate(text: Column) -> Column:
 
 def citation_numbers(marker: Column) -> Column:
     """The numbers a printed marker stands for: 3,5 and 12-14 give 3, 5, 12, 13, 14. Ranges of more than 40 or backwards
-    are left out, as is all else."""
-    parts = F.filter(F.split(F.regexp_replace(marker, r"[\[\]()\s]", ""), ","), lambda p: p.rlike(r"^\d{1,4}([-–]\d{1,4})?$"))
+    are left out; a marker with anything else in it, as of author and year, gives none."""
+    plain = F.when(marker.rlike(r"^[\d,–\-\s\[\]()]*$"), F.regexp_replace(marker, r"[\[\]()\s]", "")).otherwise(F.lit(""))
+    parts = F.filter(F.split(plain, ","), lambda p: p.rlike(r"^\d{1,4}([-–]\d{1,4})?$"))
 
     def numbers(p: Column) -> Column:
         a = F.regexp_extract(p, r"^(\d+)", 1).cast("int")
