@@ -106,6 +106,16 @@ def l2_normalized(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
+def common_words(a: Column, b: Column) -> Column:
+    """How many words two texts have in common, each as often as it stands in both; 0 where one is null."""
+
+    def work(a: pd.Series, b: pd.Series) -> pd.Series:
+        bag = lambda t: Counter(_WORD.findall(t.lower())) if isinstance(t, str) else Counter()
+        return pd.Series([(bag(x) & bag(y)).total() for x, y in zip(a, b)], dtype="int64")
+
+    return F.pandas_udf(work, "bigint")(a, b)
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """0 to 100: the greater of the edit ratio of both beginnings (160 characters at most) and that of the shorter with the
     window of the longer it fits best."""

@@ -42,6 +42,11 @@ WORD = r"[\p{L}\p{N}]+"
 TERM = r"[\p{L}\p{N}]+(?:[-/][\p{L}\p{N}]+)*"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value worked out once a row: in a lambda an expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Runs of blanks and tabs as one blank; none at the ends. Line ends stay."""
     return F.trim(F.regexp_replace(text, r"[ \t]+", " "))
@@ -179,14 +184,18 @@ def terms(text: Column) -> Column:
 
 def shingles(tokens: Column, n: int) -> Column:
     """Distinct runs of n tokens, each joined with blanks; none if there are fewer."""
-    size = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(size >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        size = F.size(t)
+        every = F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(size >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def coverage(part: Column, whole: Column) -> Column:
     """The share of the distinct elements of `part` that `whole` has; 0 if there are none."""
-    return F.when(F.size(F.array_distinct(part)) > 0, F.size(F.array_intersect(part, whole)) / F.size(F.array_distinct(part))).otherwise(F.lit(0.0))
+    return let(F.array_distinct(part), lambda p: F.when(F.size(p) > 0, F.size(F.array_intersect(p, whole)) / F.size(p)).otherwise(F.lit(0.0)))
 
 
 def ascii_key(text: Column) -> Column:

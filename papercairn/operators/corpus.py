@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
+from papercairn.functions.python import common_words
 
 #: What each flag takes off a paper's score, and which flags fail it whatever the score.
 PENALTIES = {"scanned_no_text_layer": 0.5, "no_sections": 0.4, "char_corruption": 0.2, "abstract_is_body_first_paragraph": 0.3, "abstract_title_zero_overlap": 0.3, "doi_unresolved": 0.5}
@@ -78,10 +79,11 @@ def resolved_dois(manifest: DataFrame, papers: DataFrame, least: int = 90) -> Da
 
 
 def lexical_agreement(left: Column, right: Column) -> Column:
-    """struct(common, precision, recall) of two word lists as multisets: what they have in common, as a share of each."""
-    common = F.aggregate(F.array_distinct(left), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(left, lambda x: x == w)), F.size(F.filter(right, lambda x: x == w))))
-    share = lambda c: F.when(F.size(c) > 0, common / F.size(c))
-    return F.struct(common.alias("common"), share(left).alias("precision"), share(right).alias("recall"))
+    """struct(common, precision, recall) of the words of two texts as multisets: what they have in common, as a share of each;
+    null for a text without words."""
+    common = common_words(left, right)
+    share = lambda t: F.when(F.size(X.words(F.coalesce(t, F.lit("")))) > 0, common / F.size(X.words(F.coalesce(t, F.lit("")))))
+    return F.struct(common.cast("int").alias("common"), share(left).alias("precision"), share(right).alias("recall"))
 
 
 def signals(papers: DataFrame, paragraphs: DataFrame, tables: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -221,3 +221,44 @@ def repaired_symbols(paragraphs: DataFrame) -> DataFrame:
     gated = F.regexp_replace(F.regexp_replace(point, sign, "$1 = "), r"(?<=[\p{L}\p{N}]) þ ", " + ")
     out = p.join(shown, "paper_id", "left").select("paper_id", "par_uid", F.col("text").alias("before"), F.when(F.col("shown"), gated).otherwise(point).alias("text"))
     return out.filter("text <> before").drop("before")
+
+
+def split_table(caption: str, markdown: str, most: int) -> list[str]:
+    """A table as texts of up to `most` tokens: its rows in order, each part with the caption and the header repeated unless
+    these fill half of it; a row that is too long is cut at its characters."""
+    rows = [r for r in markdown.split("\n") if r.strip()]
+    n = 2 if len(rows) > 1 and set(rows[1].strip()) <= set("|-: ") else min(1, len(rows))
+    head = "\n".join(filter(None, [caption and f"{caption}\n", *rows[:n]]))
+    whole = "\n".join([head, *rows[n:]]) if rows[n:] else head
+    if len(whole) // 4 <= most:
+        return [whole] if whole.strip() else []
+    if len(head) // 4 > most // 2:
+        head, rest = "", [r for line in ([caption] if caption else []) + rows for r in (line[i : i + 4 * most] for i in range(0, len(line), 4 * most))]
+    else:
+        room = 4 * most - len(head) - 1
+        rest = [line[i : i + room] for line in rows[n:] for i in range(0, len(line), room)]
+    out: list[list[str]] = []
+    for r in rest:
+        if not out or (len(head) + 1 + sum(len(x) + 1 for x in out[-1]) + len(r)) // 4 > most:
+            out.append([])
+        out[-1].append(r)
+    return ["\n".join(filter(None, [head, *part])) for part in out]
+
+
+def float_chunks(tables: DataFrame, figures: DataFrame, papers: DataFrame, most: int = 700) -> DataFrame:
+    """(paper_id, kind, uid, part, text, n_tokens): chunks of what stands outside the sections: abstracts, tables by rows, and
+    figures by their captions. Empty ones give none."""
+    a = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("abstract").alias("text")).select("paper_id", F.lit("abstract").alias("kind"), F.col("paper_id").alias("uid"), "text", F.lit("").alias("markdown"))
+    t = tables.select("paper_id", F.lit("table").alias("kind"), F.col("table_uid").alias("uid"), F.col("caption").alias("text"), "markdown").dropDuplicates(["uid"])
+    f = figures.select("paper_id", F.lit("figure").alias("kind"), F.col("figure_uid").alias("uid"), F.col("caption").alias("text"), F.lit("").alias("markdown")).dropDuplicates(["uid"])
+
+    def work(batches):
+        for b in batches:
+            rows = []
+            for p, kind, uid, text, markdown in b.itertuples(index=False):
+                text, markdown = text or "", markdown or ""
+                parts = split_table(text.strip(), markdown, most) if kind == "table" else split_long(text.strip(), most, most, 2) if text.strip() else []
+                rows += [(p, kind, uid, k, x, max(1, len(x) // 4)) for k, x in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["paper_id", "kind", "uid", "part", "text", "n_tokens"])
+
+    return a.unionByName(t).unionByName(f).mapInPandas(work, "paper_id string, kind string, uid string, part int, text string, n_tokens int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from papercairn.functions import text as X
 from papercairn.functions import python as P
 from papercairn.functions.encoders import encode
-from papercairn.operators import corpus, documents, joins, retrieval, tables
+from papercairn.operators import captions, corpus, documents, joins, retrieval, tables
 from papercairn.sources import files, sinks
 from papercairn.streaming import ingest
 from papercairn.tables import read, shared_dir
@@ -459,7 +459,7 @@ SELECT chunk_id, coalesce(common, 0)::INT AS common, CASE WHEN lb > 0 THEN coale
 def lexical_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How far the words of a chunk's header stand in its text, as multisets."""
     c = read(spark, d, "chunks").filter("text IS NOT NULL AND context_header IS NOT NULL").dropDuplicates(["chunk_id"])
-    return c.select("chunk_id", corpus.lexical_agreement(X.words(F.col("context_header")), X.words(F.col("text"))).alias("x")).select("chunk_id", "x.*")
+    return c.select("chunk_id", corpus.lexical_agreement(F.col("context_header"), F.col("text")).alias("x")).select("chunk_id", "x.*")
 
 
 @query(r"""SELECT DISTINCT paper_id, trim(regexp_replace(strip_accents(lower(meta.authors[1])), '[^\p{L}\p{N}]+', ' ', 'g')) AS author FROM papers WHERE len(meta.authors) > 0""")
@@ -545,3 +545,115 @@ def nested_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = files.nested({"papers": papers, "paragraphs": p.select("paper_id", "sec_ord", "par_ord", "path", "section_type", "id", "text", "cited_refs", "cited_keys", "refs_figure", "refs_table"), "figures": f, "tables": t, "references": none})
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     return docs.select("paper_id", n("body_text").alias("sections"), F.coalesce(F.aggregate("body_text", F.lit(0), lambda a, s: a + F.size(s["paragraphs"])), F.lit(0)).alias("paragraphs"), n("figures").alias("figures"), n("tables").alias("tables"))
+
+
+# ---- captions, abstracts, references ---------------------------------------------------------------------------------
+
+_FLOATS_SQL = r"""
+c AS (SELECT DISTINCT paper_id, table_uid AS uid, 'table' AS kind, caption FROM paper_tables UNION SELECT paper_id, figure_uid, 'figure', caption FROM paper_figures),
+n AS (SELECT *, regexp_extract(caption, '(?i)^\s*(?:table|tab|figure|fig)\.?\s*(\d{1,3}|[ivx]{1,4})\b', 1) AS n FROM c),
+f AS (SELECT *, CASE WHEN regexp_matches(n, '^\d+$') THEN CAST(n AS INT) WHEN n <> '' THEN nullif(list_position(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV'], upper(n)), 0) END AS number FROM n)"""
+
+
+def _floats(spark: SparkSession, d: str) -> DataFrame:
+    return captions.floats(read(spark, d, "paper_tables"), read(spark, d, "paper_figures"))
+
+
+@query(f"WITH {_FLOATS_SQL} SELECT paper_id, kind, number, arg_max(caption, (length(caption), caption)) AS caption, count(DISTINCT caption) AS claims FROM f WHERE number IS NOT NULL GROUP BY ALL")
+def caption_map(spark: SparkSession, d: str) -> DataFrame:
+    return captions.caption_map(_floats(spark, d))
+
+
+@query(f"""WITH {_FLOATS_SQL}, b AS (SELECT paper_id, kind, number, arg_max(caption, (length(caption), caption)) AS best FROM f WHERE number IS NOT NULL GROUP BY ALL HAVING count(DISTINCT caption) > 1)
+SELECT DISTINCT f.paper_id, f.kind, f.number FROM f JOIN b ON f.paper_id = b.paper_id AND f.kind = b.kind AND f.number = b.number WHERE 1 - levenshtein(caption, best) / greatest(length(caption), length(best)) < 0.7""")
+def ambiguous_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return captions.ambiguous_numbers(_floats(spark, d))
+
+
+@query(rf"""WITH {_FLOATS_SQL}, l AS (SELECT paper_id, uid, array_to_string(list_slice(w, 1, 6), ' ') AS g FROM (SELECT *, regexp_extract_all(lower(caption), '[\p{{L}}\p{{N}}]+') AS w FROM c) WHERE len(w) >= 6),
+p AS (SELECT paper_id, par_uid, unnest({_RUNS_SQL}) AS g FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM paragraphs WHERE text IS NOT NULL))
+SELECT DISTINCT p.paper_id, uid, par_uid FROM p JOIN l ON p.paper_id = l.paper_id AND p.g = l.g""")
+def leaked_captions(spark: SparkSession, d: str) -> DataFrame:
+    return captions.leaked_captions(read(spark, d, "paragraphs"), _floats(spark, d))
+
+
+@query(r"""WITH p AS (SELECT DISTINCT p.par_uid, text, journal FROM paragraphs p JOIN (SELECT paper_id, min(meta.journal) AS journal FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id) USING (paper_id) WHERE text IS NOT NULL AND journal IS NOT NULL),
+s AS (SELECT *, rtrim(substr(text, 1, strpos(text, journal) - 1)) AS before, ltrim(substr(text, strpos(text, journal) + length(journal))) AS after FROM p WHERE strpos(text, journal) > 1 AND length(journal) >= 12)
+SELECT par_uid, before || ' ' || after AS text FROM s WHERE regexp_extract(before, '(\p{L}+)$', 1) <> '' AND lower(regexp_extract(before, '(\p{L}+)$', 1)) NOT IN ('the','a','an','of','in','on','for','with','to','by','and','or','from') AND regexp_matches(after, '^\p{Ll}')""")
+def without_journal(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs in which the journal's name stands amid a sentence, without it."""
+    j = read(spark, d, "papers").filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("meta.journal").alias("journal")).filter("journal IS NOT NULL")
+    p = read(spark, d, "paragraphs").filter("text IS NOT NULL").join(j, "paper_id").select("par_uid", "text", captions.without_journal(F.col("text"), F.col("journal")).alias("clean")).distinct()
+    return p.filter("clean <> text").select("par_uid", F.col("clean").alias("text"))
+
+
+@query(r"""WITH w AS (SELECT DISTINCT ON (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(embed_text), '[\p{L}\p{N}]+') AS b FROM chunks),
+k AS (SELECT chunk_id, len(coalesce(a, [])) AS la, len(coalesce(b, [])) AS lb, coalesce(list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS n FROM w)
+SELECT chunk_id, CASE WHEN la > 0 AND lb > 0 THEN n / la END AS precision, CASE WHEN la > 0 AND lb > 0 THEN n / lb END AS recall, CASE WHEN la > 0 AND lb > 0 THEN n / lb >= 0.85 AND n / la >= 0.8 END AS ok FROM k""")
+def text_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on a text by a second witness of it: chunks against what was embedded of them."""
+    c = read(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    return c.select("chunk_id", captions.abstract_verdict(F.col("text"), F.col("embed_text")).alias("v")).select("chunk_id", "v.*")
+
+
+#: Terms looked for in texts.
+GLOSSARY = ("melanocyte", "melanocyte reservoir", "basal layer", "erythema index", "narrowband light", "light", "graft site", "hair bulb", "mast cell", "mast cell cluster", "skin fold", "fold", "suction blister grafting")
+_TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in sorted(set(GLOSSARY), key=lambda t: (-len(t), t))) + "]"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT ON (par_uid) par_uid, list_filter({_TERMS_SQL}, lambda t: contains(lower(text), t)) AS found FROM paragraphs WHERE text IS NOT NULL)
+SELECT par_uid, array_to_string(list_filter(found, lambda t: len(list_filter(found, lambda u: u <> t AND contains(u, t))) = 0), '|') AS terms FROM p WHERE len(found) > 0""")
+def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "paragraphs").filter("text IS NOT NULL").select("par_uid", captions.terms_in(F.col("text"), list(GLOSSARY)).alias("t")).filter(F.size("t") > 0)
+    return p.select("par_uid", F.array_join("t", "|").alias("terms")).dropDuplicates(["par_uid"])
+
+
+@query(r"""SELECT DISTINCT paper_id, concat_ws('. ', nullif(trim(array_to_string(meta.authors[1:6], ', ') || CASE WHEN len(meta.authors) > 6 THEN ', et al' ELSE '' END), ''), nullif(trim(meta.title), ''), nullif(trim(meta.journal), ''), meta.year::VARCHAR, 'doi:' || nullif(trim(meta.doi), '')) AS line FROM papers""")
+def reference_lines(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "papers").select("paper_id", captions.reference_line(F.col("meta")).alias("line")).distinct()
+
+
+@query()
+def human_names(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "papers").select("paper_id", captions.human_name(F.col("meta")).alias("name")).distinct()
+
+
+@query("WITH p AS (SELECT DISTINCT paper_id, par_uid, text FROM paragraphs WHERE text IS NOT NULL) SELECT paper_id, " + ", ".join(f"sum(CASE WHEN regexp_matches(text, '{p}') THEN 1 ELSE 0 END) AS {name}" for name, p in captions.SIGNATURES.items()) + " FROM p GROUP BY paper_id")
+def encoding_profile(spark: SparkSession, d: str) -> DataFrame:
+    return captions.encoding_profile(documents.distinct_paragraphs(read(spark, d, "paragraphs")), "paper_id")
+
+
+@query(r"""WITH z AS (SELECT DISTINCT paper_id, par_uid, unnest(list_zip(cited_keys, cited_refs)) AS x FROM paragraphs WHERE cited_keys IS NOT NULL AND cited_refs IS NOT NULL),
+v AS (SELECT paper_id, x[1] AS key, TRY_CAST(x[2] AS INT) AS number, count(*) AS n FROM z WHERE x[1] IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM v WHERE number BETWEEN 1 AND 999 QUALIFY row_number() OVER (PARTITION BY paper_id, key ORDER BY n DESC, number) = 1)
+SELECT paper_id, min(key) AS key, number FROM b GROUP BY paper_id, number HAVING count(*) = 1""")
+def marker_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return captions.marker_numbers(read(spark, d, "paragraphs"))
+
+
+@query(r"""WITH m AS (SELECT DISTINCT file, title_guess, regexp_replace(regexp_replace(lower(trim(x)), '^(https?://)?(dx\.)?(doi\.org/)?(doi:\s*)?', ''), '/+', '/', 'g') AS doi FROM (SELECT file, title_guess, unnest(doi_candidates) AS x FROM manifest WHERE doi IS NULL AND title_guess IS NOT NULL)),
+p AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(trim(paper_id)), '^(https?://)?(dx\.)?(doi\.org/)?(doi:\s*)?', ''), '/+', '/', 'g') AS doi, meta.title AS title FROM papers),
+k AS (SELECT file, doi, trim(regexp_replace(strip_accents(lower(title_guess)), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(strip_accents(lower(title)), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM m JOIN p USING (doi)),
+s AS (SELECT file, doi, round(100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))), 1) AS score FROM k WHERE greatest(length(a), length(b)) > 0)
+SELECT file, doi, score FROM s WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, doi) = 1""")
+def resolved_dois(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.resolved_dois(read(spark, d, "manifest"), read(spark, d, "papers"))
+
+
+@query(r"""WITH t AS (SELECT *, regexp_extract(caption, '(?i)^\s*(?:table|tab)\.?\s*(\d{1,3})', 1) AS n FROM (SELECT DISTINCT paper_id, table_uid, caption, markdown FROM paper_tables))
+SELECT paper_id, CAST(n AS INT) AS number, array_to_string(list_sort(list(table_uid)), ',') AS parts, sum(greatest(0, len(list_filter(string_split(coalesce(markdown, ''), chr(10)), lambda r: trim(r) <> '')) - 2)) AS rows FROM t WHERE n <> '' GROUP BY ALL HAVING bool_or(regexp_matches(caption, '(?i)\bcont(inued|\.|d\.?)'))""")
+def continued_tables(spark: SparkSession, d: str) -> DataFrame:
+    return captions.continued_tables(read(spark, d, "paper_tables")).withColumn("parts", F.array_join("parts", ","))
+
+
+@query()
+def shown_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The golden set's first five hits, put in order by the length of the text, as lines."""
+    c = indexed(spark, d)
+    hits = retrieval.bm25(c, "chunk_id", F.col("body"), golden(spark), 5).join(c.select("chunk_id", "paper_id", "context_header", "text"), "chunk_id")
+    return captions.shown(captions.reranked(hits, F.char_length("text"), 3))
+
+
+@query()
+def float_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return documents.float_chunks(read(spark, d, "paper_tables"), read(spark, d, "paper_figures"), read(spark, d, "papers"))
