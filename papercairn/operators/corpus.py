@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
 from papercairn.functions.python import common_words
+from papercairn.tables import kept
 
 #: What each flag takes off a paper's score, and which flags fail it whatever the score.
 PENALTIES = {"scanned_no_text_layer": 0.5, "no_sections": 0.4, "char_corruption": 0.2, "abstract_is_body_first_paragraph": 0.3, "abstract_title_zero_overlap": 0.3, "doi_unresolved": 0.5}
@@ -160,11 +161,18 @@ def flag_counts(audited: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """share and value: the values at positions round(share * (n - 1)) of the sorted column, halves to even. Ranks are given
-    by range-partitioned sorting through counts of each value, so no task sorts the whole column."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    n = counts.agg(F.sum("n")).first()[0] or 0
+    """share and value: the values at positions round(share * (n - 1)) of the sorted column, halves to even. Values are counted,
+    parted by ranges and written; each part's total gives where it begins, so that only parts are sorted and only as many
+    totals as parts come to the driver."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    parts = kept(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    totals = sorted(parts.groupBy("part").agg(F.min("value").alias("least"), F.sum("n").alias("n")).collect(), key=lambda r: r["least"])
+    n = sum(r["n"] for r in totals)
     places = [(float(q), int(round(q * (n - 1)))) for q in shares] if n else []
-    wanted = df.sparkSession.createDataFrame(places, "share double, place bigint")
-    running = counts.withColumn("upto", F.sum("n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0)))
-    return running.join(F.broadcast(wanted), (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))).select("share", F.col(column).alias("value"))
+    before, wanted = 0, []
+    for r in totals:
+        wanted += [(r["part"], q, p - before) for q, p in places if before <= p < before + r["n"]]
+        before += r["n"]
+    some = parts.join(F.broadcast(df.sparkSession.createDataFrame(wanted, "part int, share double, place bigint")), "part")  # a row a share
+    running = some.withColumn("upto", F.sum("n").over(W.partitionBy("part", "share").orderBy("value").rowsBetween(W.unboundedPreceding, 0)))
+    return running.filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))).select("share", "value")

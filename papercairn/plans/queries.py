@@ -242,9 +242,18 @@ def flag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return corpus.flag_counts(corpus.audit(_signals(spark, d)))
 
 
-@query()
+@query(rf"""WITH {_SIGNALS_SQL}, ft AS (SELECT paper_id, arg_min(text, (sec_ord, par_ord, text)) AS first_text FROM p WHERE trim(t) <> '' GROUP BY paper_id),
+ab AS (SELECT paper_id, min(abstract) AS abstract FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+v AS (SELECT g.*, regexp_extract_all(lower(coalesce(abstract, '')), '[\p{{L}}\p{{N}}]+') AS w, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 3) AS tw, regexp_extract_all(lower(coalesce(first_text, '')), '[\p{{L}}\p{{N}}]+') AS fw FROM g LEFT JOIN ft USING (paper_id) LEFT JOIN ab USING (paper_id)),
+r AS (SELECT *, scanned AS f1, n_sections = 0 OR n_paragraphs = 0 AS f2, broken / greatest(n_chars, 1) > 0.005 AS f3,
+  len(w) >= 20 AND len(fw) >= 20 AND len(list_intersect(fw, w)) >= 0.9 * len(list_distinct(fw)) AND len(list_intersect(w, fw)) >= 0.9 * len(list_distinct(w)) AS f4,
+  len(w) >= 20 AND len(tw) >= 3 AND len(list_intersect(w, tw)) = 0 AS f5, paper_id LIKE 'file:%' AS f6 FROM v),
+x AS (SELECT *, 0.5 * f1::INT + 0.4 * f2::INT + 0.2 * f3::INT + 0.3 * f4::INT + 0.3 * f5::INT + 0.5 * f6::INT AS off FROM r),
+y AS (SELECT *, greatest(0, round(CASE WHEN source = 'pdf_fallback' THEN least(1 - off, 0.7) - 0.05 ELSE 1 - off END, 3))::DOUBLE AS quality_score FROM x)
+SELECT paper_id, source, array_to_string(list_filter([CASE WHEN f1 THEN 'scanned_no_text_layer' END, CASE WHEN f2 THEN 'no_sections' END, CASE WHEN f3 THEN 'char_corruption' END, CASE WHEN f4 THEN 'abstract_is_body_first_paragraph' END, CASE WHEN f5 THEN 'abstract_title_zero_overlap' END, CASE WHEN f6 THEN 'doi_unresolved' END], lambda x: x IS NOT NULL), ',') AS flags,
+  quality_score, quality_score >= 0.6 AND NOT f2 AND NOT f6 AS passed FROM y""")
 def paper_quality(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.quality(_signals(spark, d))
+    return corpus.quality(_signals(spark, d)).withColumn("flags", F.array_join("flags", ","))
 
 
 # ---- papers as paragraphs --------------------------------------------------------------------------------------------
@@ -613,7 +622,8 @@ def reference_lines(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "papers").select("paper_id", captions.reference_line(F.col("meta")).alias("line")).distinct()
 
 
-@query()
+@query(r"""SELECT DISTINCT paper_id, trim(substr(trim(regexp_replace(concat_ws(' ', meta.year::VARCHAR, CASE WHEN regexp_matches(meta.journal, ' : (.+)$') THEN regexp_extract(meta.journal, ' : (.+)$', 1) WHEN length(meta.journal) <= 24 THEN meta.journal ELSE
+  substr(array_to_string(list_transform(list_filter(regexp_split_to_array(meta.journal, '[^\p{L}]+'), lambda w: length(w) > 0), lambda w: upper(substr(w, 1, 1))), ''), 1, 8) END, regexp_replace(coalesce(meta.title, ''), '[\\/:*?"<>|]', ' ', 'g')), '\s+', ' ', 'g')), 1, 110)) AS name FROM papers""")
 def human_names(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "papers").select("paper_id", captions.human_name(F.col("meta")).alias("name")).distinct()
 

@@ -29,7 +29,7 @@ def test_ties_k_and_filters(spark):
     rows = [(f"c{i}", "p", "methods" if i % 2 else "results", "text", "light knee", (2000 + i, "Skin", ["Review"])) for i in range(9)] + [("n", "p", "methods", "text", "light knee", (None, None, None))]
     df = spark.createDataFrame(rows, f"id string, paper_id string, section_type string, kind string, text string, {meta}")
     q = spark.createDataFrame([("q", "light")], "qid string, query string")
-    run = lambda k, where=None: [r["id"] for r in retrieval.search(df, "id", F.col("text"), q, k, where, first=2).orderBy("rank").collect()]
+    run = lambda k, where=None: [r["id"] for r in retrieval.search(df, "id", F.col("text"), q, k, where).orderBy("rank").collect()]
     assert run(3) == ["c0", "c1", "c2"]
     assert run(None) == [f"c{i}" for i in range(8)]
     assert run(0) == run(-3) == []
