@@ -6,10 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
+from papercairn.operators.windows import carried, numbered
 
 ORDER = ("sec_ord", "par_ord")
 
@@ -28,13 +28,11 @@ def sections(paragraphs: DataFrame) -> DataFrame:
 def carried_sections(paragraphs: DataFrame) -> DataFrame:
     """(paper_id, sec_ord, own, section_type): a section whose headings say nothing takes the type of the last one before it
     that is intro, methods, results or discussion, in papers that have two such types, methods or results among them."""
-    s = sections(paragraphs)
     known = F.when(F.col("own").isin("intro", "methods", "results", "discussion"), F.col("own"))
-    paper = W.partitionBy("paper_id")
-    types = F.collect_set(known).over(paper)
-    gate = (F.size(types) >= 2) & F.arrays_overlap(types, F.array(F.lit("methods"), F.lit("results")))
-    last = F.last(known, ignorenulls=True).over(paper.orderBy("sec_ord").rowsBetween(W.unboundedPreceding, -1))
-    return s.select("paper_id", "sec_ord", "own", F.when((F.col("own") == "other") & gate, F.coalesce(last, F.lit("other"))).otherwise(F.col("own")).alias("section_type"))
+    s = carried(sections(paragraphs).select("paper_id", "sec_ord", "own"), "paper_id", ["sec_ord"], known, "last")
+    types = s.groupBy("paper_id").agg(F.collect_set(known).alias("types")).select(F.col("paper_id").alias("_key"), ((F.size("types") >= 2) & F.arrays_overlap("types", F.array(F.lit("methods"), F.lit("results")))).alias("gate"))
+    s = s.join(types, F.col("paper_id").eqNullSafe(F.col("_key")))
+    return s.select("paper_id", "sec_ord", "own", F.when((F.col("own") == "other") & F.col("gate"), F.coalesce("last", F.lit("other"))).otherwise(F.col("own")).alias("section_type"))
 
 
 def repeated_paragraphs(paragraphs: DataFrame) -> DataFrame:
@@ -160,7 +158,7 @@ def split_long(text: str, target: int, most: int, overlap: int = 2) -> list[str]
 def chunk_papers(paragraphs: DataFrame, papers: DataFrame, target: int = 550, most: int = 700, least: int = 80) -> DataFrame:
     """(paper_id, seq, section_type, header, text, n_tokens, para_ids): each paper's paragraphs packed into chunks that never
     cross a section; back matter is left out. A section is the unit of work: what one task gathers is one section of one
-    paper, whatever the paper's size; numbers in a paper are given afterwards by a window."""
+    paper, whatever the paper's size; numbers in a paper are given afterwards, over ranges."""
     titles = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("meta.title").alias("title"))
     p = distinct_paragraphs(paragraphs).filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("section_type", F.lit("other")) != "back"))
     p = p.join(titles, "paper_id", "left").select("paper_id", *ORDER, "id", "par_uid", "section_type", X.context_header(F.coalesce("title", F.col("paper_id")), F.col("path")).alias("header"), X.collapse(F.col("text")).alias("text"))
@@ -177,7 +175,7 @@ def chunk_papers(paragraphs: DataFrame, papers: DataFrame, target: int = 550, mo
         return pd.DataFrame(rows, columns=["paper_id", "sec_ord", "k", "section_type", "header", "text", "n_tokens", "para_ids"])
 
     packed = p.groupBy("paper_id", "sec_ord").applyInPandas(work, "paper_id string, sec_ord int, k int, section_type string, header string, text string, n_tokens int, para_ids array<string>")
-    return packed.withColumn("seq", F.row_number().over(W.partitionBy("paper_id").orderBy("sec_ord", "k"))).drop("sec_ord", "k")
+    return numbered(packed, "paper_id", ["sec_ord", "k"], "seq").drop("sec_ord", "k")
 
 
 def markdown_view(paragraphs: DataFrame) -> DataFrame:
@@ -185,8 +183,8 @@ def markdown_view(paragraphs: DataFrame) -> DataFrame:
     is the lines of a paper in order; no paper is gathered into one row."""
     p = distinct_paragraphs(paragraphs).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     path = F.filter(F.coalesce("path", F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
-    before = F.lag("parts").over(W.partitionBy("paper_id").orderBy(*ORDER, "par_uid"))
-    p = p.withColumn("parts", path).withColumn("before", F.coalesce(before, F.array().cast("array<string>")))
+    p = carried(p.select("paper_id", *ORDER, "par_uid", "text", path.alias("parts")), "paper_id", [*ORDER, "par_uid"], F.col("parts"), "before")
+    p = p.withColumn("before", F.coalesce("before", F.array().cast("array<string>")))
     index = F.sequence(F.lit(1), F.size("parts"))
     news = F.filter(index, lambda i: ~F.slice("parts", 1, i).eqNullSafe(F.slice("before", 1, i)))
     heads = F.when(F.size("parts") > 0, F.array_join(F.transform(news, lambda i: F.concat(F.repeat(F.lit("#"), (i + 1).cast("int")), F.lit(" "), F.element_at("parts", i), F.lit("\n\n"))), "")).otherwise("")

@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
 from papercairn.functions.python import similarity
+from papercairn.operators.windows import carried
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str, take: list[str]) -> DataFrame:
     """Each row of `left` with the columns `take` of the last row of `right` of its key at or before it; nulls if there is
-    none. One window over both relations: each is shuffled once, and no pairs are made. Where several rows of `right`
-    stand at one place, that of the greatest `take` counts."""
+    none. Both relations are one in order, and no pairs are made; rows of a frequent key are spread (see windows). Where
+    several rows of `right` stand at one place, that of the greatest `take` counts."""
     packed = F.struct(*[F.col(c).alias(c) for c in take])
     r = right.groupBy(key, F.col(right_order).alias("_at")).agg(F.max(packed).alias("_take")).select(key, "_at", F.lit(0).alias("_side"), "_take", F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"))
     row = left.select(key, F.col(left_order).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_take"].dataType).alias("_take"), F.struct(*left.columns).alias("_row"))
-    w = W.partitionBy(key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = r.unionByName(row).withColumn("_last", F.last("_take", ignorenulls=True).over(w))
+    both = r.unionByName(row).withColumn("_id", F.xxhash64("_row"))
+    both = carried(both, key, ["_at", "_side", "_id"], F.col("_take"), "_last")
     return both.filter("_side = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c if c not in left.columns else f"{c}_before") for c in take])
 
 
