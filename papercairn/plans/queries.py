@@ -168,9 +168,10 @@ def work_selection(spark: SparkSession, d: str) -> DataFrame:
     return corpus.to_process(read(spark, d, "manifest"), read(spark, d, "papers"))
 
 
-@query("SELECT par_uid, paper_id, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY par_uid ORDER BY ingested_at DESC, paper_id) AS n FROM paragraphs) WHERE n = 1")
+@query("SELECT par_uid, paper_id, epoch_us(ingested_at) AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY par_uid ORDER BY ingested_at DESC, paper_id) AS n FROM paragraphs) WHERE n = 1")
 def latest_delivery(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.latest(read(spark, d, "paragraphs").select("par_uid", "paper_id", "ingested_at"), "par_uid", "ingested_at")
+    p = corpus.latest(read(spark, d, "paragraphs").select("par_uid", "paper_id", "ingested_at"), "par_uid", "ingested_at")
+    return p.select("par_uid", "paper_id", F.unix_micros("ingested_at").alias("arrived"))
 
 
 @query("""WITH f AS (SELECT paper_id, min(file) AS file, max(pages) AS pages, max(total_chars) AS total_chars FROM manifest WHERE is_primary GROUP BY paper_id)
@@ -359,7 +360,9 @@ def chunked_papers(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunk_papers(read(spark, d, "paragraphs"), read(spark, d, "papers"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT DISTINCT ON (par_uid) paper_id, sec_ord, par_ord, par_uid, text, list_filter(coalesce(path, []), lambda x: x IS NOT NULL AND trim(x) <> '') AS parts FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^ ]')),
+b AS (SELECT *, coalesce(lag(parts) OVER (PARTITION BY paper_id ORDER BY sec_ord, par_ord, par_uid), []) AS before FROM p)
+SELECT paper_id, sec_ord, par_ord, par_uid, array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: parts[1:i] IS DISTINCT FROM before[1:i]), lambda i: repeat('#', CAST(i AS INT) + 1) || ' ' || parts[i] || chr(10) || chr(10)), '') || trim(regexp_replace(text, '\s+', ' ', 'g')) AS markdown FROM b""".replace("\\\\", "\\"))
 def markdown_view(spark: SparkSession, d: str) -> DataFrame:
     return documents.markdown_view(read(spark, d, "paragraphs"))
 
@@ -396,7 +399,9 @@ def table_grid(spark: SparkSession, d: str) -> DataFrame:
     return tables.grid(read(spark, d, "paper_tables"))
 
 
-@query()
+@query(rf"""WITH {_ROWS_SQL}, x AS (SELECT table_uid, max(len(c)) AS width FROM w GROUP BY table_uid),
+r AS (SELECT table_uid, row, width, '| ' || array_to_string(list_resize(list_transform(c, lambda y: trim(y)), width, ''), ' | ') || ' |' AS line FROM w JOIN x USING (table_uid))
+SELECT table_uid, string_agg(CASE WHEN row = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(0, width), lambda i: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row) AS markdown FROM r GROUP BY table_uid""")
 def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every table's Markdown read into cells and written again, one separator row each."""
     return tables.to_markdown(tables.grid(read(spark, d, "paper_tables")))
@@ -516,7 +521,9 @@ def hashed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return indexed(spark, d).select("chunk_id", encode(F.col("body"), "hash", 256).alias("vector"))
 
 
-@query()
+@query(rf"""WITH h AS (SELECT DISTINCT x FROM (SELECT unnest(path) AS x FROM paragraphs) WHERE x IS NOT NULL),
+t AS (SELECT x, trim(regexp_replace(x, '\s+', ' ', 'g')) AS joined, {_TITLE_SQL} AS t FROM h)
+SELECT x AS printed, joined, regexp_replace(regexp_replace(joined, '(?i)^\s*(\d+(\.\d+)*|[ivxlcdm]+|[a-z])[.)]\s+', ''), '^[ :.\-—–\t]+|[ :.\-—–\t]+$', '', 'g') AS title, {_classify_sql('t')} AS section_type FROM t""".replace("\\\\", "\\"))
 def headings(spark: SparkSession, d: str) -> DataFrame:
     """Every heading as printed, joined where its capitals are set apart, and without its number."""
     h = read(spark, d, "paragraphs").select(F.explode("path").alias("printed")).filter("printed IS NOT NULL").distinct()
@@ -543,7 +550,10 @@ def streamed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").groupBy("section_type").agg(F.count(F.lit(1)).alias("paragraphs"))
 
 
-@query()
+@query("""WITH k AS (SELECT DISTINCT paper_id FROM papers WHERE paper_id IS NOT NULL),
+s AS (SELECT paper_id, count(DISTINCT sec_ord) AS sections, count(DISTINCT par_uid) AS paragraphs FROM paragraphs GROUP BY paper_id),
+f AS (SELECT paper_id, count(DISTINCT figure_uid) AS figures FROM paper_figures GROUP BY paper_id), t AS (SELECT paper_id, count(DISTINCT table_uid) AS tables FROM paper_tables GROUP BY paper_id)
+SELECT paper_id, coalesce(sections, 0)::INTEGER AS sections, coalesce(paragraphs, 0)::INTEGER AS paragraphs, coalesce(figures, 0)::INTEGER AS figures, coalesce(tables, 0)::INTEGER AS tables FROM k LEFT JOIN s USING (paper_id) LEFT JOIN f USING (paper_id) LEFT JOIN t USING (paper_id)""")
 def nested_documents(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs, figures and tables nested into canonical documents and taken apart again: rows of each kind per paper."""
     p = documents.distinct_paragraphs(read(spark, d, "paragraphs")).filter("paper_id IS NOT NULL")
@@ -667,3 +677,13 @@ def shown_hits(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def float_chunks(spark: SparkSession, d: str) -> DataFrame:
     return documents.float_chunks(read(spark, d, "paper_tables"), read(spark, d, "paper_figures"), read(spark, d, "papers"))
+
+
+#: Columns whose numbers DuckDB gives in another type than Spark.
+_TYPES = {
+    "INTEGER": {"bm25_topk": "rank", "dense_topk": "rank", "hybrid_search": "dense_rank bm25_rank rank", "filtered_search": "rank", "saved_index_search": "rank", "evaluation": "rank", "relinked": "linked unknown", "markdown_check": "n_rows n_cols data_rows", "table_grid": "row col"},
+    "BIGINT": {"paper_signals": "n_chars broken frontmatter truncated empty_tables", "merged_bands": "band", "encoding_profile": " ".join(captions.SIGNATURES), "continued_tables": "rows"},
+}
+for _type, _names in _TYPES.items():
+    for _name, _columns in _names.items():
+        SQL[_name] = "SELECT * REPLACE (" + ", ".join(f'CAST("{c}" AS {_type}) AS "{c}"' for c in _columns.split()) + f") FROM ({SQL[_name]})"
