@@ -267,3 +267,63 @@ def broken_characters(text: Column) -> Column:
     """How many replacement characters, control characters and (cid:n) codes the text has."""
     marks = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[\x{FFFD}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}]", ""))
     return marks + F.size(F.regexp_extract_all(text, F.lit(r"(\(cid:\d+\))"), 1))
+
+
+def doi_candidates(text: Column, limit: int = 24) -> Column:
+    """DOIs printed in a text: those on one line, then those cut by a line's end put together with the next line's first word
+    and with each of its parts up to a point, longest first; distinct, `limit` at most."""
+    whole = F.regexp_extract_all(text, F.lit("(" + DOI + ")"), 1)
+    cut = F.regexp_extract_all(text, F.lit(r"(10\.\d{4,9}/[^\s\"<>]*\s*\n\s*[^\s\"<>]+)"), 1)
+    tidy = lambda x: F.lower(F.regexp_replace(x, r"[).,;:\]]+$", ""))
+
+    def stitched(x: Column) -> Column:
+        head, tail = F.regexp_extract(x, r"^(\S+)", 1), F.regexp_extract(x, r"(\S+)$", 1)
+        parts = F.split(tail, r"\.")
+        return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda i: F.concat(head, F.array_join(F.slice(parts, F.lit(1), i), ".")))
+
+    every = F.concat(F.transform(whole, tidy), F.transform(F.flatten(F.transform(cut, stitched)), tidy))
+    return F.slice(F.array_distinct(F.filter(every, lambda d: F.length(d) > 8)), 1, limit)
+
+
+def content_words(text: Column) -> Column:
+    """Distinct words of four characters or more."""
+    return F.array_distinct(F.filter(words(F.coalesce(text, F.lit(""))), lambda w: F.char_length(w) >= 4))
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """0 to 100: what two titles' sets of words have in common, as a share of the smaller set; null where one is empty."""
+    x, y = F.array_distinct(words(ascii_key(F.coalesce(a, F.lit(""))))), F.array_distinct(words(ascii_key(F.coalesce(b, F.lit("")))))
+    least = F.least(F.size(x), F.size(y))
+    return F.when(least > 0, F.round(100 * F.size(F.array_intersect(x, y)) / least, 1))
+
+
+def dropcap(text: Column) -> Column:
+    """A capital set apart at the beginning put to its word: V itiligo; not where the capital is a word (A, I) or what follows
+    is one (T he is left as it was printed)."""
+    return F.regexp_replace(text, r"^([B-HJ-Z]) (\p{Ll}{4,})", "$1$2")
+
+
+def joined_fragments(a: Column, b: Column) -> Column:
+    """Two parts of a cell: a hyphen at the end of the first is taken off before a small letter and kept otherwise."""
+    cut = a.rlike(r"\p{L}-$")
+    return F.when(cut & b.rlike(r"^\p{Ll}"), F.concat(F.regexp_replace(a, "-$", ""), b)).when(cut, F.concat(a, b)).otherwise(F.concat_ws(" ", F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))))
+
+
+def is_plausible_title(title: Column) -> Column:
+    """Twenty characters or more, three words, letters for 60 % of them, and no running header."""
+    t = flat(title)
+    letters = F.char_length(F.regexp_replace(t, r"[^\p{L}]", ""))
+    return (F.char_length(t) >= 20) & (F.size(words(t)) >= 3) & (letters / F.char_length(t) >= 0.6) & ~is_junk_title(t)
+
+
+def asset_label(caption: Column, id: Column, word: str) -> Column:
+    """Table 2 of a caption that says so, else the id, else the word."""
+    return F.coalesce(caption_parts(caption)["label"], F.nullif(F.trim(id), F.lit("")), F.lit(word))
+
+
+def clean_reply(text: Column) -> Column:
+    """A generated text without blocks of reasoning, fences and a first line that only announces it."""
+    s = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    s = F.regexp_replace(s, r"(?m)^```\w*\s*$", "")
+    bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    return bare(F.regexp_replace(bare(s), r"(?i)^(here is|here's|translation|sure)[^\n]*:\s*\n", ""))

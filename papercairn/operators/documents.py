@@ -37,7 +37,7 @@ def carried_sections(paragraphs: DataFrame) -> DataFrame:
 
 def repeated_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """(paper_id, par_uid, first_uid): paragraphs whose text, in any case, stood before in the same paper."""
-    p = distinct_paragraphs(paragraphs).filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("paper_id", "par_uid", *ORDER, F.xxhash64(F.lower(X.flat(F.col("text")))).alias("h"), F.lower(X.flat(F.col("text"))).alias("t"))
+    p = distinct_paragraphs(paragraphs).filter(F.coalesce("text", F.lit("")).rlike(r"\S")).select("paper_id", "par_uid", *ORDER, F.xxhash64(F.lower(X.flat(F.col("text")))).alias("h"), F.lower(X.flat(F.col("text"))).alias("t"))
     first = p.groupBy("paper_id", "h", "t").agg(F.min_by("par_uid", F.struct(*ORDER, "par_uid")).alias("first_uid"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return p.join(first, ["paper_id", "h", "t"]).filter(F.col("par_uid") != F.col("first_uid")).select("paper_id", "par_uid", "first_uid")
 
@@ -160,7 +160,7 @@ def chunk_papers(paragraphs: DataFrame, papers: DataFrame, target: int = 550, mo
     cross a section; back matter is left out. A section is the unit of work: what one task gathers is one section of one
     paper, whatever the paper's size; numbers in a paper are given afterwards, over ranges."""
     titles = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("meta.title").alias("title"))
-    p = distinct_paragraphs(paragraphs).filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("section_type", F.lit("other")) != "back"))
+    p = distinct_paragraphs(paragraphs).filter((F.coalesce("text", F.lit("")).rlike(r"\S")) & (F.coalesce("section_type", F.lit("other")) != "back"))
     p = p.join(titles, "paper_id", "left").select("paper_id", *ORDER, "id", "par_uid", "section_type", X.context_header(F.coalesce("title", F.col("paper_id")), F.col("path")).alias("header"), X.collapse(F.col("text")).alias("text"))
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +181,7 @@ def chunk_papers(paragraphs: DataFrame, papers: DataFrame, target: int = 550, mo
 def markdown_view(paragraphs: DataFrame) -> DataFrame:
     """(paper_id, sec_ord, par_ord, markdown): each paragraph with the headings that change before it, at their levels. A view
     is the lines of a paper in order; no paper is gathered into one row."""
-    p = distinct_paragraphs(paragraphs).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    p = distinct_paragraphs(paragraphs).filter(F.coalesce("text", F.lit("")).rlike(r"\S"))
     path = F.filter(F.coalesce("path", F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
     p = carried(p.select("paper_id", *ORDER, "par_uid", "text", path.alias("parts")), "paper_id", [*ORDER, "par_uid"], F.col("parts"), "before")
     p = p.withColumn("before", F.coalesce("before", F.array().cast("array<string>")))
@@ -194,8 +194,8 @@ def markdown_view(paragraphs: DataFrame) -> DataFrame:
 def units(paragraphs: DataFrame, papers: DataFrame) -> DataFrame:
     """(paper_id, key, text): what is translated of a paper: its abstract, its distinct headings and its paragraphs."""
     a = papers.filter("abstract IS NOT NULL AND paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("abstract").alias("text")).select("paper_id", F.lit("abstract").alias("key"), "text")
-    p = distinct_paragraphs(paragraphs).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
-    h = p.select("paper_id", F.explode("path").alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("paper_id", F.lower("text").alias("k")).agg(F.min("text").alias("text")).select("paper_id", F.concat(F.lit("h:"), "k").alias("key"), "text")
+    p = distinct_paragraphs(paragraphs).filter(F.coalesce("text", F.lit("")).rlike(r"\S"))
+    h = p.select("paper_id", F.explode("path").alias("text")).filter(F.coalesce("text", F.lit("")).rlike(r"\S")).groupBy("paper_id", F.lower("text").alias("k")).agg(F.min("text").alias("text")).select("paper_id", F.concat(F.lit("h:"), "k").alias("key"), "text")
     return a.unionByName(h).unionByName(p.select("paper_id", F.concat(F.lit("p:"), "par_uid").alias("key"), "text"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from papercairn.functions import text as X
 from papercairn.functions import python as P
 from papercairn.functions.encoders import encode
-from papercairn.operators import captions, corpus, documents, joins, retrieval, tables
+from papercairn.operators import captions, corpus, documents, joins, matching, retrieval, tables
 from papercairn.sources import files, sinks
 from papercairn.streaming import ingest
 from papercairn.tables import read, shared_dir
@@ -260,7 +260,7 @@ def paper_quality(spark: SparkSession, d: str) -> DataFrame:
 # ---- papers as paragraphs --------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT DISTINCT ON (par_uid) par_uid, paper_id, sec_ord, par_ord, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^ ]'))
+@query("""WITH p AS (SELECT DISTINCT ON (par_uid) par_uid, paper_id, sec_ord, par_ord, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^\s]'))
 SELECT paper_id, par_uid, first_uid FROM (SELECT *, first_value(par_uid) OVER (PARTITION BY paper_id, t ORDER BY sec_ord, par_ord, par_uid) AS first_uid FROM p) WHERE par_uid <> first_uid""".replace("\\\\", "\\"))
 def repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.repeated_paragraphs(read(spark, d, "paragraphs"))
@@ -360,7 +360,7 @@ def chunked_papers(spark: SparkSession, d: str) -> DataFrame:
     return documents.chunk_papers(read(spark, d, "paragraphs"), read(spark, d, "papers"))
 
 
-@query(r"""WITH p AS (SELECT DISTINCT ON (par_uid) paper_id, sec_ord, par_ord, par_uid, text, list_filter(coalesce(path, []), lambda x: x IS NOT NULL AND trim(x) <> '') AS parts FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^ ]')),
+@query(r"""WITH p AS (SELECT DISTINCT ON (par_uid) paper_id, sec_ord, par_ord, par_uid, text, list_filter(coalesce(path, []), lambda x: x IS NOT NULL AND trim(x) <> '') AS parts FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^\s]')),
 b AS (SELECT *, coalesce(lag(parts) OVER (PARTITION BY paper_id ORDER BY sec_ord, par_ord, par_uid), []) AS before FROM p)
 SELECT paper_id, sec_ord, par_ord, par_uid, array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: parts[1:i] IS DISTINCT FROM before[1:i]), lambda i: repeat('#', CAST(i AS INT) + 1) || ' ' || parts[i] || chr(10) || chr(10)), '') || trim(regexp_replace(text, '\s+', ' ', 'g')) AS markdown FROM b""".replace("\\\\", "\\"))
 def markdown_view(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +368,7 @@ def markdown_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH a AS (SELECT paper_id, 'abstract' AS key, min(abstract) AS text FROM papers WHERE abstract IS NOT NULL AND paper_id IS NOT NULL GROUP BY paper_id),
-p AS (SELECT DISTINCT ON (par_uid) * FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^ ]')),
+p AS (SELECT DISTINCT ON (par_uid) * FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^\s]')),
 h AS (SELECT paper_id, 'h:' || lower(x) AS key, min(x) AS text FROM (SELECT paper_id, unnest(path) AS x FROM p) WHERE trim(coalesce(x, '')) <> '' GROUP BY paper_id, lower(x))
 SELECT * FROM a UNION ALL SELECT * FROM h UNION ALL SELECT paper_id, 'p:' || par_uid, text FROM p""")
 def translation_units(spark: SparkSession, d: str) -> DataFrame:
@@ -679,6 +679,46 @@ def float_chunks(spark: SparkSession, d: str) -> DataFrame:
     return documents.float_chunks(read(spark, d, "paper_tables"), read(spark, d, "paper_figures"), read(spark, d, "papers"))
 
 
+# ---- matching --------------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT DISTINCT paper_id, regexp_extract(source_file, '([^/\\\\]+)$', 1) AS name FROM papers WHERE source_file IS NOT NULL), q AS (SELECT *, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM p),
+f AS (SELECT DISTINCT file, regexp_extract(file, '([^/\\\\]+)$', 1) AS name FROM manifest), a AS (SELECT name, min(file) AS a FROM f GROUP BY name), b AS (SELECT lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem, min(file) AS b FROM f GROUP BY ALL)
+SELECT DISTINCT paper_id, coalesce(a, b) AS file, CASE WHEN a IS NOT NULL THEN 'name' ELSE 'stem' END AS by FROM q LEFT JOIN a USING (name) LEFT JOIN b USING (stem) WHERE coalesce(a, b) IS NOT NULL""".replace("\\\\", "\\"))
+def found_files(spark: SparkSession, d: str) -> DataFrame:
+    return matching.found_files(read(spark, d, "papers"), read(spark, d, "manifest")).distinct()
+
+
+_KEY_SQL = r"list_distinct(regexp_extract_all(trim(regexp_replace(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '[\p{{L}}\p{{N}}]+'))"
+
+
+@query(f"""WITH f AS (SELECT paper_id, min(file) AS file, min(title_guess) AS guess FROM manifest WHERE paper_id IS NOT NULL GROUP BY paper_id), t AS (SELECT paper_id, min(meta.title) AS title FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+k AS (SELECT paper_id, file, {_KEY_SQL.format('title')} AS a, {_KEY_SQL.format('guess')} AS b FROM t JOIN f USING (paper_id)),
+s AS (SELECT paper_id, file, CASE WHEN least(len(a), len(b)) > 0 THEN round(100 * len(list_intersect(a, b)) / least(len(a), len(b)), 1) END AS score FROM k) SELECT *, score >= 70 AS ok FROM s""")
+def identities(spark: SparkSession, d: str) -> DataFrame:
+    return matching.identities(read(spark, d, "papers"), read(spark, d, "manifest"))
+
+
+@query(rf"""WITH {_FLOATS_SQL}, v AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM paragraphs WHERE text IS NOT NULL),
+k AS (SELECT DISTINCT paper_id, uid, w FROM (SELECT paper_id, uid, unnest(regexp_extract_all(lower(coalesce(caption, '')), '[\p{{L}}\p{{N}}]+')) AS w FROM c) WHERE length(w) >= 4)
+SELECT k.paper_id, uid, count(v.w) / count(*) AS coverage FROM k LEFT JOIN v ON k.paper_id = v.paper_id AND k.w = v.w GROUP BY ALL""")
+def topical_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return matching.topical_coverage(_floats(spark, d), read(spark, d, "paragraphs"))
+
+
+@query("""WITH p AS (SELECT paper_id, min(source) AS source FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id), a AS (SELECT paper_id, count(DISTINCT par_uid) AS n FROM paragraphs GROUP BY paper_id),
+b AS (SELECT paper_id, count(DISTINCT table_uid) AS n FROM paper_tables GROUP BY paper_id), c AS (SELECT paper_id, count(DISTINCT figure_uid) AS n FROM paper_figures GROUP BY paper_id)
+SELECT source, count(*) AS papers, coalesce(sum(a.n), 0)::BIGINT AS paragraphs, coalesce(sum(b.n), 0)::BIGINT AS tables, coalesce(sum(c.n), 0)::BIGINT AS figures FROM p LEFT JOIN a ON p.paper_id = a.paper_id LEFT JOIN b ON p.paper_id = b.paper_id LEFT JOIN c ON p.paper_id = c.paper_id GROUP BY source""")
+def unit_counts(spark: SparkSession, d: str) -> DataFrame:
+    return matching.unit_counts(*(read(spark, d, t) for t in ("papers", "paragraphs", "paper_tables", "paper_figures")))
+
+
+@query(r"""SELECT DISTINCT title_guess AS title, length(trim(regexp_replace(title_guess, '\\s+', ' ', 'g'))) >= 20 AND len(regexp_extract_all(lower(title_guess), '[\\p{L}\\p{N}]+')) >= 3 AND length(regexp_replace(title_guess, '[^\\p{L}]', '', 'g')) / length(trim(regexp_replace(title_guess, '\\s+', ' ', 'g'))) >= 0.6 AS plausible FROM manifest WHERE regexp_matches(title_guess, '\\S')""".replace("\\\\", "\\"))
+def plausible_titles(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "manifest").filter(F.col("title_guess").rlike(r"\S"))
+    return m.select(F.col("title_guess").alias("title"), X.is_plausible_title(F.col("title_guess")).alias("plausible")).distinct()
+
+
 #: Columns whose numbers DuckDB gives in another type than Spark.
 _TYPES = {
     "INTEGER": {"bm25_topk": "rank", "dense_topk": "rank", "hybrid_search": "dense_rank bm25_rank rank", "filtered_search": "rank", "saved_index_search": "rank", "evaluation": "rank", "relinked": "linked unknown", "markdown_check": "n_rows n_cols data_rows", "table_grid": "row col"},
