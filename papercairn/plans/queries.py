@@ -260,7 +260,7 @@ def paper_quality(spark: SparkSession, d: str) -> DataFrame:
 # ---- papers as paragraphs --------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT DISTINCT ON (par_uid) par_uid, paper_id, sec_ord, par_ord, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^\s]'))
+@query("""WITH p AS (SELECT DISTINCT ON (par_uid) par_uid, paper_id, sec_ord, par_ord, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM paragraphs WHERE regexp_matches(coalesce(text, ''), '[^\\s]'))
 SELECT paper_id, par_uid, first_uid FROM (SELECT *, first_value(par_uid) OVER (PARTITION BY paper_id, t ORDER BY sec_ord, par_ord, par_uid) AS first_uid FROM p) WHERE par_uid <> first_uid""".replace("\\\\", "\\"))
 def repeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return documents.repeated_paragraphs(read(spark, d, "paragraphs"))
