@@ -45,13 +45,15 @@ def located(needles: DataFrame, haystacks: DataFrame, key: str, lengths: tuple[i
 
 def owners(texts: DataFrame, segments: DataFrame, key: str, probes: int = 3, size: int = 40) -> DataFrame:
     """needle and owner (own, other, unknown) of each text (key, needle, text): where its probes of 40 letters stand among the
-    segments (key, segment, own, text). other: two probes or more in foreign segments, none in its own, half of them found."""
+    segments (key, segment, own, text). other: two probes or more in foreign segments, none in its own, half of them found.
+    Probes are joined with the runs of 40 letters of the segments by their hashes, so no text is compared with all others."""
     t = texts.select(key, "needle", letters(F.col("text")).alias("n"))
     step = F.greatest(F.lit(1), F.floor((F.length("n") - size) / max(1, probes - 1))).cast("int")
     at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: (i * step + 1).cast("int")), lambda s: s + size - 1 <= F.length("n"))
-    p = t.withColumn("at", F.explode(at)).select(key, "needle", F.expr(f"substring(n, at, {size})").alias("probe")).distinct()
-    s = segments.select(key, "segment", "own", letters(F.col("text")).alias("s"))
-    hit = p.join(s, key).filter(F.col("s").contains(F.col("probe"))).groupBy(key, "needle", "probe").agg(F.max("own").alias("own"))
+    p = t.withColumn("at", F.explode(at)).select(key, "needle", F.expr(f"xxhash64(substring(n, at, {size}))").alias("probe")).distinct()
+    s = segments.select(key, "own", letters(F.col("text")).alias("s")).filter(F.length("s") >= size)
+    s = s.select(key, "own", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - size + 1), lambda i: F.xxhash64(F.substring(F.col("s"), i, F.lit(size))))).alias("probe"))
+    hit = p.join(s, [key, "probe"]).groupBy(key, "needle", "probe").agg(F.max("own").alias("own"))
     by = p.groupBy(key, "needle").agg(F.count(F.lit(1)).alias("n")).join(hit.groupBy(key, "needle").agg(F.sum(F.col("own").cast("int")).alias("mine"), F.count(F.lit(1)).alias("found")), [key, "needle"], "left")
     mine, found = F.coalesce("mine", F.lit(0)), F.coalesce("found", F.lit(0))
     owner = F.when(mine > 0, "own").when((found >= 2) & (F.col("n") >= 3) & (found >= 0.5 * F.col("n")), "other").otherwise("unknown")
