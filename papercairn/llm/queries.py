@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papercairn.llm import encoding, knn, mix, neardup, pack, scans, sentences, spans, split
-from papercairn.tables import read
+from papercairn.tables import blank, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,12 +67,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct()
+    # White space that fills more than a container is cut as any text, but is no case
+    empty = read(spark, d, "documents").filter(blank(F.col("text"))).select("doc_id")
+    return p7_containers(spark, d).filter("pieces > 1").select("doc_id").distinct().join(empty, "doc_id", "left_anti")
 
 
 SQL["p7_found"] = """
 SELECT DISTINCT doc_id FROM documents
-WHERE strlen(text) + 1 > (SELECT max_tokens FROM size_limits WHERE limit_name = 'document_container')
+WHERE regexp_matches(text, '\\S') AND strlen(text) + 1 > (SELECT max_tokens FROM size_limits WHERE limit_name = 'document_container')
 """
 
 
