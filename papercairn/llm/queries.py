@@ -129,7 +129,21 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return spans.coverage(read(spark, d, "documents"))
+    found = spans.coverage(read(spark, d, "documents"))
+    first = found.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("class"))
+    return found.join(first, "cls", "left").drop("cls")
+
+
+SQL["p9_coverage"] = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents), u AS (SELECT * FROM d WHERE length(text) >= 200 AND regexp_matches(text, '\S')),
+  g AS (SELECT doc_id, i, hash(substr(text, CAST(i AS BIGINT), 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM u)),
+  hot AS (SELECT h FROM (SELECT DISTINCT doc_id, h FROM g) GROUP BY h HAVING count(*) > 1),
+  k AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM g WHERE h IN (SELECT h FROM hot)),
+  c AS (SELECT doc_id, sum(least(200, coalesce(i - p, 200))) AS chars, sum(CASE WHEN p IS NULL OR i - p > 200 THEN 1 ELSE 0 END) AS n FROM k GROUP BY doc_id),
+  f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class FROM u)
+SELECT doc_id, coalesce(length(text), 0)::INTEGER AS n_chars, coalesce(chars, 0)::BIGINT AS shared_chars, coalesce(n, 0)::BIGINT AS n_spans,
+  CASE WHEN length(text) > 0 THEN coalesce(chars, 0) / length(text) ELSE 0 END AS share, class FROM d LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
 
 
 @query
@@ -155,6 +169,13 @@ def p5_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").cast("long").alias("vec_id"), F.col("neighbour_id").cast("long").alias("neighbour_id"), "rank")
 
 
+SQL["p5_embeddings"] = """
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE len(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
+  s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.vector, b.vector), 12) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT vec_id, neighbour_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, CAST(neighbour_id AS VARCHAR)) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "paragraphs").select(F.col("par_uid").alias("id"), "text")
