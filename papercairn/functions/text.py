@@ -175,11 +175,11 @@ def words(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Index terms: words and compounds with hyphens or slashes, and the parts of these; no single characters, no
-    stopwords (the parts of a compound that is one still count)."""
+    """Index terms: words and compounds with hyphens or slashes, and then the parts of these; no single characters,
+    no stopwords (the parts of a compound that is one still count)."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1)
-    every = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("[-/]"), F.concat(F.array(t), F.split(t, "[-/]"))).otherwise(F.array(t))))
-    return F.filter(every, lambda t: (F.char_length(t) > 1) & ~t.isin(STOPWORDS))
+    parts = lambda t: F.flatten(F.transform(F.filter(t, lambda x: x.contains("-") | x.contains("/")), lambda x: F.split(x, "[-/]")))
+    return F.filter(let(tokens, lambda t: F.concat(t, parts(t))), lambda t: (F.char_length(t) > 1) & ~t.isin(STOPWORDS))
 
 
 def shingles(tokens: Column, n: int) -> Column:

@@ -16,8 +16,8 @@ def one(spark, f, *values):
 @pytest.mark.parametrize(
     "f, value, want",
     [
-        (X.terms, "NB-UVB and IL-17", ["nb-uvb", "nb", "uvb", "il-17", "il", "17"]),
-        (X.terms, "F-VASI of the TGF-β", ["f-vasi", "vasi", "tgf-β", "tgf"]),
+        (X.terms, "NB-UVB and IL-17", ["nb-uvb", "il-17", "nb", "uvb", "il", "17"]),
+        (X.terms, "F-VASI of the TGF-β", ["f-vasi", "tgf-β", "vasi", "tgf"]),
         (X.terms, "a of the", []),
         (X.words, "Sjögren, 5 µg", ["sjögren", "5", "µg"]),
         (X.citation_numbers, "15,16", [15, 16]),
