@@ -74,6 +74,24 @@ def test_restoring_undoes_damage(spark):
     assert encoding.restored(df.filter("false"), df.select("text").filter("false")).count() == 0
 
 
+def test_frequent_damage_is_found(spark):
+    """A tenth of all texts decoded wrongly in one way."""
+    r = random.Random(8)
+    german = [f"Die Läsion {i} war größer als {r.randint(2, 99)} mm und über {r.randint(2, 99)} Tage rückläufig, häufig am Fuß." for i in range(600)]
+    chinese = [f"治疗前面部皮损的面积为{r.randint(2, 99)},停药后{i}例患者的质量逐渐改" for i in range(600)]
+    clean = paragraphs(1200) + german + chinese
+    bad = {("g", i): (t, t.encode("cp1252").decode("mac_roman")) for i, t in enumerate(german[:150])}
+    bad |= {("z", i): (t, t.encode("gbk").decode("cp949")) for i, t in enumerate(chinese[:150])}
+    rows = [("t", f"c{i}", t) for i, t in enumerate(clean)] + [("t", f"{k}{i}", b) for (k, i), (_, b) in bad.items()]
+    df = spark.createDataFrame(rows, "tbl string, rec_id string, text string")
+    got = {x["rec_id"]: x["restored"] for x in encoding.restored(df, df.select("text")).collect()}
+    assert not [k for k in got if k.startswith("c")]
+    for kind in "gz":
+        mine = [(f"{k}{i}", t) for (k, i), (t, _) in bad.items() if k == kind]
+        assert sum(k in got for k, _ in mine) >= 0.95 * len(mine), kind
+        assert sum(got.get(k) == t for k, t in mine) >= 0.9 * len(mine), kind
+
+
 def test_scans(spark):
     r = random.Random(2)
     words = "the fold reduced cheek margin temple lesion broad sunlit truncal border narrow reservoir cluster patient responder baseline and was with nerve infiltrate ending matched self parent rated".split()
