@@ -36,6 +36,12 @@ def kept(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt evenly over tasks by its keys, for work that takes long on few bytes: a number of partitions given outright
+    isn't put together again at runtime. It is spark.sql.shuffle.partitions, so it grows with what the cluster is set to."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def blank(text) -> F.Column:
     """Null or nothing but white space (of Unicode)."""
     return text.isNull() | ~text.rlike(r"[^\s\p{Z}\u0085]")
