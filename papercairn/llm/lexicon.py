@@ -10,6 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def sampled(corpus: DataFrame, n: int, sample: int, longest: int, seed: int) -> list[str]:
+    """`sample` different texts (of the first column, which has `n` rows) of at most `longest` characters: those of the
+    smallest hashes, so the same ones each time, in order. A text repeated however often is one."""
+    text = F.col(corpus.columns[0])
+    rows = corpus.select(text.alias("t")).filter(F.char_length("t") <= longest).withColumn("h", F.xxhash64(F.lit(seed), "t"))
+    share = min(1.0, 4 * sample / n) if n else 1.0
+    below = rows.filter(F.col("h") < int((share - 0.5) * 2**64)) if share < 1 else rows
+    got = below.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
+    if len(got) < sample and share < 1:  # many repeats: look at all
+        got = rows.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()
+    return sorted(r["t"] for r in got)
+
+
 def counts(texts: DataFrame, tokens: Callable[[str], dict[str, Counter] | Counter], share: float = 1e-6, least: int = 3, kinds: int = 1, apart: bool = False) -> dict[str, tuple[int, ...]]:
     """For every word that makes up the share `share` of all words or more, and occurs `least` times or more, its counts
     of each of `kinds` kinds over all texts (the first column of `texts`). tokens(text) lists the words of each kind;
