@@ -68,18 +68,18 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def rates(units: DataFrame, targets: DataFrame) -> DataFrame:
+def rates(units: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
     """One row per plan and source of `targets`: plan_id, source, target_share, max_repeats, docs, available (tokens of
-    the source), total (tokens of all documents), target (tokens), rate (copies of each document), unreachable."""
+    the source), total (tokens aimed at: `size`, or those of all documents), target (tokens), rate (copies of each
+    document). With a smaller `size` sources that can't reach their share of all documents may reach it."""
     by = units.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("available"))
-    total = units.agg(F.sum("size")).first()[0] or 0
+    total = size if size is not None else units.agg(F.sum("size")).first()[0] or 0
     t = targets.select("plan_id", F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source"), "target_share", "max_repeats").dropDuplicates(["plan_id", "source"])
     return (
         t.join(by, "source", "left")
         .withColumns({"total": F.lit(total).cast("long"), "docs": F.coalesce("docs", F.lit(0)), "available": F.coalesce("available", F.lit(0))})
         .withColumn("target", F.col("target_share") * F.col("total"))
         .withColumn("rate", F.when(F.col("available") > 0, F.least(F.col("target") / F.col("available"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)))
-        .withColumn("unreachable", F.col("available") * F.col("max_repeats") < F.col("target"))
     )
 
 
@@ -120,15 +120,20 @@ def mixture(units: DataFrame, plan: DataFrame, per_block: int = 4096, seed: int
     return out.select("plan_id", "source", "doc_id", "size", (F.col("whole") + F.col("prob").cast("int")).alias("copies"))
 
 
-def report(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per row of `targets`: the target, the tokens and documents the mixture takes, the share of the target total
-    reached, and whether the source can't reach its share. Documents with a null source count only in the total."""
+def report(docs: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
+    """One row per row of `targets`: the target, the tokens and documents the mixture takes, the share of the mixture that
+    the source makes up (share) and of the total aimed at (reached), and whether the source can't reach its share: the
+    sampling then takes all its documents max_repeats times and still falls short. Documents with a null source count
+    only in the total."""
     units = kept(sized(docs))
-    plan = rates(units, targets)
-    got = mixture(units, plan).groupBy("plan_id", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
-    share = F.when(F.col("total") > 0, F.col("tokens") / F.col("total"))
-    return (
-        plan.join(got, ["plan_id", "source"], "left")
-        .withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "copies": F.coalesce("copies", F.lit(0)), "most_copies": F.coalesce("most_copies", F.lit(0))})
-        .select("plan_id", "source", "target_share", "max_repeats", "available", "total", "tokens", "copies", "most_copies", share.alias("share"), "unreachable")
+    plan = rates(units, targets, size)
+    drawn = mixture(units, plan)
+    got = drawn.groupBy("plan_id", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"), F.min("copies").alias("least_copies"), F.max("copies").alias("most_copies"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("tokens", "copies", "most_copies")}
+    all_taken = F.coalesce(F.col("least_copies") >= F.col("max_repeats"), F.lit(True))  # a source without documents, too
+    rows = plan.join(got, ["plan_id", "source"], "left").withColumns(zero).withColumn("unreachable", all_taken & (F.col("tokens") < F.col("target")))
+    whole = rows.groupBy("plan_id").agg(F.sum("tokens").alias("mixed"))
+    return rows.join(whole, "plan_id").select(
+        "plan_id", "source", "target_share", "max_repeats", "available", "total", "tokens", "copies", "most_copies",
+        F.when(F.col("mixed") > 0, F.col("tokens") / F.col("mixed")).alias("share"), F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).alias("reached"), "unreachable",
     )

@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import accumulate, combinations
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papercairn.tables import spread
+
 _CUTS = (re.compile(rb"\n[ \t\r]*\n"), re.compile(rb"[.!?](?=\s)|\xe3\x80\x82|\xe0\xa5\xa4"), re.compile(rb"\s"))
 
 
@@ -52,42 +55,64 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _completions(free: list[int], room: int, keep: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` with one to three of the ascending sizes `free`, fullest first, at most `keep`.
-    A filling is dominated by one in which a single item takes the place of smaller ones at the same or better fill,
-    so larger items are taken first and equal fills keep the filling of fewest items."""
-    found: dict[int, tuple[int, ...]] = {}
-    i = bisect_right(free, room) - 1
-    if i < 0:
-        return [()]
-    found[free[i]] = (i,)
-    full = free[i] == room
-    step = 0
-    a = i
-    while a > 0 and not full and step < 24:  # the largest item of a filling of two or three
-        rest = room - free[a]
-        b = min(a - 1, bisect_right(free, rest) - 1)
-        if b >= 0:
-            found.setdefault(free[a] + free[b], (a, b))
-            full = rest == free[b]
-            left = rest - free[b]
-            c = min(b - 1, bisect_right(free, left) - 1)
-            if c >= 0:
-                found.setdefault(free[a] + free[b] + free[c], (a, b, c))
-                full |= left == free[c]
-            for b2 in range(b - 1, max(-1, b - 12), -1):
-                c = min(b2 - 1, bisect_right(free, rest - free[b2]) - 1)
-                if c >= 0:
-                    found.setdefault(free[a] + free[b2] + free[c], (a, b2, c))
-        step += 1
-        a = a - 1 if step < 8 else a - max(1, a // 16)
-    return [found[s] for s in sorted(found, reverse=True)[:keep]]
+def _dominated(free: list[int], chosen: tuple[int, ...], left: int) -> bool:
+    """Whether a filling can be bettered in one step: an item left out fits beside it, or takes the place of one or two of
+    its items that are no larger together. (Then the items put out fit wherever it would have stood.)"""
+    taken = set(chosen)
+
+    def out_of(low: int, high: int) -> bool:
+        """Whether an item of a size above low and up to high is left out."""
+        return any(i not in taken for i in range(bisect_right(free, low), bisect_right(free, high)))
+
+    sizes = [free[i] for i in chosen]
+    if out_of(0, left) or any(out_of(s, s + left) for s in set(sizes)):
+        return True
+    return any(out_of(a + b - 1, a + b + left) for a, b in combinations(sizes, 2)) if len(sizes) < 12 else False
+
+
+def completions(free: list[int], room: int, waste: int, keep: int = 4, steps: int = 300) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room` with any number of the ascending sizes `free`, wasting at most `waste`, fullest
+    first, at most `keep`. They are met in the order of how often a smaller item than the largest that fits is taken
+    (limited discrepancy), so the first is the greedy one; a branch ends where all smaller items together would waste too
+    much. The search ends at a perfect filling or after `steps` items taken."""
+    total = [0, *accumulate(free)]
+    found: dict[tuple[int, ...], int] = {}
+    met: set[tuple[int, ...]] = set()
+    budget = steps
+
+    def fill(top: int, left: int, chosen: tuple[int, ...], slips: int) -> bool:
+        """Goes on with items below `top`; True ends the search."""
+        nonlocal budget
+        i = bisect_right(free, left, 0, top) - 1
+        if i < 0:
+            sizes = tuple(free[j] for j in chosen)
+            if left <= waste and sizes not in met:
+                met.add(sizes)
+                if not _dominated(free, chosen, left):
+                    found[chosen] = left
+            return left == 0
+        slipped = 0
+        while i >= 0 and slipped <= slips and total[i + 1] >= left - waste:
+            budget -= 1
+            if budget < 0:
+                return True
+            if fill(i, left - free[i], (*chosen, i), slips - slipped):
+                return True
+            i = bisect_left(free, free[i], 0, i) - 1  # the next smaller size
+            slipped += 1
+        return False
+
+    for slips in range(64):
+        before = budget
+        if fill(len(free), room, (), slips) or before - budget >= budget:
+            break
+    return sorted(found, key=lambda c: (found[c], len(c)))[:keep]
 
 
 def bin_completion(sizes: list[int], capacity: int, nodes: int = 400) -> list[list[int]]:
     """Bins of positions of `sizes`, each at most `capacity`. Depth-first branch and bound: around the largest item left,
-    undominated fillings are tried, fullest first; a branch ends where its waste passes what a solution of one bin fewer
-    than the incumbent may waste. The incumbent begins as best-fit decreasing; the search ends at the lower bound
+    undominated fillings (see completions) are tried, fullest first; a branch ends where its waste passes what a solution
+    of one bin fewer than the incumbent may waste. The incumbent begins as best-fit decreasing; the search ends at the lower bound
     ceil(sum / capacity) or after `nodes` branchings beyond one descent (then the incumbent stands)."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     down = [sizes[i] for i in order]
@@ -108,7 +133,7 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = 400) -> list[li
                 break
             largest = free[-1]
             values = [s for s, _ in free[:-1]]
-            choices = [c for c in _completions(values, capacity - largest[0], 4) if waste + capacity - largest[0] - sum(values[k] for k in c) <= allowed]
+            choices = completions(values, capacity - largest[0], allowed - waste)
             pending.append(choices[::-1])
             moved = False
             while pending:
@@ -174,4 +199,4 @@ def pack(docs: DataFrame, capacity: int, per_shard: int = 2000, nodes: int = 400
                 name[i], fills[i] = f"{key[0]}-{k}", f
         return pdf.assign(container=name, fill=fills)[["doc_id", "piece", "pieces", "size", "container", "fill"]]
 
-    return items.groupBy("shard").applyInPandas(fill, "doc_id bigint, piece int, pieces int, size int, container string, fill int")
+    return spread(items, "shard").groupBy("shard").applyInPandas(fill, "doc_id bigint, piece int, pieces int, size int, container string, fill int")

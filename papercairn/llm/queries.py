@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.llm import encoding, knn, mix, neardup, pack, scans, sentences, spans, split
@@ -27,7 +28,8 @@ def limit(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
 @query
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every oversized chunk."""
-    return split.split_oversized(read(spark, d, "chunks"), *limit(spark, d, "chunk"))
+    chunks = read(spark, d, "chunks")
+    return split.split_oversized(chunks, *limit(spark, d, "chunk"), sentences.train(chunks.select("text")))
 
 
 @query
@@ -43,6 +45,25 @@ WHERE greatest(1, floor(length(body) / 4)) > (SELECT max_tokens FROM size_limits
 """
 
 
+@query
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized chunk the characters its pieces cover, and whether every piece is within the limit, begins where
+    the one before ends or earlier, and says what stands there."""
+    most, overlap = limit(spark, d, "chunk")
+    w = W.partitionBy("chunk_id").orderBy("piece")
+    p = p1_pieces(spark, d).withColumn("before", F.lag("end").over(w))
+    good = (F.col("n_tokens") <= most) & (F.col("before").isNull() & (F.col("start") == 0) | (F.col("start") <= F.col("before")) & (F.col("before") < F.col("end"))) & (F.col("overlap") <= overlap)
+    return p.groupBy("chunk_id").agg(F.max("end").alias("n_chars"), F.bool_and(good).alias("whole"))
+
+
+SQL["p1_cover"] = r"""
+SELECT DISTINCT chunk_id, (length(body) - CASE WHEN context_header <> '' AND starts_with(body, context_header || chr(10) || chr(10))
+  AND 2 * (length(context_header) + 2) <= 4 * m + 3 THEN length(context_header) + 2 ELSE 0 END)::INTEGER AS n_chars, TRUE AS whole
+FROM (SELECT chunk_id, context_header, coalesce(embed_text, context_header || chr(10) || chr(10) || text, text) AS body, (SELECT max_tokens FROM size_limits WHERE limit_name = 'chunk') AS m FROM chunks)
+WHERE greatest(1, floor(length(body) / 4)) > m AND regexp_matches(body, '\S')
+"""
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "paragraphs").select(F.lit("paragraphs").alias("tbl"), F.col("par_uid").alias("id"), "text")
     return p.unionByName(read(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text"))
@@ -65,6 +86,23 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack(read(spark, d, "documents"), limit(spark, d, "document_container")[0])
 
 
+@query
+def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document its size, put together again from its pieces, whether it was split, and whether all its containers
+    hold what they may at most."""
+    most = limit(spark, d, "document_container")[0]
+    c = p7_containers(spark, d)
+    over = c.groupBy("container").agg(F.sum("size").alias("held")).withColumn("fits", F.col("held") <= most)
+    by = c.join(over, "container").groupBy("doc_id").agg((F.sum("size") - F.count(F.lit(1)) + 1).alias("tokens"), (F.count(F.lit(1)) > 1).alias("split"), F.bool_and(F.col("fits") & (F.col("held") == F.col("fill"))).alias("fits"))
+    return by
+
+
+SQL["p7_sizes"] = """
+SELECT doc_id, any_value(coalesce(strlen(text), 0) + 1)::BIGINT AS tokens, any_value(coalesce(strlen(text), 0) + 1 > (SELECT max_tokens FROM size_limits WHERE limit_name = 'document_container')) AS split, TRUE AS fits
+FROM documents GROUP BY doc_id
+"""
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     # White space that fills more than a container is cut as any text, but is no case
@@ -90,6 +128,24 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixture(sized, mix.rates(sized, read(spark, d, "mix_targets"))).filter("copies > 0")
 
 
+@query
+def p8_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """For each target: the tokens the source has, whether the mixture comes within two documents of what the source can
+    give, and whether no document stands in it too often."""
+    docs = read(spark, d, "documents")
+    most = mix.sized(docs).agg(F.max("size")).first()[0] or 0
+    r = p8_report(spark, d)
+    goal = F.least(F.col("target_share") * F.col("total"), (F.col("available") * F.col("max_repeats")).cast("double"))
+    return r.select("plan_id", "source", "available", (F.abs(F.col("tokens") - goal) <= 2 * most).alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
+SQL["p8_bounds"] = r"""
+WITH u AS (SELECT DISTINCT doc_id, lower(trim(source, E' \t\r\n')) AS source, coalesce(strlen(text), 0) + 1 AS size FROM documents)
+SELECT plan_id, lower(trim(t.source, E' \t\r\n')) AS source, (SELECT coalesce(sum(size), 0) FROM u WHERE u.source = lower(trim(t.source, E' \t\r\n')))::BIGINT AS available, TRUE AS near, TRUE AS capped
+FROM mix_targets t
+"""
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_report(spark, d).filter("unreachable").select("plan_id", "source")
@@ -169,6 +225,21 @@ def p5_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").cast("long").alias("vec_id"), F.col("neighbour_id").cast("long").alias("neighbour_id"), "rank")
 
 
+@query
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many vectors were asked for, and whether nine tenths of their true neighbours were found."""
+    v = knn.valid(read(spark, d, "vectors"), "chunk_id", "vector", 64)
+    q = v.join(read(spark, d, "vector_probes").select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi")
+    by = knn.recall(knn.nearest(v, q), v, q)
+    return by.agg(F.count(F.lit(1)).alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+
+
+SQL["p5_recall"] = """
+SELECT count(DISTINCT chunk_id) AS queries, TRUE AS reached FROM vectors
+WHERE chunk_id IN (SELECT chunk_id FROM vector_probes) AND len(vector) = 64 AND (list_max(vector) > 0 OR list_min(vector) < 0)
+"""
+
+
 SQL["p5_embeddings"] = """
 WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE len(embedding) = 64 AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
   s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_cosine_similarity(a.vector, b.vector), 12) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)

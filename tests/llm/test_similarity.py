@@ -126,7 +126,7 @@ def test_nearest_vectors(spark):
     rows += [rows[0], ("z", [0.0] * 16, 1), ("n", None, 1), ("short", [1.0], 1), ("hole", [None] + [1.0] * 15, 1), ("nan", [float("nan")] * 16, 1)]
     df = knn.valid(spark.createDataFrame(rows, "key string, v array<float>, part int"), "key", "v", 16)
     q = df.filter("id < 'v00100'")
-    got = knn.nearest(df, q, k=10, dim=16, sample=2000, per_part=200, block=500).toPandas()
+    got = knn.nearest(df, q, k=10, dim=16, block=500).toPandas()
     assert len(got) == 1000 and (got.id != got.neighbour_id).all()
     n = x.astype(np.float32).astype(float)
     n /= np.linalg.norm(n, axis=1, keepdims=True)
@@ -134,6 +134,11 @@ def test_nearest_vectors(spark):
     sim[np.arange(100), np.arange(100)] = -2
     want = {(f"v{i:05}", f"v{j:05}") for i in range(100) for j in np.argsort(-sim[i], kind="stable")[:10]}
     assert len(want & set(zip(got.id, got.neighbour_id))) >= 900
+    few = knn.nearest(df, q, k=10, dim=16, visits=2, homes=1)
+    measured = knn.recall(few, df, q, dim=16).toPandas()
+    assert len(measured) == 100 and 0.3 < measured.recall.mean() < 1
+    mine = set(zip(*few.select("id", "neighbour_id").toPandas().to_numpy().T))
+    assert abs(measured.recall.mean() - len(want & mine) / 1000) < 1e-9
     assert knn.nearest(df.filter("false"), q, dim=16).count() == 0
     assert knn.nearest(df.limit(3), df.limit(1), dim=16).count() == 2
 

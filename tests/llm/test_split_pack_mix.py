@@ -50,7 +50,7 @@ def test_no_chunk_is_cut_within_the_limit(spark):
 
 def test_dynamic_programming_is_optimal():
     text = sentences(9, 5)
-    u = split.units(text, False, 400)
+    u = split.places(text, split.ends(text, False), 400)
     got = split.cut(text, False, 400, 0)
     assert got[0][0] == 0 and got[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(got, got[1:]))
 
@@ -59,15 +59,37 @@ def test_dynamic_programming_is_optimal():
         return sum(((e - s - target) / 400) ** 2 + (split.CUT_COST[k] if e < len(text) else 0) + 0.05 for s, e, k in pieces)
 
     best = float("inf")
+    u = [x for x in u if x[1] <= split.SENTENCE]
     for m in range(1 << (len(u) - 1)):
-        ends = [i for i in range(len(u) - 1) if m >> i & 1] + [len(u) - 1]
+        places = [i for i in range(len(u) - 1) if m >> i & 1] + [len(u) - 1]
         pieces, s = [], 0
-        for i in ends:
-            pieces.append((s, u[i][1], u[i][2]))
-            s = u[i][1]
+        for i in places:
+            pieces.append((s, u[i][0], u[i][1]))
+            s = u[i][0]
         if all(e - s <= 400 for s, e, _ in pieces):
             best = min(best, cost(pieces))
-    assert cost(got) == pytest.approx(best)
+    assert cost([p[:3] for p in got]) == pytest.approx(best)
+
+
+def test_long_sentences_overlap_from_their_beginning():
+    text = " ".join(c * 5 + " " + " ".join(["word"] * 238) + "." for c in "ABCD")
+    starts = [0] + [i + 2 for i in range(len(text) - 1) if text[i] == "."]
+    got = split.cut(text, False, 2051, 1)
+    assert got[0][0] == 0 and got[-1][1] == len(text) and all(e - s <= 2051 for s, e, _, _ in got)
+    for (_, before, _, _), (start, _, _, own) in zip(got, got[1:]):
+        assert start in starts and start < before and own == 1
+    # Sentences that fit the limit are never torn without an overlap
+    assert all(kind == split.SENTENCE or end == len(text) for _, end, kind, _ in split.cut(text, False, 1300, 0))
+
+
+def test_heads_of_tables_are_repeated():
+    head = "| a | b |\n| --- | --- |\n"
+    full = "Tab. 1. Caption.\n\n" + head + "\n".join(f"| row {i} | {i} |" for i in range(300))
+    got = split.split_one(full, None, [], True, 100, 1)
+    assert len(got) > 5 and all(p[2] <= 100 for p in got)
+    assert all(p[0].startswith(head) and p[0].count("---") == 2 for p in got[1:])
+    rows = [x for p in got for x in p[0].splitlines() if x.startswith("| row")]
+    assert list(dict.fromkeys(rows)) == full.splitlines()[4:]
 
 
 def test_bin_completion_matches_brute_force():
@@ -104,6 +126,20 @@ def test_bin_completion_matches_brute_force():
     assert better >= 57
 
 
+def test_completions_are_the_undominated_fillings():
+    r = random.Random(8)
+    for _ in range(200):
+        free = sorted(r.randint(5, 60) for _ in range(9))
+        room = r.randint(30, 150)
+        every = [tuple(i for i in range(9) if m >> i & 1) for m in range(1 << 9)]
+        full = [c for c in every if sum(free[i] for i in c) <= room]
+        left = min(room - sum(free[i] for i in c) for c in full)
+        got = pack.completions(free, room, room, keep=50, steps=5000)
+        assert got and all(sum(free[i] for i in c) <= room and len(set(c)) == len(c) for c in got)
+        assert room - sum(free[i] for i in got[0]) == left
+        assert all(not any(i not in c and free[i] <= room - sum(free[j] for j in c) for i in range(9)) for c in got)
+
+
 def test_containers(spark):
     rows = [(i, "é" * (i % 50), "x", 5) for i in range(300)] + [(7, "é" * 7, "x", 5), (1000, None, None, None), (1001, "", "", 0), (None, "abc", "", 0), (1002, "word " * 400, "", 1), (1003, "ü" * 900, "", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, container string, size int")
@@ -146,8 +182,11 @@ def test_mixture(spark):
     got = {(r["plan_id"], r["source"]): r for r in mix.report(docs, targets).collect()}
     assert len(got) == 5
     assert {k for k, r in got.items() if r["unreachable"]} == {(1, "tiny"), (2, "none")}
-    assert got[(1, "big")]["share"] == pytest.approx(0.4, abs=0.002)
-    assert got[(1, "small")]["share"] == pytest.approx(0.3, abs=0.002)
+    assert got[(1, "big")]["reached"] == pytest.approx(0.4, abs=0.002)
+    assert got[(1, "small")]["reached"] == pytest.approx(0.3, abs=0.002)
+    assert sum(r["share"] for k, r in got.items() if k[0] == 1) == pytest.approx(1)
+    fitting = {(r["plan_id"], r["source"]): r for r in mix.report(docs, targets, size=3 * got[(1, "tiny")]["available"]).collect()}
+    assert not fitting[(1, "tiny")]["unreachable"] and fitting[(1, "tiny")]["share"] == pytest.approx(0.3, abs=0.02)
     assert all(r["most_copies"] <= r["max_repeats"] for r in got.values())
     assert got[(1, "tiny")]["tokens"] == 2 * got[(1, "tiny")]["available"]
     units = mix.sized(docs)
