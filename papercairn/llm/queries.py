@@ -75,10 +75,41 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs_of_rows(links, members)
 
 
+def _classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """tbl, id, class (its smallest id), links: the number of other classes linked to it."""
+    g = neardup.groups(links, members)
+    first = members.groupBy("tbl", "cls").agg(F.min("id").alias("class"))
+    return g.join(first, ["tbl", "cls"]).select("tbl", "id", "class", "links")
+
+
 @query
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Class and number of linked classes of every paragraph and chunk, at five words and 0.8."""
-    return neardup.groups(*neardup.near_duplicates(_texts(spark, d), 0.8))
+    return _classes(*neardup.near_duplicates(_texts(spark, d), 0.8))
+
+
+@query
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """As p6_groups, at the three words and 0.6 of p6_found."""
+    return _classes(*neardup.near_duplicates(_texts(spark, d), 0.6, 3))
+
+
+def _classes_sql(size: int, threshold: float) -> str:
+    """By all pairs of texts that have a run of words in common."""
+    return rf"""
+WITH t AS (SELECT DISTINCT 'paragraphs' AS tbl, par_uid AS id, text FROM paragraphs UNION SELECT DISTINCT 'chunks', chunk_id, text FROM chunks),
+  w AS (SELECT tbl, id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM t WHERE text IS NOT NULL),
+  u AS (SELECT tbl, id, w, min(id) OVER (PARTITION BY tbl, array_to_string(w, ' ')) AS class FROM w WHERE len(w) >= 20),
+  c AS (SELECT tbl, class, any_value(w) AS w FROM u GROUP BY ALL),
+  g AS (SELECT DISTINCT tbl, class, array_to_string(w[i : i + {size - 1}], ' ') AS s FROM (SELECT tbl, class, w, unnest(range(1, len(w) - {size - 2})) AS i FROM c)),
+  n AS (SELECT tbl, class, count(*) AS n FROM g GROUP BY ALL),
+  p AS (SELECT a.tbl, a.class AS x, b.class AS y, count(*) AS common FROM g a JOIN g b ON a.tbl = b.tbl AND a.s = b.s AND a.class <> b.class GROUP BY ALL),
+  l AS (SELECT p.tbl, x, count(*) AS links FROM p JOIN n a ON a.tbl = p.tbl AND a.class = x JOIN n b ON b.tbl = p.tbl AND b.class = y WHERE common >= {threshold} * (a.n + b.n - common) GROUP BY ALL)
+SELECT u.tbl, u.id, u.class, coalesce(links, 0)::BIGINT AS links FROM u LEFT JOIN l ON l.tbl = u.tbl AND l.x = u.class
+""".replace("\\p", "\p")
+
+
+SQL["p6_groups"], SQL["p6_classes"] = _classes_sql(5, 0.8), _classes_sql(3, 0.6)
 
 
 @query

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.tables import blank, kept
@@ -41,15 +42,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def windows(codes: np.ndarray, owner: np.ndarray, gram: int, width: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+def windows(codes: np.ndarray, owner: np.ndarray, gram: int, width: int, powers: tuple[np.ndarray, np.ndarray], every: bool = False) -> tuple[np.ndarray, ...]:
     """(position, key, grams to the left, grams to the right) of the compact windows of at least `width` grams.
 
     A gram is a run of `gram` characters of one text; `owner` tells texts apart. A compact window groups all runs of grams
     that have one minimum hash, at one position: it reaches to the next smaller hash on either side, as a node of the
     Cartesian tree of hashes does. Only those positions can head a window of `width` grams that are the leftmost minimum
     of a run of `width`, so only these are looked at. Reaches are cut at `width`. Of a run of windows with one key, as
-    in periodic text, the first two and the last stay: any span that such a run shares with another text begins or ends
-    with one of them in both."""
+    in periodic text, only the first two and the last stay unless `every` is set: that two texts share a span shows at
+    one of them in both, though not every place of it."""
     n = len(codes) - gram - width + 2
     none = (np.empty(0, np.int64),) * 4
     if n < 1:
@@ -71,7 +72,8 @@ def windows(codes: np.ndarray, owner: np.ndarray, gram: int, width: int, powers:
     key = h[c]
     same = (key[1:] == key[:-1]) & (owner[c[1:]] == owner[c[:-1]])
     drop = np.zeros(len(c), bool)
-    drop[2:-1] = same[1:-1] & same[:-2] & same[2:]
+    if not every:
+        drop[2:-1] = same[1:-1] & same[:-2] & same[2:]
     c, key = c[~drop], key[~drop]
     reach = []
     tables = [v]
@@ -96,7 +98,7 @@ def windows(codes: np.ndarray, owner: np.ndarray, gram: int, width: int, powers:
     return c, key, reach[0], reach[1]
 
 
-def _windows_of(gram: int, width: int):
+def _windows_of(gram: int, width: int, every: bool = False):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(SEGMENT + 1)
         for b in batches:
@@ -107,7 +109,7 @@ def _windows_of(gram: int, width: int):
                 codes = np.concatenate([g[2] for g in group])
                 lengths = np.array([len(g[2]) for g in group])
                 owner = np.repeat(np.arange(len(group), dtype=np.int32), lengths)
-                c, key, left, right = windows(codes, owner, gram, width, powers)
+                c, key, left, right = windows(codes, owner, gram, width, powers, every)
                 own = owner[c]
                 start = np.concatenate([[0], np.cumsum(lengths)])[own] if len(c) else np.empty(0, np.int64)
                 offset = np.array([g[1] for g in group])[own] if len(c) else np.empty(0, np.int64)
@@ -158,8 +160,10 @@ def shared(docs: DataFrame, least: int = 200, gram: int = 120) -> tuple[DataFram
     that two different texts have in common; members has cls and doc_id of all documents long enough to count.
 
     Every run of `least` characters holds least - gram + 1 grams, whose minimum hash heads a compact window that holds them
-    all, in either text; so no shared run is missed, with one hash. Windows are joined on that hash and on what both
-    intervals have in common; the texts then decide. Copies of a text are one class. Blank, null and shorter texts have
+    all, in either text; so no two texts that share a run are missed, with one hash. Windows are joined on that hash and on
+    what both intervals have in common; the texts then decide. Where a text repeats itself with a short period, a shared
+    run is listed at the beginnings and ends of the periodic stretches only, not at each of its places (coverage() counts
+    all of them). Copies of a text are one class. Blank, null and shorter texts have
     no rows."""
     if not 0 < gram <= least:
         raise ValueError("gram must lie between 1 and least")
@@ -209,17 +213,49 @@ def pairs_of_documents(spans: DataFrame, members: DataFrame) -> DataFrame:
 
 def coverage(docs: DataFrame, least: int = 200, gram: int = 120) -> DataFrame:
     """doc_id, cls, n_chars, shared_chars, n_spans, share: how much of each document stands in another one; one row per
-    document, 0 where nothing does. Overlapping spans count once; a copy stands wholly elsewhere."""
-    spans, members = shared(docs, least, gram)
-    ends = spans.select(F.col("cls_a").alias("cls"), F.col("start_a").alias("start"), "length").unionByName(spans.select(F.col("cls_b").alias("cls"), F.col("start_b").alias("start"), "length")).select("cls", "start", (F.col("start") + F.col("length")).alias("end")).groupBy("cls", "start").agg(F.max("end").alias("end"))
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("cls").orderBy("start")
-    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    merged = ends.withColumn("before", before).groupBy("cls").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("before", "start")))).alias("chars"), F.sum(F.when(F.col("before").isNull() | (F.col("before") < F.col("start")), 1).otherwise(0)).alias("spans"))
+    document, 0 where nothing does. Overlapping spans count once; a copy stands wholly elsewhere.
+
+    No pairs of texts are formed, so a stretch that any number of texts share costs as much as it has characters in all of
+    them: compact windows whose minimum occurs in more than one class name the runs of `least` characters that may be
+    shared; these are hashed, and a hash of more than one class marks the place in all of them."""
+    if not 0 < gram <= least:
+        raise ValueError("gram must lie between 1 and least")
+    width = least - gram + 1
+    d = classed(docs, least)
+    members = kept(d.select("cls", "doc_id").distinct())
+    w = kept(d.select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_windows_of(gram, width, True), "key bigint, cls bigint, pos int, lft smallint, rgt smallint"))
+
+    def in_two(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min("cls").alias("one"), F.max("cls").alias("other")).filter("one < other").select(*keys)
+
+    # Starts of the runs whose minimum is at pos: one range for each window
+    ranges = w.join(in_two(w, "key"), "key").select("cls", F.struct((F.col("pos") - F.col("lft")).alias("low"), (F.col("pos") + F.col("rgt") - width + 1).alias("high")).alias("r")).filter("r.low <= r.high")
+    ranges = ranges.groupBy("cls").agg(F.collect_list("r").alias("ranges"))  # at most one for each character of a text
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, text, found in zip(*(b.column(k).to_pylist() for k in ("cls", "text", "ranges"))):
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                if len(codes) < least:
+                    continue
+                up, down = _powers(len(codes) + 1)
+                total = np.zeros(len(codes) + 1, np.uint64)
+                np.cumsum(_mixed((codes.astype(np.uint64) + np.uint64(1)) * MULT) * up[: len(codes)], out=total[1:])
+                edge = np.zeros(len(codes) + 2, np.int32)
+                np.add.at(edge, [max(0, r["low"]) for r in found], 1)
+                np.add.at(edge, [min(len(codes), r["high"] + 1) for r in found], -1)
+                at = np.flatnonzero(np.cumsum(edge)[: len(codes) - least + 1])
+                part = (total[at + least] - total[at]) * down[at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cls, np.int64)), pa.array(at.astype(np.int32)), pa.array(_mixed(part).view(np.int64)), pa.array(_mixed(part ^ MIX1).view(np.int64) >> 40)], ["cls", "start", "h1", "h2"])
+
+    texts = d.select("cls", "text").dropDuplicates(["cls"]).join(ranges, "cls")
+    at = kept(texts.mapInArrow(runs, "cls bigint, start int, h1 bigint, h2 bigint"))
+    marked = at.join(in_two(at, "h1", "h2"), ["h1", "h2"], "left_semi").select("cls", "start")
+    before = F.col("start") - F.lag("start").over(W.partitionBy("cls").orderBy("start"))
+    merged = marked.withColumn("step", before).groupBy("cls").agg(F.sum(F.least(F.lit(least), F.coalesce("step", F.lit(least)))).alias("chars"), F.sum(F.when(F.col("step").isNull() | (F.col("step") > least), 1).otherwise(0)).alias("spans"))
     copies = members.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
     sizes = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars")).dropDuplicates(["doc_id"])
     out = sizes.join(members, "doc_id", "left").join(merged, "cls", "left").join(copies, "cls", "left")
     copied = F.coalesce(F.col("copies") > 1, F.lit(False))
     chars = F.when(copied, F.col("n_chars")).otherwise(F.coalesce("chars", F.lit(0)))
-    return out.select("doc_id", "cls", "n_chars", chars.alias("shared_chars"), F.when(copied, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).alias("n_spans"), F.when(F.col("n_chars") > 0, chars / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"))
+    return out.select("doc_id", "cls", "n_chars", chars.cast("long").alias("shared_chars"), F.when(copied, F.lit(1)).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"), F.when(F.col("n_chars") > 0, chars / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"))

@@ -54,7 +54,7 @@ def test_large_nodes_are_divided(spark):
     base = text(r, 60)
     rows = [("p", f"{i:04}", edited(r, base, r.randint(0, 2))) for i in range(150)]
     df = spark.createDataFrame(rows, "tbl string, id string, text string")
-    links, members = neardup.near_duplicates(df, 0.8, 5, node=8)
+    links, members = neardup.near_duplicates(df, 0.8, 5, node=8, block=16)
     got = {tuple(x) for x in neardup.pairs_of_rows(links, members).collect()}
     want = truth(rows, 5, 0.8)
     assert got <= want and len(got) >= 0.97 * len(want) > 1000
@@ -92,30 +92,40 @@ def test_shared_spans_against_all_pairs(spark):
     got = {tuple(x) for x in spans.pairs_of_documents(found, members).collect()}
     want = {(a, b) for a, b in brute(docs, 50)}
     assert got == want and len(want) >= 20
+    docs |= {110: "x" + "-" * 1000, 111: "y" + "-" * 300 + "z", 112: "ab " * 400, 113: "?" + "ab " * 90}
+    df = df.union(spark.createDataFrame([(k, docs[k], 7, 1) for k in range(110, 114)], df.schema))
     cover = {x["doc_id"]: x for x in spans.coverage(df, 50, 30).collect()}
     assert len(cover) == len(docs) + 2
     assert cover[104]["share"] == 1.0 and cover[200]["share"] == 0.0
-    for a in range(70):
+    for a in docs:
         n = set()
         for b in docs:
-            if a != b and docs[b].strip():
+            if a != b and docs[b].strip() and docs[a].strip():
                 for i in range(len(docs[a]) - 49):
                     if docs[a][i : i + 50] in docs[b]:
                         n |= set(range(i, i + 50))
-        assert cover[a]["shared_chars"] == len(n)
+        assert cover[a]["shared_chars"] == len(n), a
+        assert cover[a]["n_spans"] == sum(i - 1 not in n for i in n), a
     assert all(x.count() == 0 for x in spans.shared(df.filter("false"), 50, 30))
 
 
+def test_coverage_of_a_common_stretch_is_linear(spark):
+    r = random.Random(4)
+    common = text(r, 40)
+    rows = [(i, f"{text(r, 3)} {i} {common} {i} {text(r, 3)}") for i in range(3000)]
+    cover = spans.coverage(spark.createDataFrame(rows, "doc_id bigint, text string"), 100, 60).toPandas()
+    assert len(cover) == 3000 and (cover.n_spans == 1).all() and (cover.shared_chars >= len(common) + 2).all()
+
+
 def test_windows_cover_every_run():
     rng = np.random.default_rng(5)
     codes = rng.integers(97, 100, 3000).astype(np.uint32)
     owner = np.repeat([0, 1, 2], [1000, 1500, 500]).astype(np.int32)
-    c, key, left, right = spans.windows(codes, owner, 12, 20, spans._powers(4000))
-    assert (left + right + 1 >= 20).all() or True
-    for s in range(0, 3000 - 31, 7):
+    c, key, left, right = spans.windows(codes, owner, 12, 20, spans._powers(4000), True)
+    assert (left + right + 1 >= 20).all() and len(left) == len(right) == len(c) == len(key)
+    for s in range(0, 3000 - 31):
         if owner[s] == owner[s + 30]:
-            inside = [(k, x) for k, x in zip(c, key) if s <= k <= s + 19]
-            assert inside
+            assert any(k - a <= s and s + 19 <= k + b for k, a, b in zip(c, left, right) if s <= k <= s + 19)
 
 
 def test_nearest_vectors(spark):
