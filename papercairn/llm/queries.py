@@ -318,4 +318,4 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_repaired(spark, d).select("tbl", "rec_id")
+    return p2_repaired(spark, d).filter("hyphens + misread + furniture > 0").select("tbl", "rec_id")

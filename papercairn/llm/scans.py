@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 import re
+import zlib
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papercairn.llm.lexicon import counts
-from papercairn.tables import blank
+from papercairn.tables import blank, kept
 
 #: What is read for a letter, and the letters it may stand for.
 MISREAD = {"1": ("l", "i"), "0": ("o",), "5": ("s",), "@": ("a",), "c": ("e",), "b": ("h",), "ri": ("n",), "cl": ("d",), "rn": ("m",), "vv": ("w",), "8": ("b",), "|": ("l", "i")}
@@ -20,7 +24,8 @@ MISREAD = {"1": ("l", "i"), "0": ("o",), "5": ("s",), "@": ("a",), "c": ("e",),
 DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "Z": "2", "S": "5", "b": "6", "B": "8", "g": "9"}
 #: -log of the share of misread characters, of words torn or run together.
 MISREAD_COST, SPACE_COST, UNKNOWN_COST = 3.5, 9.0, 15.5
-MOST_MISREAD = 3
+#: That of a letter of a word no one knows, where it may be two words or a part of one.
+LETTER_COST = 2.3
 
 _TOKEN = re.compile(r"[\w@|]+")
 _LATIN = re.compile("[a-z0-9@|À-ɏ]+")
@@ -72,6 +77,9 @@ class Decoder:
     def __init__(self, lexicon: dict[str, int]):
         self.n = lexicon
         self.total = sum(n for w, n in lexicon.items() if "-" not in w) or 1
+        self.sorted = sorted(w for w in lexicon if "-" not in w)
+        #: What the most frequent word costs: no reading costs less.
+        self.floor = -math.log(max(lexicon.values(), default=1) / self.total)
         self.fixes: dict[str, tuple[float, str] | None] = {}
         self.pieces: dict[str, bool] = {}
 
@@ -92,31 +100,46 @@ class Decoder:
             return None
         digits = sum(c.isdigit() for c in word)
         odd = "@" in word or "|" in word
-        if (len(word) >= 3 or odd and len(word) == 2) and len(word) <= 34 and digits * 2 < len(word) and not (digits and len(word) < 4 and word[0].isalpha() and word[1:].isdigit()):
-            spots = [(i, k, to) for k, to in MISREAD.items() for i in range(len(word)) if word.startswith(k, i)]
-            least = self.cost(word)
+        if (len(word) >= 3 or odd and len(word) == 2) and digits * 2 < len(word) and not (digits and len(word) < 4 and word[0].isalpha() and word[1:].isdigit()):
             # Digits and signs inside a word are all misread
-            must = {i for i, k, _ in spots if not k.isalpha()}
-            for m in range(max(1, len(must)), max(MOST_MISREAD, len(must)) + 1 if len(must) <= 6 else 0):
-                for chosen in itertools.combinations(sorted(spots), m) if len(spots) <= 16 or m < 3 else ():
-                    if not must <= {i for i, _, _ in chosen} or any(a[0] + len(a[1]) > b[0] for a, b in itertools.pairwise(chosen)):
-                        continue
-                    for letters in itertools.product(*(to for _, _, to in chosen)):
-                        out, at = [], 0
-                        for (i, k, _), x in zip(chosen, letters):
-                            out += [word[at:i], x]
-                            at = i + len(k)
-                        c = "".join([*out, word[at:]])
-                        if c in self.n and (cost := self.cost(c) + MISREAD_COST * m) < least:
-                            least, best = cost, (cost, c)
-                if best:
-                    break
+            must = {i for i, c in enumerate(word) if c in MISREAD and not c.isalpha()}
+            least = self.cost(word)
+            best = self.reading(word, must, least)
             if not best and must and re.search("[a-zÀ-ɏ][015@][a-zÀ-ɏ]", word) and digits + odd == len(must) and least >= UNKNOWN_COST and len(word) >= 5:
                 # A name no one knows: signs between letters can still be nothing but misread letters
                 best = (UNKNOWN_COST, "".join(MISREAD[c][-1 if c == "1" else 0] if c in MISREAD and not c.isalpha() else c for c in word))
         self.fixes[word] = best
         return best
 
+    def reading(self, word: str, must: set[int], least: float) -> tuple[float, str] | None:
+        """(cost, word) of the cheapest word of the lexicon that may have been misread as this one, if it costs less than
+        `least`: a walk over its characters, each kept or taken for what it may stand for, as long as some word begins so."""
+        best = None
+        open_: list[tuple[int, int, str]] = [(0, 0, "")]  # misread, place, letters so far
+        while open_:
+            n, i, so_far = heapq.heappop(open_)
+            if MISREAD_COST * n + self.floor >= least:
+                break
+            if i == len(word):
+                if n and so_far in self.n and (cost := self.cost(so_far) + MISREAD_COST * n) < least:
+                    least, best = cost, (cost, so_far)
+                continue
+            steps = [] if i in must else [(n, i + 1, so_far + word[i])]
+            for k in (word[i], word[i : i + 2]):
+                for to in MISREAD.get(k, ()) if len(k) == 1 or len(word) > i + 1 else ():
+                    steps.append((n + 1, i + len(k), so_far + to))
+            for step in steps:
+                if step[1] == len(word) or self.begins(step[2]):
+                    heapq.heappush(open_, step)
+        return best
+
+    def begins(self, letters: str) -> bool:
+        """Whether some word of the lexicon begins with these letters."""
+        if len(letters) < 3:
+            return True
+        i = bisect_left(self.sorted, letters)
+        return i < len(self.sorted) and self.sorted[i].startswith(letters)
+
     def word(self, shown: str) -> str | None:
         """The word that was misread as `shown`, in the case of `shown`; None if it stands."""
         if (hit := self.fix(shown.lower())) is None:
@@ -179,6 +202,8 @@ class Decoder:
             core = _LETTERS.fullmatch(shown)
             own = self.word(shown) if _TOKEN.fullmatch(shown) else None
             c = self.fix(shown.lower())[0] if own else self.cost(shown.lower()) if core else 0.0
+            if core and not own and c == UNKNOWN_COST:
+                c = max(c, LETTER_COST * len(shown))
             options = [(best[j][0] + c, j, [own or shown])]
             if core and not own and len(shown) > 4 and shown.lower() not in self.n:
                 for k in range(2, len(shown) - 1):
@@ -217,12 +242,23 @@ class Decoder:
             joined[i] = math.log1p(math.exp(odds))
         cut = [0.0, *(x and math.log1p(math.exp(-math.log(math.expm1(x)))) for x in joined[1:n]), 0.0]
         total = list(itertools.accumulate(joined))
+        size = [0, *itertools.accumulate(map(len, lines))]
+        # What a paragraph from i on costs beside best[i], less what the joins up to i would; the least of those long enough
+        # in `far`, of the shorter ones in a queue of ascending costs
+        far, near, at = (math.inf, 0), deque(), 0
         for j in range(1, n + 1):
-            for i in range(max(0, j - 400), j):
-                size = len(lines[i]) * (j - i)
-                cost = best[i][0] + (cut[i] if i else 0.0) + total[j - 1] - total[i] + 0.3 + (0.7 if size < 80 else 0.0)
-                if cost < best[j][0]:
-                    best[j] = (cost, i)
+            i = j - 1
+            mine = (best[i][0] + (cut[i] if i else 0.0) - total[i], i)
+            while near and near[-1] >= mine:
+                near.pop()
+            near.append(mine)
+            while at < j and size[j] - size[at] >= 50:
+                far = min(far, (best[at][0] + (cut[at] if at else 0.0) - total[at], at))
+                at += 1
+            while near and near[0][1] < at:
+                near.popleft()
+            cost, i = min((far[0] + 0.3, far[1]), (near[0][0] + 1.0, near[0][1]) if near else (math.inf, 0))
+            best[j] = (cost + total[j - 1], i)
         out, j = [], n
         while j:
             i = best[j][1]
@@ -238,12 +274,19 @@ class Decoder:
             hit = self.pieces[piece] = any(self.fix(w) is not None for w in _TOKEN.findall(piece.lower()))
         return hit
 
+    def unspaced(self, piece: str) -> bool:
+        """Whether a piece between white space holds a word of letters that nobody knows."""
+        return any(w not in self.n for w in _LETTERS.findall(piece.lower()))
+
     def joined(self, text: str, marks: re.Pattern, cell: bool) -> tuple[str, int]:
         """The text with words cut at these marks joined, and how many. What a mark parts for good keeps a hyphen, and no
         line end."""
         out, at, n = [], 0, 0
         for m in marks.finditer(text):
-            a, b = _WORD_END.search(text[max(0, m.start() - 40) : m.start()]), _WORD_START.match(text, m.end())
+            start = m.start()
+            while start > at and (text[start - 1].isalnum() or text[start - 1] in "@|"):
+                start -= 1
+            a, b = _WORD_END.search(text[start : m.start()]), _WORD_START.match(text, m.end())
             if not a or not b:
                 continue
             one = self.joins(a[0], m[1], b[0], cell)
@@ -253,11 +296,12 @@ class Decoder:
                 n += one
         return ("".join([*out, text[at:]]), n) if out else (text, 0)
 
-    def text(self, text: str) -> tuple[str, int, int, int]:
-        """(repaired text, cut words joined, misread words, lines of page furniture)."""
+    def text(self, text: str, again: list[int] | None = None) -> tuple[str, int, int, int, int]:
+        """(repaired text, cut words joined, misread words, pieces of page furniture, words torn or run together). again:
+        lines known to recur from page to page."""
         hyphens = misread = 0
         lines = _BREAK.split(text)
-        gone = self.furniture(lines) if len(lines) > 1 else set()
+        gone = self.furniture(lines) | {i for i in again or () if i < len(lines)} if len(lines) > 1 else set()
         headers = 0
         flat = text
         if len(lines) > 1:
@@ -269,8 +313,10 @@ class Decoder:
                 headers += n
         if headers:
             flat = re.sub("(?<=[^ ]) {2,}(?=[^ ])", " ", flat)
-        if (m := _RUNNING.search(flat)) and len(m[0]) >= 34:
-            flat, headers = flat[: m.start()] + flat[m.end() :], headers + 1
+        runs = [m for m in _RUNNING.finditer(flat) if len(m[0]) >= 34]
+        for m in reversed(runs):
+            flat = flat[: m.start()] + flat[m.end() :]
+        headers += len(runs)
         if len(lines) > 1:
             for _ in range(2):  # a word may be cut twice
                 flat, n = self.joined(flat, _LINE_MARK, False)
@@ -289,8 +335,9 @@ class Decoder:
                 return w
 
             flat = _TOKEN.sub(put, flat)
-        if not (hyphens or misread or gone or headers):
-            return text, 0, 0, 0
+        respaced = 0
+        if not (hyphens or misread or gone or headers) and not any(map(self.unspaced, set(pieces))):
+            return text, 0, 0, 0, 0
         out = []
         for p in self.paragraphs(flat.split("\n")):
             parts = re.split(r"(\W+)", p)
@@ -302,15 +349,19 @@ class Decoder:
                     while k + 2 < len(parts) and parts[k + 1] == " ":
                         stretch.append(parts[k + 2])
                         k += 2
-                    pieces.append(" ".join(self.spaces(stretch)))
+                    set_ = self.spaces(stretch)
+                    respaced += abs(len(set_) - len(stretch)) or set_ != stretch
+                    pieces.append(" ".join(set_))
                     if k + 1 < len(parts):
                         pieces.append(parts[k + 1])
                     k += 2
                 p = "".join(pieces)
             out.append(p)
-        return "\n\n".join(out), hyphens, misread, len(gone) + headers
+        if not (hyphens or misread or gone or headers or respaced):
+            return text, 0, 0, 0, 0
+        return "\n\n".join(out), hyphens, misread, len(gone) + headers, respaced
 
-    def table(self, markdown: str) -> tuple[str, int, int, int]:
+    def table(self, markdown: str) -> tuple[str, int, int, int, int]:
         """As text(), for a table in Markdown: its rows stay, cells are repaired one by one."""
         hyphens = misread = 0
         lines = _BREAK.split(markdown)
@@ -356,32 +407,71 @@ class Decoder:
                     cells[k] = _TOKEN.sub(put, cell)
             out.append("|".join(cells))
         if not (hyphens or misread or gone):
-            return markdown, 0, 0, 0
-        return "\n".join(out), hyphens, misread, len(gone)
+            return markdown, 0, 0, 0, 0
+        return "\n".join(out), hyphens, misread, len(gone), 0
+
+
+_FIGURES = re.compile(r"\d+")
+_WORDS = re.compile(r"\w+")
+
+
+def _first(line: str) -> int:
+    """The least hash of a line's words: what a line with a word or two changed still has, mostly."""
+    return min((zlib.crc32(w.encode("utf-8", "replace")) for w in _WORDS.findall(line.lower())), default=0)
+
+
+def recurring(texts: DataFrame, least: int = 4, spread_out: float = 0.75) -> DataFrame:
+    """tbl, rec_id, lines: the lines (numbers from 0) of each text that recur as running headers do: the same but for its
+    figures, in `least` texts or more, with other text around it nearly every time (lines of repeated texts have the same
+    around them). Lines at either end of a text and those of fewer than eight letters don't count. Lines are counted by
+    hashes, in part before they are shuffled."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for tbl, key, text in zip(*(b.column(k).to_pylist() for k in ("tbl", "rec_id", "text"))):
+                here = _BREAK.split(text)
+                for i in range(1, len(here) - 1):
+                    s = _FIGURES.sub("#", here[i].strip().lower())
+                    if sum(c.isalpha() for c in s) >= 8:
+                        rows.append((tbl, key, i, s, _first(here[i - 1]), _first(here[i + 1])))
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tbl", "rec_id", "i", "s", "above", "below"])
+
+    source = texts.select("tbl", "rec_id", "text").filter(~F.col("is_table") & F.col("text").rlike(r"[\n\r\x0B\x0C]"))
+    found = kept(source.mapInArrow(lines, "tbl string, rec_id string, i int, s string, above bigint, below bigint").select("tbl", "rec_id", "i", F.xxhash64("s").alias("h"), "above", "below"))
+    sides = found.select("h", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("above").alias("w")), F.struct(F.lit(1).alias("side"), F.col("below").alias("w")))).alias("x"))
+    sides = sides.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n")).groupBy("h", "x.side").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("others"))
+    again = sides.filter((F.col("n") >= least) & (F.col("others") >= spread_out * F.col("n"))).groupBy("h").agg(F.count(F.lit(1)).alias("sides")).filter("sides = 2").select("h")
+    return found.join(again, "h").groupBy("tbl", "rec_id").agg(F.array_sort(F.collect_set("i")).alias("lines"))
 
 
 def repaired(texts: DataFrame, lexicon_share: float = 1e-6) -> DataFrame:
-    """tbl, rec_id, text, hyphens, misread, furniture of every row of `texts` (tbl, rec_id, text, is_table) in which words
-    were cut, characters misread or page furniture left; text is the repaired one.
+    """tbl, rec_id, text, hyphens, misread, furniture, respaced of every row of `texts` (tbl, rec_id, text, is_table) in which
+    words were cut, characters misread, page furniture left, or words torn or run together; text is the repaired one.
 
     The lexicon counts the words of all rows and keeps those that make up the share `lexicon_share` of them, so at most its
     inverse. A word is taken as misread if some word of the lexicon, times the odds of misreading, is more frequent than
-    it. Ordinary line breaks and compounds at a line's end are no damage. Null and blank texts have no rows; a key
-    delivered twice counts once; other columns are ignored."""
-    source = texts.select("tbl", "rec_id", "text", "is_table").filter(~blank(F.col("text")))
+    it. Page furniture shows by its form, or because it recurs (see recurring). Ordinary line breaks and compounds at a
+    line's end are no damage. Null and blank texts have no rows; a key delivered twice counts once; other columns are
+    ignored."""
+    source = texts.select("tbl", "rec_id", "text", F.coalesce("is_table", F.lit(False)).alias("is_table")).filter(~blank(F.col("text")))
     lexicon = {w: n for w, (n,) in counts(source.select("text"), tokens, lexicon_share, apart=True).items()}
     held = texts.sparkSession.sparkContext.broadcast(lexicon)
+    again = recurring(source).select(F.col("tbl").alias("t"), F.col("rec_id").alias("r"), "lines")
+    source = source.join(again, F.col("tbl").eqNullSafe(F.col("t")) & F.col("rec_id").eqNullSafe(F.col("r")), "left").drop("t", "r")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Decoder(held.value)
         for b in batches:
             rows = []
-            for tbl, key, text, is_table in zip(*(b.column(k).to_pylist() for k in ("tbl", "rec_id", "text", "is_table"))):
-                got, hyphens, misread, furniture = d.table(text) if is_table else d.text(text)
-                if hyphens or misread or furniture:
-                    rows.append((tbl, key, got, hyphens, misread, furniture))
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tbl", "rec_id", "text", "hyphens", "misread", "furniture"])
-
-    return source.mapInArrow(work, "tbl string, rec_id string, text string, hyphens int, misread int, furniture int").dropDuplicates(["tbl", "rec_id"])
+            for tbl, key, text, is_table, lines in zip(*(b.column(k).to_pylist() for k in ("tbl", "rec_id", "text", "is_table", "lines"))):
+                got, *n = d.table(text) if is_table else d.text(text, lines)
+                if any(n):
+                    rows.append((tbl, key, got, *n))
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tbl", "rec_id", "text", "hyphens", "misread", "furniture", "respaced"])
+
+    return source.mapInArrow(work, "tbl string, rec_id string, text string, hyphens int, misread int, furniture int, respaced int").dropDuplicates(["tbl", "rec_id"])

@@ -107,6 +107,7 @@ def test_scans(spark):
         ("p", "header", f"{wrapped}\nCutis Quarterly Review, Vol. 3, No. 2\nand the fold matched", False, 1),
         ("t", "table", "| Item | Broad border |\n| --- | --- | --- |\n| Narrow reser-<br>voir | 3 | 4S.2 |\n| Sunlit ternple | 1 | 2 |", True, 1),
         ("p", "hyphen", "the reser-\nvoir matched the nerve", False, 1),
+        ("p", "torn", "the pati ent with the respon der andnarrow reservoir", False, 1),
         ("p", "null", None, False, 1),
         ("p", "blank", " \n ", None, 1),
         ("p", "long", "the fold " * 40_000, False, 1),
@@ -114,7 +115,8 @@ def test_scans(spark):
     ]
     df = spark.createDataFrame(rows, "tbl string, rec_id string, text string, is_table boolean, hyphens int")
     got = {x["rec_id"]: x for x in scans.repaired(df).collect()}
-    assert set(got) == {"hyphen", "misread", "page", "header", "table"}
+    assert set(got) == {"hyphen", "misread", "page", "header", "table", "torn"}
+    assert got["torn"]["text"] == "the patient with the responder and narrow reservoir" and got["torn"]["respaced"] and not got["torn"]["misread"]
     assert got["hyphen"]["text"] == "the reservoir matched the nerve"
     assert got["misread"]["text"] == "the margin of the temple was narrow and the and"
     assert got["page"]["text"] == f"{wrapped} and the fold matched the nerve ending" and got["page"]["furniture"] == 1
@@ -123,8 +125,24 @@ def test_scans(spark):
     assert scans.repaired(df.filter("false")).count() == 0
 
 
+def test_lines_that_recur_are_furniture(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("dfgkmpt") + r.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [("p", f"h{i}", f"{line(9)}\nJOURNAL OF ODD THINGS {i}\n{line(9)}\n{line(5)}", False) for i in range(6)]
+    same = f"{line(9)}\n{line(8)}\n{line(9)}"
+    rows += [("p", f"same{i}", same, False) for i in range(8)] + [("p", f"c{i}", f"{line(9)}\n{line(9)}\n{line(9)}", False) for i in range(50)]
+    df = spark.createDataFrame(rows, "tbl string, rec_id string, text string, is_table boolean")
+    got = {x["rec_id"]: x["text"] for x in scans.repaired(df).collect()}
+    assert set(got) == {f"h{i}" for i in range(6)} and not any("ODD" in t for t in got.values())
+
+
 def test_paragraphs_of_lines():
     d = scans.Decoder({"a": 1})
+    many = [f"line number {i} of a long page of text" for i in range(900)]
+    assert d.paragraphs(many) == [" ".join(many)]
+    whole = scans.Decoder({"reservoir": 50, "the": 900, "minimum": 30})
+    assert whole.fix("rniniinurn") is None and whole.fix("rninirnurn")[1] == "minimum" and whole.fix("re5erv01r")[1] == "reservoir"
     lines = ["The first line of a paragraph that is long", "and its end.", "Another begins here with a line that is", "long and goes on."]
     assert d.paragraphs(lines) == [" ".join(lines[:2]), " ".join(lines[2:])]
     assert d.paragraphs([]) == []
