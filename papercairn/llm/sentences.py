@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papercairn.llm.lexicon import counts
+from papercairn.llm.lexicon import counts, sampled
 from papercairn.tables import blank
 
 _CLOSERS = r"(?:[\"'”’»›」』）)\]}]|“(?=[\s,.;:)]|$)|[   ]»)*"
@@ -28,7 +28,7 @@ _OPENERS = "\"'“‘«„‹「『（([¿¡"
 def kinds(text: str) -> tuple[list[str], list[str], list[str], list[str]]:
     """The words of a text; those before a point; the first one; the one before the last point."""
     low = text.lower()
-    first = _TOKEN.search(low[:60])
+    first = _TOKEN.search(low)
     dotted = _DOTTED.findall(low)
     end = low.rstrip()[-40:]
     last = _DOTTED.findall(end) if end.endswith(".") else []
@@ -131,8 +131,9 @@ class Features:
 
 
 def _capitals(text: str) -> bool:
-    letters = [c for c in text[:300] if c.isalpha() and c.lower() != c.upper()]
-    return len(letters) > 20 and sum(c.isupper() for c in letters) > 0.8 * len(letters)
+    """Whether a text is set in capitals."""
+    large = sum(map(str.isupper, text))
+    return large > 16 and large > 0.8 * (large + sum(map(str.islower, text)))
 
 
 def abbreviations(found: list[dict], stats: dict[str, tuple[int, ...]]) -> set[str]:
@@ -244,17 +245,13 @@ def fit(texts: list[str], stats: dict[str, tuple[int, ...]], rounds: int = 150)
     return dict(zip(names, w.tolist()))
 
 
-def train(corpus: DataFrame, sample: int = 6000) -> Model:
-    """A model from a corpus (its first column): counts of words over all of it, weights from about `sample` of its texts
-    (by a hash of the text, so the same ones each time)."""
-    column = corpus.columns[0]
-    text = F.col(column)
-    corpus = corpus.select(text).filter(~blank(text))
+def train(corpus: DataFrame, sample: int = 6000, longest: int = 20_000) -> Model:
+    """A model from a corpus (its first column): counts of words over all of it, weights from `sample` different texts of at
+    most `longest` characters (those of the smallest hashes, so the same ones each time). Both bound what the driver holds."""
+    text = F.col(corpus.columns[0])
+    corpus = corpus.select(text.alias("t")).filter(~blank(F.col("t")))
     stats = counts(corpus, kinds, kinds=4)
-    n = corpus.count()
-    share = min(1.0, sample / n) if n else 1.0
-    rows = corpus.filter(F.pmod(F.xxhash64(F.lit(5), text), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select(F.substring(text, 1, 20_000).alias("t")).limit(2 * sample).collect()
-    return Model(stats, fit(sorted(r["t"] for r in rows), stats))
+    return Model(stats, fit(sampled(corpus, corpus.count(), sample, longest, 5), stats))
 
 
 def sentences(texts: DataFrame, model: Model) -> DataFrame:

@@ -47,6 +47,37 @@ def test_sentences_on_held_out_paragraphs(spark):
     assert empty.ends("A b. C d.")[-1] == 9
 
 
+#: Sentences of several scripts, set down by hand: each text with the parts it is made of.
+GOLD = [
+    ["皮损的面积逐渐缩小。", "停药后是否复发？", "未见复发！"],
+    ["病変は縮小した。", "「痛みはどうか。」と尋ねた。", "変化はなかった。"],
+    ["Лечение началось в мае. ", "Боль прошла через 3,5 дня."],
+    ["هل تحسنت الحالة؟ ", "نعم، تحسنت كثيرا."],
+    ["क्या दर्द कम हुआ? ", "हाँ, बहुत कम हुआ।"],
+    ["The dose was 3.5 mg. ", "It helped (see p. 4). ", "No pain was felt.[12] ", "Was it due to the cream?"],
+    ["Die Fläche war z. B. am Fuß kleiner. ", "Danach blieb sie gleich."],
+]
+
+
+def test_sentences_of_many_scripts(spark):
+    r = random.Random(3)
+    corpus = paragraphs(400)
+    for parts in GOLD:
+        # Paragraphs of the language, one to three sentences each
+        corpus += ["".join(r.choice(parts) for _ in range(r.randint(1, 3))).strip() for _ in range(150)]
+    model = sentences.train(spark.createDataFrame([(t,) for t in corpus], "text string"))
+    right = total = 0
+    for parts in GOLD:
+        text, want = "", []
+        for p in parts:
+            text += p
+            want.append(len(text.rstrip()))
+        got = model.ends(text)
+        right += len(set(got) & set(want))
+        total += max(len(got), len(want))
+    assert right >= 0.9 * total
+
+
 DAMAGE = [("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp1251"), ("utf-8", "gbk"), ("cp1252", "mac_roman")]
 
 
