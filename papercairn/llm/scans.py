@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import math
 import re
@@ -30,6 +29,7 @@ LETTER_COST = 2.3
 _TOKEN = re.compile(r"[\w@|]+")
 _LATIN = re.compile("[a-z0-9@|À-ɏ]+")
 _SPOTS = re.compile("[105@cb8|]|ri|rn|vv")
+_EVERY_SPOT = re.compile("[105@cb8|]")
 _COUNTED = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -82,6 +82,7 @@ class Decoder:
         self.floor = -math.log(max(lexicon.values(), default=1) / self.total)
         self.fixes: dict[str, tuple[float, str] | None] = {}
         self.pieces: dict[str, bool] = {}
+        self.unknown: dict[str, int] = {}
 
     def cost(self, word: str) -> float:
         n = self.n.get(word, 0)
@@ -113,24 +114,30 @@ class Decoder:
 
     def reading(self, word: str, must: set[int], least: float) -> tuple[float, str] | None:
         """(cost, word) of the cheapest word of the lexicon that may have been misread as this one, if it costs less than
-        `least`: a walk over its characters, each kept or taken for what it may stand for, as long as some word begins so."""
-        best = None
-        open_: list[tuple[int, int, str]] = [(0, 0, "")]  # misread, place, letters so far
-        while open_:
-            n, i, so_far = heapq.heappop(open_)
-            if MISREAD_COST * n + self.floor >= least:
-                break
-            if i == len(word):
-                if n and so_far in self.n and (cost := self.cost(so_far) + MISREAD_COST * n) < least:
-                    least, best = cost, (cost, so_far)
+        `least`: a walk over the places that may be misread, each kept or taken for what it may stand for. As every
+        misread place costs, few can be, however many there are; where there are many, only beginnings of words go on."""
+        spots = [(m.start(), m[0], MISREAD[m[0]]) for m in _EVERY_SPOT.finditer(word)]
+        spots += [(i, word[i : i + 2], to) for i in range(len(word) - 1) if (to := MISREAD.get(word[i : i + 2]))]
+        spots.sort()
+        best, walk = None, [(0, 0, "", 0)]
+        while walk:
+            j, at, so_far, n = walk.pop()
+            if n and so_far + word[at:] in self.n and all(i < at for i in must):
+                c = so_far + word[at:]
+                if (cost := self.cost(c) + MISREAD_COST * n) < least:
+                    least, best = cost, (cost, c)
+            if MISREAD_COST * (n + 1) + self.floor >= least:
                 continue
-            steps = [] if i in must else [(n, i + 1, so_far + word[i])]
-            for k in (word[i], word[i : i + 2]):
-                for to in MISREAD.get(k, ()) if len(k) == 1 or len(word) > i + 1 else ():
-                    steps.append((n + 1, i + len(k), so_far + to))
-            for step in steps:
-                if step[1] == len(word) or self.begins(step[2]):
-                    heapq.heappush(open_, step)
+            for q in range(j, len(spots)):
+                i, shown, to = spots[q]
+                if i < at:
+                    continue
+                if must and any(at <= x < i for x in must):
+                    break
+                for letter in to:
+                    now = so_far + word[at:i] + letter
+                    if len(spots) < 9 or self.begins(now):
+                        walk.append((q + 1, i + len(shown), now, n + 1))
         return best
 
     def begins(self, letters: str) -> bool:
@@ -274,9 +281,28 @@ class Decoder:
             hit = self.pieces[piece] = any(self.fix(w) is not None for w in _TOKEN.findall(piece.lower()))
         return hit
 
-    def unspaced(self, piece: str) -> bool:
-        """Whether a piece between white space holds a word of letters that nobody knows."""
-        return any(w not in self.n for w in _LETTERS.findall(piece.lower()))
+    def unspaced(self, piece: str) -> int:
+        """0 for a piece between white space whose words are known; 1 if it has one of letters that nobody knows, 2 if that
+        may be two known words run together."""
+        if (hit := self.unknown.get(piece)) is None:
+            if len(self.unknown) > 200_000:
+                self.unknown.clear()
+            odd = [w for w in _LETTERS.findall(piece.lower()) if w not in self.n]
+            apart = any(w[:k] in self.n and w[k:] in self.n for w in odd if len(w) > 4 for k in range(2, len(w) - 1))
+            hit = self.unknown[piece] = 2 if apart else 1 if odd else 0
+        return hit
+
+    def respaced(self, pieces: list[str]) -> bool:
+        """Whether some word that nobody knows may be two known ones, or a known one with the word beside it."""
+        unspaced, known = self.unspaced, self.n
+        for i, p in enumerate(pieces):
+            if kind := unspaced(p):
+                if kind == 2:
+                    return True
+                low = p.lower()
+                if i and (pieces[i - 1].lower() + low).rstrip(".,;:)") in known or i + 1 < len(pieces) and (low + pieces[i + 1].lower()).rstrip(".,;:)") in known:
+                    return True
+        return False
 
     def joined(self, text: str, marks: re.Pattern, cell: bool) -> tuple[str, int]:
         """The text with words cut at these marks joined, and how many. What a mark parts for good keeps a hyphen, and no
@@ -336,7 +362,7 @@ class Decoder:
 
             flat = _TOKEN.sub(put, flat)
         respaced = 0
-        if not (hyphens or misread or gone or headers) and not any(map(self.unspaced, set(pieces))):
+        if not (hyphens or misread or gone or headers) and not self.respaced(pieces):
             return text, 0, 0, 0, 0
         out = []
         for p in self.paragraphs(flat.split("\n")):
@@ -459,7 +485,9 @@ def repaired(texts: DataFrame, lexicon_share: float = 1e-6) -> DataFrame:
     source = texts.select("tbl", "rec_id", "text", F.coalesce("is_table", F.lit(False)).alias("is_table")).filter(~blank(F.col("text")))
     lexicon = {w: n for w, (n,) in counts(source.select("text"), tokens, lexicon_share, apart=True).items()}
     held = texts.sparkSession.sparkContext.broadcast(lexicon)
-    again = recurring(source).select(F.col("tbl").alias("t"), F.col("rec_id").alias("r"), "lines")
+    again = kept(recurring(source).select(F.col("tbl").alias("t"), F.col("rec_id").alias("r"), "lines"))
+    # Few texts have such lines; where they are few enough to be sent to all tasks, no text is shuffled
+    again = F.broadcast(again) if again.count() <= 100_000 else again
     source = source.join(again, F.col("tbl").eqNullSafe(F.col("t")) & F.col("rec_id").eqNullSafe(F.col("r")), "left").drop("t", "r")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
