@@ -7,12 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
+from papercairn.functions import values as V
 from papercairn.functions.python import common_words
 
 # Fixed values
-KEYWORD_LINE = r"(?i)\s*\b(key\s?words?|keyword|index terms|capsule summary|how to cite|this article is protected|©)\b.*$"
+ABSTRACT_TAILS = (
+    r"(?s)\s*(?:K ?E ?Y ?\s?W ?O ?R ?D ?S?\b|Key ?[Ww]ords?\s*:).*$",
+    r"\s*\([A-Z][A-Za-z .]{4,40}\s+\d{4};\d+[:;].*$",
+    r"\s*\(\s*$",
+    r"(?is)\s*(?:the online version of this article|electronic supplementary|supplementary information).*$",
+)
 CAPTION_LEAK = r"(?s)^(.*?[.!?]['\"”)\]]?)\s+((?:Figure|Fig\.|Table|TABLE|FIGURE)\s*\d{1,3}[.:]\s.{15,400})$"
-LETTER_LABELS = "the a an of in on for with to by and or from".split()
 SIGNATURES = {
     "replaced": r"\x{FFFD}",
     "control": r"[\x{0080}-\x{009F}]",
@@ -64,20 +69,22 @@ def without_caption(text: Column) -> Column:
 
 
 def without_journal(text: Column, journal: Column) -> Column:
-    """The text without the journal's name where that stands in the midst of a sentence: after a word that calls for no name,
-    before a small letter; names of twelve characters or more."""
-    at = F.instr(text, journal)
-    before = F.rtrim(F.substring(text, F.lit(1), at - 1))
-    after = F.ltrim(F.substring(text, at + F.char_length(journal), F.char_length(text)))
-    last = F.lower(F.regexp_extract(before, r"(\p{L}+)$", 1))
-    there = (at > 1) & (F.char_length(journal) >= 12) & (last != "") & ~last.isin(LETTER_LABELS) & after.rlike(r"^\p{Ll}")
-    return F.when(there, F.concat(before, F.lit(" "), after)).otherwise(text)
+    """The text without the journal's name (of twelve characters or more, in any case) wherever it stands in the midst of a
+    sentence: behind a word that calls for no name and no end mark, before a small letter."""
+    calls = "|".join(V.BEFORE_JOURNAL)
+    name = F.regexp_replace(F.regexp_replace(F.trim(journal), r"([\\\[\](){}.*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
+    pattern = F.concat(F.lit(rf"(?<=[^\s.!?:;])(?<!\b(?i:{calls})[^A-Za-z]{{0,12}})\s+(?i:"), name, F.lit(r")\s+(?=[a-z])"))
+    return F.when(F.char_length(F.trim(journal)) >= 12, F.regexp_replace(text, pattern, F.lit(" "))).otherwise(text)
 
 
 def abstract_tail(abstract: Column) -> Column:
-    """The abstract without a line of keywords or the like that begins behind its 120th character."""
-    cut = F.regexp_replace(F.substring(abstract, 121, 1_000_000), KEYWORD_LINE, "")
-    return F.concat(F.substring(abstract, 1, 120), cut)
+    """The abstract without what print sets behind it, if that begins after its 120th character: a line of keywords (in
+    capitals, or with a colon), the journal's citation of itself, an opening bracket left over, a note on supplements."""
+    out = F.trim(abstract)
+    for tail in ABSTRACT_TAILS:
+        body = F.regexp_replace(out, tail, "")
+        out = F.when((F.char_length(body) > 120) & (F.char_length(body) < F.char_length(out)), F.rtrim(body)).otherwise(out)
+    return out
 
 
 def abstract_verdict(abstract: Column, witness: Column) -> Column:

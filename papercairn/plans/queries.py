@@ -323,11 +323,14 @@ def figure_homes(spark: SparkSession, d: str) -> DataFrame:
     return documents.float_homes(read(spark, d, "paragraphs"), read(spark, d, "paper_figures"), "figure_uid", "refs_figure")
 
 
+_JUNK_SQL = "^(0123456789|capsule summary|j am acad dermatol|downloaded (from|for)|see related|this article is protected|copyright|licen[sc]e)"
+
+
 def _classify_sql(t: str) -> str:
     """The class of a normalised lower-case title."""
     q = lambda xs: ", ".join(f"'{x}'" for x in xs)
     main = [k for k in X.SECTIONS if k != "back"]
-    rules = [f"WHEN {t} = '' OR regexp_matches({t}, '{X.JUNK_TITLE}') THEN 'other'", f"WHEN {t} IN ({q(X.SECTIONS['back'])}) THEN 'back'"]
+    rules = [f"WHEN {t} = '' OR regexp_matches({t}, '{_JUNK_SQL}') THEN 'other'", f"WHEN {t} IN ({q(X.SECTIONS['back'])}) THEN 'back'"]
     rules += [f"WHEN {t} IN ({q(X.SECTIONS[k])}) THEN '{k}'" for k in main]
     rules += [f"WHEN regexp_matches({t}, '^({X._any_of(X.SECTIONS[k])})') THEN '{k}'" for k in [*main, "back"]]
     last = rf"regexp_extract({t}, '([\p{{L}}\p{{N}}_-]+)$', 1)"
@@ -339,7 +342,7 @@ _TITLE_SQL = r"lower(regexp_replace(regexp_replace(trim(regexp_replace(x, '\s+',
 _SECTIONS_SQL = f"""
 h AS (SELECT paper_id, sec_ord, min(path) AS path FROM paragraphs GROUP BY ALL),
 parts AS (SELECT paper_id, sec_ord, i, {_TITLE_SQL} AS t FROM (SELECT paper_id, sec_ord, unnest(path) AS x, unnest(range(1, len(path) + 1)) AS i FROM h) WHERE x IS NOT NULL AND trim(x) <> ''),
-kinds AS (SELECT paper_id, sec_ord, i, {_classify_sql('t')} AS k, row_number() OVER (PARTITION BY paper_id, sec_ord ORDER BY i) AS n FROM parts WHERE NOT regexp_matches(t, '{X.JUNK_TITLE}')),
+kinds AS (SELECT paper_id, sec_ord, i, {_classify_sql('t')} AS k, row_number() OVER (PARTITION BY paper_id, sec_ord ORDER BY i) AS n FROM parts WHERE NOT regexp_matches(t, '{_JUNK_SQL}')),
 one AS (SELECT coalesce(paper_id, '-') AS pk, sec_ord, coalesce(max(CASE WHEN n = 1 AND k <> 'other' THEN k END), arg_max(CASE WHEN k <> 'other' THEN k END, CASE WHEN k <> 'other' THEN i END)) AS own FROM kinds GROUP BY ALL),
 sec AS (SELECT paper_id, sec_ord, coalesce(own, 'other') AS own FROM h LEFT JOIN one ON coalesce(h.paper_id, '-') = one.pk AND h.sec_ord = one.sec_ord)""".replace("h LEFT JOIN one ON coalesce(h.paper_id, '-') = one.pk AND h.sec_ord = one.sec_ord", "h LEFT JOIN (SELECT pk, sec_ord AS so, own FROM one) ON coalesce(paper_id, '-') = pk AND sec_ord IS NOT DISTINCT FROM so")
 

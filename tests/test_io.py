@@ -105,3 +105,15 @@ def test_stream(spark, tmp_path):
     df.filter("k = 'a'").unionByName(spark.createDataFrame([("c", 5)], "k string, v int").withColumn("at", F.to_timestamp(F.lit("2024-01-03")))).write.mode("append").parquet(src)
     run()
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_scope_removes_its_tables(spark, tmp_path):
+    import os
+
+    from papercairn import tables
+
+    with tables.scope(spark):
+        df = tables.kept(spark.range(5).toDF("a"))
+        path = tables._SCOPES[-1][0]
+        assert df.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
