@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,3 +208,18 @@ def filters_from(options: dict) -> dict:
         else:
             raise ValueError(f"unknown option: {name}")
     return out
+
+
+def load_queries(path) -> list[dict]:
+    """The queries of a golden set, a file of JSON with `queries`: id, query, and perhaps anchor (what a paper's title must
+    hold to be an answer), lang, hard (few words in common with its answers), section_types (a filter to be kept to).
+    Queries without an id or text, or with an id given before, are errors."""
+    with open(path, encoding="utf-8") as f:
+        rows = json.load(f)["queries"]
+    out, seen = [], set()
+    for r in rows:
+        if not r.get("id") or not (r.get("query") or "").strip() or r["id"] in seen:
+            raise ValueError(f"a query of the golden set has no id or text of its own: {r}")
+        seen.add(r["id"])
+        out.append({"id": r["id"], "query": r["query"], "anchor": r.get("anchor"), "lang": r.get("lang") or "en", "hard": bool(r.get("hard")), "section_types": list(r.get("section_types") or [])})
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,31 +33,44 @@ def query(sql: str | None = None):
 
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 
-#: Queries of the retrieval set: id, text, and what a paper's title must hold for the paper to count as an answer.
-GOLDEN = (
-    ("g1", "suction blister grafting of the eyelids", "Suction blister grafting"),
-    ("g2", "narrowband light for the knees", "Narrowband light"),
-    ("g3", "IL-17 in depigmented patients", "role of IL-17"),
-    ("g4", "vitamin B12 at baseline", "role of vitamin B12"),
-    ("g5", "the of and", "Home phototherapy"),
-    ("g6", "erythema index on the cheeks after tarolimex cream", "Tarolimex cream"),
-)
-_GOLDEN_SQL = "(VALUES " + ", ".join(f"('{q}', '{t}', '{a}')" for q, t, a in GOLDEN) + ") AS golden(qid, query, anchor)"
+GOLDEN = captions.load_queries(Path(__file__).with_name("golden.json"))
+_q = lambda x: "NULL" if x is None else f"{x}".lower() if isinstance(x, bool) else "'" + str(x).replace("'", "''") + "'"
+_GOLDEN_SQL = "(VALUES " + ", ".join(f"({_q(g['id'])}, {_q(g['query'])}, {_q(g['anchor'])}, {_q(g['lang'])}, {_q(g['hard'])}, {_q(','.join(g['section_types']) or None)})" for g in GOLDEN) + ") AS golden(qid, query, anchor, lang, hard, kinds)"
 _STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
 
 
 def golden(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(GOLDEN), "qid string, query string, anchor string")
+    rows = [(g["id"], g["query"], g["anchor"], g["lang"], g["hard"], g["section_types"]) for g in GOLDEN]
+    return spark.createDataFrame(rows, "qid string, query string, anchor string, lang string, hard boolean, section_types array<string>")
 
 
 def indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the text that is indexed: embed_text, else header and text."""
+    """Chunks with the text that is indexed: embed_text, else header and text, in NFKC."""
     c = read(spark, d, "chunks").dropDuplicates(["chunk_id"])
-    return c.withColumn("body", F.coalesce("embed_text", F.concat("context_header", F.lit("\n"), "text"), "text"))
+    return c.withColumn("body", P.norm_text(F.coalesce("embed_text", F.concat("context_header", F.lit("\n"), "text"), "text")))
+
+
+def _nfkc_sql(column: str) -> str:
+    """NFKC of a text as far as its letters and digits go, by replacing character by character."""
+    one, more = [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        n = unicodedata.normalize("NFKC", c)
+        if n != c and not "\ud800" <= c <= "\udfff":
+            if len(n) == 1:
+                one.append((c, n))
+            elif (c < "\u2500" or "\ufb00" <= c <= "\ufb06") and any(x.isalnum() for x in n):
+                more.append((c, n))
+    one = [(a, b) for a, b in one if b != "'"]
+    out = f"translate({column}, '{''.join(a for a, _ in one)}', '{''.join(b for _, b in one)}')"
+    some = "".join(a for a, _ in more)
+    chain = "x"
+    for a, b in more:
+        chain = f"replace({chain}, '{a}', '{b}')"
+    return f"nfc_normalize(CASE WHEN regexp_matches({column}, '[{some}]') THEN list_transform([{out}], lambda x: {chain})[1] ELSE {out} END)"
 
 
 def _terms_sql(column: str) -> str:
-    tokens = rf"regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+(?:[-/][\p{{L}}\p{{N}}]+)*')"
+    tokens = rf"regexp_extract_all(lower({_nfkc_sql(column)}), '[\p{{L}}\p{{N}}]+(?:[-/][\p{{L}}\p{{N}}]+)*')"
     every = f"flatten(list_transform({tokens}, lambda t: CASE WHEN regexp_matches(t, '[-/]') THEN list_concat([t], regexp_split_to_array(t, '[-/]')) ELSE [t] END))"
     return f"list_filter({every}, lambda t: length(t) > 1 AND NOT list_contains([{_STOP_SQL[1:-1]}], t))"
 
@@ -126,27 +141,108 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 _FILTER_SQL = "lower(section_type) IN ('methods', 'results') AND meta.year BETWEEN 2015 AND 2022"
 
 
-@query(f"WITH {_SET_SQL}, {_BM25_SQL}, k AS (SELECT chunk_id FROM c WHERE {_FILTER_SQL}) SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM r WHERE rank <= 5000 AND chunk_id IN (SELECT chunk_id FROM k)) WHERE rank <= 8")
+@query(f"""WITH {_SET_SQL}, {_BM25_SQL}, k AS (SELECT chunk_id FROM c WHERE {_FILTER_SQL}),
+z AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s WHERE chunk_id IN (SELECT chunk_id FROM k))
+SELECT qid, chunk_id, round(1 / (60 + rank), 9) AS score, rank, rank AS bm25_rank FROM z WHERE rank <= 8""")
 def filtered_search(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.search(indexed(spark, d), "chunk_id", F.col("body"), golden(spark), 8, retrieval.passes(section_types=["Methods", "results"], years=(2015, 2022)))
+    """By words alone, among methods and results of some years."""
+    hits = retrieval.search(indexed(spark, d), "chunk_id", F.col("body"), golden(spark), 8, retrieval.passes(section_types=["Methods", "results"], years=(2015, 2022)))
+    return hits.select("qid", "chunk_id", "score", "rank", "bm25_rank")
 
 
-@query(f"""WITH {_SET_SQL}, {_BM25_SQL}, h AS (SELECT qid, paper_id, min(rank) AS rank FROM r JOIN c USING (chunk_id) WHERE rank <= 50 GROUP BY ALL),
+def _probe_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Each probe chunk as a query: its text and its vector."""
+    own = probes(spark, d)
+    vectors = read(spark, d, "vectors").filter(F.size("vector") == 64).join(own, "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("qid"), "vector")
+    texts = indexed(spark, d).join(own, "chunk_id", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("body").alias("query"))
+    return texts.join(vectors, "qid", "left")
+
+
+_HYBRID_SQL = f"""golden_set AS (SELECT chunk_id AS qid, body AS query FROM ({_BODY_SQL}) WHERE chunk_id IN (SELECT chunk_id FROM vector_probes) AND trim(body) <> ''), {_BM25_SQL}, {_DENSE_SQL},
+k AS (SELECT chunk_id FROM c WHERE kind = 'text' AND meta.year >= 2010),
+zd AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS dense_rank FROM ds WHERE chunk_id IN (SELECT chunk_id FROM k) AND qid IN (SELECT qid FROM golden_set)),
+zb AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS bm25_rank FROM s WHERE chunk_id IN (SELECT chunk_id FROM k)),
+a AS (SELECT * FROM zd WHERE dense_rank <= 50), b AS (SELECT * FROM zb WHERE bm25_rank <= 50),
+f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, dense_rank, bm25_rank, round(coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm25_rank), 0), 9) AS rrf FROM a FULL JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, coalesce(dense_rank, 1000000000), chunk_id) AS place FROM f)"""
+
+
+@query(f"WITH {_HYBRID_SQL} SELECT qid, chunk_id, rrf AS score, place AS rank, dense_rank, bm25_rank FROM o WHERE place <= 8")
+def filtered_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors and words fused, among text chunks of 2010 or later."""
+    hits = retrieval.search(indexed(spark, d), "chunk_id", F.col("body"), _probe_queries(spark, d), 8, retrieval.passes(kinds=["Text"], years=(2010, None)), read(spark, d, "vectors"))
+    return hits.select("qid", "chunk_id", "score", "rank", "dense_rank", "bm25_rank")
+
+
+@query(f"""WITH {_HYBRID_SQL}, h AS (SELECT o.qid, o.chunk_id, place, rrf, length(c.body) AS rerank FROM o JOIN c USING (chunk_id) WHERE place <= 20)
+SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, place) AS rank, rerank::DOUBLE AS rerank, rrf FROM h) WHERE rank <= 5""".replace("length(c.body)", f"length(trim(regexp_replace({_nfkc_sql('c.body')}, '[ \\t]+', ' ', 'g')))"))
+def reranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """As filtered_hybrid, the first 20 put in order of a scorer: here the length of the text, in place of a model."""
+    hits = retrieval.search(indexed(spark, d), "chunk_id", F.col("body"), _probe_queries(spark, d), 5, retrieval.passes(kinds=["Text"], years=(2010, None)), read(spark, d, "vectors"), scorer=lambda q, t: F.char_length(t), rerank_k=20)
+    return hits.select("qid", "chunk_id", "rank", "rerank", "rrf")
+
+
+_EVAL_SQL = f"""{_SET_SQL}, {_BM25_SQL},
+m AS (SELECT s.*, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.chunk_id) AS place FROM s JOIN c USING (chunk_id) JOIN golden_set g USING (qid) WHERE g.kinds IS NULL OR lower(c.section_type) = g.kinds),
+h AS (SELECT qid, paper_id, min(place) AS rank FROM m JOIN c USING (chunk_id) WHERE place <= 50 GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM h),
 x AS (SELECT DISTINCT qid, paper_id FROM golden_set, papers WHERE contains(meta.title, anchor) AND paper_id IS NOT NULL),
-f AS (SELECT qid, min(place) AS place FROM o JOIN x USING (qid, paper_id) GROUP BY qid)
-SELECT g.qid, (SELECT count(*) FROM r WHERE r.qid = g.qid AND rank <= 50) AS n_hits, f.place AS rank,
-  CASE WHEN g.qid IN (SELECT qid FROM x) THEN coalesce(place <= 8, false) END AS hit, CASE WHEN g.qid IN (SELECT qid FROM x) THEN coalesce(1 / place, 0) END AS reciprocal
-FROM golden_set g LEFT JOIN f USING (qid)""")
-def evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """hit@8 and reciprocal rank of the golden set; answers are papers whose title holds the anchor."""
+f AS (SELECT qid, min(place) AS place FROM o JOIN x USING (qid, paper_id) GROUP BY qid),
+e AS (SELECT g.qid, lang, hard, (SELECT count(*) FROM m WHERE m.qid = g.qid AND place <= 50) AS n_hits, f.place AS rank,
+  CASE WHEN g.qid IN (SELECT qid FROM x) THEN coalesce(place <= 8, false) END AS hit, CASE WHEN g.qid IN (SELECT qid FROM x) THEN coalesce(1 / place, 0) END AS reciprocal,
+  CASE WHEN kinds IS NOT NULL THEN TRUE END AS filter_ok FROM golden_set g LEFT JOIN f USING (qid))"""
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     c = indexed(spark, d)
-    hits = retrieval.bm25(c, "chunk_id", F.col("body"), golden(spark), 50).join(c.select("chunk_id", "paper_id"), "chunk_id")
-    titles = read(spark, d, "papers").filter("paper_id IS NOT NULL AND meta.title IS NOT NULL").select("paper_id", F.col("meta.title").alias("title"))
     g = golden(spark)
-    held = F.filter(F.array(*[F.struct(F.lit(q).alias("qid"), F.lit(a).alias("anchor")) for q, _, a in GOLDEN]), lambda x: F.col("title").contains(x["anchor"]))
-    answers = titles.select("paper_id", F.explode(held).alias("x")).select("paper_id", "x.qid").groupBy("qid").agg(F.collect_set("paper_id").alias("anchors"))
-    return retrieval.evaluate(hits, g.join(answers, "qid", "left").select("qid", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors")), 8)
+    free, bound = g.filter(F.size("section_types") == 0), g.filter(F.size("section_types") > 0)
+    hits = retrieval.search(c, "chunk_id", F.col("body"), free, 50)
+    kinds = sorted({k for x in GOLDEN for k in x["section_types"]})
+    for kind in kinds:  # one search for each filter of the set
+        hits = hits.unionByName(retrieval.search(c, "chunk_id", F.col("body"), bound.filter(F.array_contains("section_types", kind)), 50, retrieval.passes(section_types=[kind])))
+    hits = hits.join(c.select("chunk_id", "paper_id", F.lower("section_type").alias("kind")), "chunk_id")
+    kept_to = hits.join(bound.select("qid", "section_types"), "qid").groupBy("qid").agg(F.bool_and(F.array_contains("section_types", F.col("kind"))).alias("filter_ok"))
+    titles = read(spark, d, "papers").filter("paper_id IS NOT NULL AND meta.title IS NOT NULL").select("paper_id", F.col("meta.title").alias("title"))
+    asked = F.filter(F.array(*[F.struct(F.lit(x["id"]).alias("qid"), F.lit(x["anchor"]).alias("anchor")) for x in GOLDEN if x["anchor"]]), lambda x: F.col("title").contains(x["anchor"]))
+    answers = titles.select("paper_id", F.explode(asked).alias("x")).select("paper_id", "x.qid").groupBy("qid").agg(F.collect_set("paper_id").alias("anchors"))
+    scored = retrieval.evaluate(hits, g.join(answers, "qid", "left").select("qid", F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors")), 8)
+    return scored.join(g.select("qid", "lang", "hard"), "qid").join(kept_to, "qid", "left")
+
+
+@query(f"WITH {_EVAL_SQL} SELECT qid, n_hits, rank, hit, reciprocal, filter_ok FROM e")
+def evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """hit@8 and reciprocal rank of the golden set; answers are papers whose title holds the anchor."""
+    return _evaluated(spark, d).drop("lang", "hard")
+
+
+@query(f"""WITH {_EVAL_SQL} SELECT lang, hard, count(hit) AS queries, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / greatest(count(hit), 1), 6) AS share, round(sum(coalesce(reciprocal, 0)) / greatest(count(hit), 1), 6) AS mrr,
+  count(filter_ok) AS filters, count(*) FILTER (filter_ok) AS filters_kept FROM e GROUP BY lang, hard""")
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The golden set's figures by language, and apart for queries that share few words with their answers."""
+    return retrieval.report(_evaluated(spark, d), "lang", "hard")
+
+
+# ---- text of headings ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT * FROM (VALUES ('1. Introduction', 'intro'), ('Materials and Methods', 'methods'), ('METHODS', 'methods'), ('Statistical Analyses', 'methods'), ('Irb approval status', 'methods'), ('Literature review of trials', 'methods'),
+('Ethics approval and consent to participate', 'back'), ('ETHICS STATEMENT', 'methods'), ('Severity scoring methods', 'methods'), ('3.2. Adverse events', 'results'), ('Case Summary', 'results'), ('Effect of interventions', 'results'), ('Key findings', 'results'),
+('Mechanism of Action', 'discussion'), ('Clinical implications', 'discussion'), ('Concluding remarks:', 'discussion'), ('IV. Discussion', 'discussion'), ('Associated Data', 'back'), ('Funding', 'back'), ('Conflicts of interest', 'back'), ('References cited', 'back'),
+('Downloaded from the site', 'other'), ('Capsule summary', 'other'), ('Licence', 'other'), ('Primer', 'other'), ('', 'other'), ('Something else', 'other'), ('Abstract', 'abstract'), ('Data availability statement', 'back'), ('Data availability', 'methods'), ('Outcomes', 'results'), ('Outcome measures', 'methods')) AS t(title, kind)""")
+def section_examples(spark: SparkSession, d: str) -> DataFrame:
+    """What headings stand for, one example of every rule."""
+    titles = ["1. Introduction", "Materials and Methods", "METHODS", "Statistical Analyses", "Irb approval status", "Literature review of trials", "Ethics approval and consent to participate", "ETHICS STATEMENT", "Severity scoring methods", "3.2. Adverse events", "Case Summary", "Effect of interventions", "Key findings", "Mechanism of Action", "Clinical implications", "Concluding remarks:", "IV. Discussion", "Associated Data", "Funding", "Conflicts of interest", "References cited", "Downloaded from the site", "Capsule summary", "Licence", "Primer", "", "Something else", "Abstract", "Data availability statement", "Data availability", "Outcomes", "Outcome measures"]
+    return spark.createDataFrame([(t,) for t in titles], "title string").select("title", X.classify_section(F.col("title")).alias("kind"))
+
+
+@query(r"""WITH h AS (SELECT DISTINCT unnest(path) AS x FROM paragraphs UNION SELECT * FROM (VALUES ('13-15'), ('77, 82'), ('B'), ('TABLE 2 Strength of recommendation'), ('Fig. IV'), ('KEYWORDS'), ('Results:'), ('Conclusion :'), ('Conclusion'), ('Table of contents'), ('Figures'), ('1234')) AS v(x))
+SELECT x AS title, regexp_matches(trim(regexp_replace(x, '\s+', ' ', 'g')), '(?i)^(\d{1,3}(\s*[,\-–]\s*\d{1,3})*|[a-z]|(table|fig(ure)?)\s*\.?\s*[\divx]+\b.*|keywords?|(results?|conclusions?|background|objectives?|methods?|limitations?|importance|findings?|meaning)\s*:)$') AS no_heading FROM h WHERE x IS NOT NULL""")
+def no_headings(spark: SparkSession, d: str) -> DataFrame:
+    """All headings of the collection, and some that are none."""
+    planted = ["13-15", "77, 82", "B", "TABLE 2 Strength of recommendation", "Fig. IV", "KEYWORDS", "Results:", "Conclusion :", "Conclusion", "Table of contents", "Figures", "1234"]
+    h = read(spark, d, "paragraphs").select(F.explode("path").alias("title")).union(spark.createDataFrame([(p,) for p in planted], "title string")).filter("title IS NOT NULL").distinct()
+    return h.select("title", X.is_not_heading(F.col("title")).alias("no_heading"))
 
 
 # ---- the collection --------------------------------------------------------------------------------------------------

@@ -56,11 +56,12 @@ def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def index_search(index: dict[str, DataFrame], key: str, queries: DataFrame, k: int) -> DataFrame:
     """retrieval.bm25 over a saved index: (qid, key, score, rank)."""
+    from papercairn.functions.python import norm_text
     from papercairn.functions.text import terms
     from papercairn.operators.retrieval import ranked
 
     c = index["corpus"].first()
-    asked = queries.select("qid", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    asked = queries.select("qid", F.explode(F.array_distinct(terms(norm_text(F.col("query"))))).alias("term"))
     posts = index["postings"].join(asked.select("term").distinct(), "term", "left_semi")
     weights = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + (c["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     tf = F.col("tf")
