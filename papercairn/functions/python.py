@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import math
 import re
@@ -116,21 +115,115 @@ def common_words(a: Column, b: Column) -> Column:
     return F.pandas_udf(work, "bigint")(a, b)
 
 
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit for every character of a at a time."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    state = full
+    for c in b:
+        hit = state & places.get(c, 0)
+        state = (state + hit) | (state - hit)
+    return (~state & full).bit_count()
+
+
+def ratio(a: str, b: str) -> float:
+    """0 to 100: twice the longest common subsequence as a share of both lengths; 100 for two empty texts."""
+    n = len(a) + len(b)
+    return 100.0 if not n else 200.0 * common_length(a, b) / n
+
+
+def partial_ratio(short: str, long: str) -> float:
+    """The best ratio() of the shorter text with a stretch of its length of the longer one, or a shorter one at either end."""
+    if len(short) > len(long):
+        short, long = long, short
+    if not short:
+        return 0.0
+    if short in long:
+        return 100.0
+    m, best = len(short), 0.0
+    for i in range(1 - m, len(long)):
+        part = long[max(0, i) : i + m]
+        if part[0] in short and 200.0 * len(part) / (m + len(part)) > best:
+            best = max(best, ratio(short, part))
+    return best
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """0 to 100: the likeness of two sets of words, 100 if one holds the other: the best ratio() of what they have in common,
+    followed by the rest of one, the rest of the other, or nothing; 0 where one is empty."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, one, other = sorted(x & y), " ".join(sorted(x - y)), " ".join(sorted(y - x))
+    if both and (not one or not other):
+        return 100.0
+    n = len(" ".join(both))
+    gap = bool(n)
+    whole = 2 * n + 2 * gap + len(one) + len(other)
+    apart = len(one) + len(other) - 2 * common_length(one, other)
+    best = 100.0 * (1 - apart / whole)
+    for rest in (one, other) if n else ():
+        best = max(best, 100.0 * (1 - (gap + len(rest)) / (2 * n + gap + len(rest))))
+    return best
+
+
+_NOT_KEY = re.compile("[^a-z0-9 ]+")
+
+
 def similarity(a: str | None, b: str | None) -> float:
-    """0 to 100: the greater of the edit ratio of both beginnings (160 characters at most) and that of the shorter with the
-    window of the longer it fits best."""
-    a, b = " ".join((a or "").lower().split())[:600], " ".join((b or "").lower().split())[:600]
-    if not a or not b:
+    """0 to 100, of two captions: the greater of the ratio() of their beginnings (160 characters at most) and the
+    partial_ratio() of the first 300 of the shorter with the first 600 of the longer. Only small letters of ASCII and
+    figures count; beginnings and texts of fewer than 20 characters are like nothing."""
+    x, y = sorted((" ".join(_NOT_KEY.sub(" ", (t or "").lower()).split()) for t in (a, b)), key=len)
+    k = min(len(x), 160)
+    if k < 20:
+        return 0.0
+    return max(ratio(x[:k], y[:k]), partial_ratio(x[:300], y[:600]))
+
+
+def title_key(text: str | None) -> str:
+    """A title for comparing: accents off, small letters and figures only, single blanks."""
+    plain = unicodedata.normalize("NFD", text or "").encode("ascii", "ignore").decode()
+    return " ".join(_NOT_KEY.sub(" ", plain.lower()).split())
+
+
+def title_score(printed: str | None, raw: str | None, listed: str | None) -> float:
+    """0 to 100, how like a listed title is to a printed reference: to its title, words in any order; where that is missing
+    or shorter than 12 characters, to the best stretch of the printed text, less 4, if that has six tenths of the title's
+    words of four letters or more. Listed titles under 12 characters are like nothing."""
+    it, pt, text = title_key(listed), title_key(printed), title_key(raw)
+    if len(it) < 12:
         return 0.0
-    n = min(len(a), len(b), 160)
-    head = difflib.SequenceMatcher(None, a[:n], b[:n], False).ratio()
-    short, long = sorted((a[:300], b[:600]) if len(a) <= len(b) else (b[:300], a[:600]), key=len)
-    m = difflib.SequenceMatcher(None, long, short, False)
-    best = 0.0
-    for block in m.get_matching_blocks():
-        at = max(0, block.a - block.b)
-        best = max(best, difflib.SequenceMatcher(None, long[at : at + len(short)], short, False).ratio())
-    return round(100 * max(head, best), 1)
+    if len(pt) >= 12:
+        return ratio(" ".join(sorted(pt.split())), " ".join(sorted(it.split())))
+    words = {w for w in it.split() if len(w) >= 4}
+    if len(text) < 20 or words and sum(w in text for w in words) / len(words) < 0.6:
+        return 0.0
+    return partial_ratio(it, text) - 4.0
+
+
+_DATED = re.compile(r"^\d{4}-\d{2}-[A-Za-z]*-?\S*\s+")
+_TAG = re.compile("<[^>]+>")
+
+
+def file_title(name: str | None) -> str:
+    """What of a file's name may be a title: its stem without a date before it; nothing if shorter than 20 characters or
+    mostly of another script than Latin."""
+    stem = _DATED.sub("", (name or "").replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0]).strip()
+    letters = [c for c in stem if c.isalpha()]
+    return stem if len(stem) >= 20 and letters and sum(c.isascii() for c in letters) >= 0.8 * len(letters) else ""
+
+
+def identity_score(title: Column, file: Column) -> Column:
+    """0 to 100: how like a record's title is to what its file's name says; null where either says too little."""
+
+    def one(t, f) -> float | None:
+        t, name = _TAG.sub("", t).strip() if isinstance(t, str) else "", file_title(f if isinstance(f, str) else None)
+        return round(token_set_ratio(t.lower(), name.lower()), 1) if name and len(t) >= 15 else None
+
+    return F.pandas_udf(lambda a, b: pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64"), "double")(title, file)
 
 
 def text_similarity(a: Column, b: Column) -> Column:

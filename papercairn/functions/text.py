@@ -286,13 +286,6 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.filter(words(F.coalesce(text, F.lit(""))), lambda w: F.char_length(w) >= 4))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: what two titles' sets of words have in common, as a share of the smaller set; null where one is empty."""
-    x, y = F.array_distinct(words(ascii_key(F.coalesce(a, F.lit(""))))), F.array_distinct(words(ascii_key(F.coalesce(b, F.lit("")))))
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.round(100 * F.size(F.array_intersect(x, y)) / least, 1))
-
-
 def dropcap(text: Column) -> Column:
     """A capital set apart at the beginning put to its word: V itiligo; not where the capital is a word (A, I) or what follows
     is one (T he is left as it was printed)."""

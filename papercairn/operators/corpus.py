@@ -7,12 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
-from papercairn.functions.python import common_words
+from papercairn.functions.python import common_words, identity_score
 from papercairn.tables import kept
 
 #: What each flag takes off a paper's score, and which flags fail it whatever the score.
-PENALTIES = {"scanned_no_text_layer": 0.5, "no_sections": 0.4, "char_corruption": 0.2, "abstract_is_body_first_paragraph": 0.3, "abstract_title_zero_overlap": 0.3, "doi_unresolved": 0.5}
-FATAL = ("no_sections", "doi_unresolved")
+PENALTIES = {
+    "scanned_no_text_layer": 0.5, "no_sections": 0.4, "abstract_is_body_first_paragraph": 0.3, "abstract_title_zero_overlap": 0.3, "abstract_truncated_or_foreign": 0.25, "abstract_polluted": 0.15,
+    "abstract_unverified": 0.0, "doi_unresolved": 0.5, "identity_mismatch": 0.5, "no_references_extracted": 0.15, "ref_count_off": 0.1, "char_corruption": 0.2, "fallback_needs_grobid": 0.0,
+}
+FATAL = ("no_sections", "doi_unresolved", "identity_mismatch")
+#: Signs of damage and of what doesn't belong into the body.
+BROKEN = r"[\x{FFFD}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}]"
+LIGATURES, CID = "[ﬀﬁﬂﬃﬄﬆ]", r"\(cid:\d+\)"
+FRONT_MATTER = r"(?i)^\s*(received:|accepted:|correspondence\b|©|copyright|downloaded from|e-?mail|how to cite|this article|funding information|conflict of interest|doi:\s*10\.)"
+GLUED_CITATION = r"\b[a-z]{4,}\.\d{1,3}[,\-–]\d{1,3}\b"
+REFERENCE = r"^[A-Z][a-zA-Z\-]+ [A-Z]{1,3}(,| et al).{0,120}\.\s.{5,}\.\s.{0,60}\d{4}"
 PASS_SCORE = 0.6
 
 
@@ -87,72 +96,111 @@ def lexical_agreement(left: Column, right: Column) -> Column:
     return F.struct(common.cast("int").alias("common"), share(left).alias("precision"), share(right).alias("recall"))
 
 
-def signals(papers: DataFrame, paragraphs: DataFrame, tables: DataFrame, manifest: DataFrame) -> DataFrame:
-    """One row per paper with its counts: sections, paragraphs, characters, broken ones, duplicates, headings that are none,
-    front matter, tables and empty ones, and what its file and metadata say. Every relation is counted by itself, on its
-    own key, before the joins."""
+def signals(papers: DataFrame, paragraphs: DataFrame, tables: DataFrame, manifest: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+    """One row per paper with its counts: sections, paragraphs, characters, damage, duplicates, headings that are none, front
+    matter, citations and references in the body, references, tables and empty ones, and what its file and other sources
+    say. metadata: paper_id, api_abstract, reference_count (as registered), known (some source knows the paper), resolves
+    (its DOI does), file_name; without it nothing is known of these. Every relation is counted by itself, on its own key,
+    before the joins."""
     p = paragraphs.select("paper_id", "sec_ord", "par_ord", "text", "path").distinct()
     t = F.coalesce(F.col("text"), F.lit(""))
     head = F.element_at("path", -1)
     odd = head.isNotNull() & (head.rlike(r"^[\d\s.|)]+$") | (F.char_length(head) == 1) | (F.char_length(head) > 150))
+    times = lambda pattern: F.sum(F.size(F.regexp_extract_all(t, F.lit(f"({pattern})"), 1)))
+    having = lambda c: F.sum(F.when(c, 1).otherwise(0))
     by = p.groupBy("paper_id").agg(
         F.countDistinct("sec_ord").alias("n_sections"),
         F.count(F.lit(1)).alias("n_paragraphs"),
-        F.sum(F.char_length(t)).alias("n_chars"),
-        F.sum(X.broken_characters(t)).alias("broken"),
+        F.sum(F.char_length(t)).alias("letters"),
+        times(BROKEN).alias("broken"),
+        times(LIGATURES).alias("ligatures"),
+        times(CID).alias("cid"),
+        times(GLUED_CITATION).alias("glued"),
+        having(F.trim(t).rlike(REFERENCE)).alias("listed"),
         F.count("text").alias("n_texts"),
         F.countDistinct("text").alias("n_different"),
-        F.sum(F.when(X.is_truncated(t), 1).otherwise(0)).alias("truncated"),
-        F.sum(F.when(t.rlike(r"(?i)^\s*(received|accepted|correspond|copyright|©|e-?mail|doi:|https?://)"), 1).otherwise(0)).alias("frontmatter"),
+        having(X.is_truncated(t)).alias("truncated"),
+        having(t.rlike(FRONT_MATTER)).alias("frontmatter"),
         F.countDistinct(F.when(odd, F.col("sec_ord"))).alias("bad_headings"),
         F.min_by("text", F.when(F.trim(t) != "", F.struct("sec_ord", "par_ord", "text"))).alias("first_text"),
     )
-    tb = tables.select("paper_id", "table_uid", "markdown").distinct().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_tables"), F.sum(F.when(F.trim(F.coalesce("markdown", F.lit(""))) == "", 1).otherwise(0)).alias("empty_tables"))
+    refs = paragraphs.select("paper_id", F.explode("cited_keys").alias("ref")).filter("ref IS NOT NULL").distinct().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_references"))
+    tb = tables.select("paper_id", "table_uid", "markdown").distinct().groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_tables"), having(F.trim(F.coalesce("markdown", F.lit(""))) == "").alias("empty_tables"))
     m = manifest.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.max("pages").alias("pages"), F.max("total_chars").alias("total_chars"), F.max("is_scanned_candidate").alias("scanned"))
-    base = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min(F.col("source")).alias("source"), F.min("abstract").alias("abstract"), F.min("abstract_source").alias("abstract_source"), F.min("meta.title").alias("title"))
-    out = base.join(by, "paper_id", "left").join(tb, "paper_id", "left").join(m, "paper_id", "left")
-    counts = ["n_sections", "n_paragraphs", "n_chars", "broken", "n_texts", "n_different", "truncated", "frontmatter", "bad_headings", "n_tables", "empty_tables", "pages", "total_chars"]
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumn("scanned", F.coalesce("scanned", F.lit(False))).withColumn("duplicates", F.col("n_texts") - F.col("n_different"))
+    base = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min(F.col("source")).alias("source"), F.min("abstract").alias("abstract"), F.min("abstract_source").alias("abstract_source"), F.min("meta.title").alias("title"), F.min(F.array_join("meta.pub_types", " ")).alias("pub_types"))
+    if metadata is None:
+        metadata = papers.sparkSession.createDataFrame([], "paper_id string, api_abstract string, reference_count int, known boolean, resolves boolean, file_name string")
+    out = base.join(by, "paper_id", "left").join(refs, "paper_id", "left").join(tb, "paper_id", "left").join(m, "paper_id", "left").join(metadata, "paper_id", "left")
+    counts = ["n_sections", "n_paragraphs", "letters", "broken", "ligatures", "cid", "glued", "listed", "n_texts", "n_different", "truncated", "frontmatter", "bad_headings", "n_references", "n_tables", "empty_tables", "pages", "total_chars"]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts}).withColumn("scanned", F.coalesce("scanned", F.lit(False)))
+    return out.withColumn("n_chars", F.col("letters") + F.greatest(F.lit(0), F.col("n_paragraphs") - 1)).withColumn("duplicates", F.col("n_texts") - F.col("n_different")).drop("letters")
+
+
+def _marked(rules: dict[str, Column]) -> Column:
+    return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda f: f.isNotNull())
 
 
 def quality(s: DataFrame) -> DataFrame:
-    """paper_id, source, flags, quality_score, passed from the signals of each paper. The score is 1 less the penalties of the
-    flags; papers read from layout alone stay at 0.65 at most. Not passed: below 0.6, or any fatal flag. An abstract that
-    has nothing to be compared with is neither right nor wrong and costs nothing."""
-    words = X.words(F.coalesce("abstract", F.lit("")))
+    """paper_id, source, flags, quality_score, passed from the signals of each paper. An abstract is judged by what another
+    source has of it (words it lacks: cut or foreign; words of its own: polluted), by the body's first paragraph and by the
+    title; one that nothing speaks for or against is unverified, which costs nothing. The score is 1 less the penalties of
+    the flags; that of an extracted abstract is at most 0.6 and 0.4 of its recall; papers read from layout alone stay at
+    0.65 at most. Not passed: below 0.6, or any fatal flag."""
+    abstract, api = F.trim(F.coalesce("abstract", F.lit(""))), F.trim(F.coalesce("api_abstract", F.lit("")))
+    there = abstract != ""
+    with_api, with_body = lexical_agreement(abstract, api), lexical_agreement(abstract, F.coalesce("first_text", F.lit("")))
     title = F.filter(X.words(F.coalesce("title", F.lit(""))), lambda w: F.char_length(w) > 3)
-    first = X.words(F.coalesce("first_text", F.lit("")))
-    echo = (F.size(words) >= 20) & (F.size(first) >= 20) & (X.coverage(first, words) >= 0.9) & (X.coverage(words, first) >= 0.9)
+    s = s.withColumns({"_api": with_api, "_body": with_body, "_same": identity_score(F.col("title"), F.col("file_name"))})
+    compared = there & (api != "")
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    echo = there & (F.least(share("_body.precision"), share("_body.recall")) >= 0.90)
+    foreign = there & (F.size(title) > 0) & (F.size(F.array_intersect(X.words(abstract), title)) == 0)
+    cut, polluted = compared & (share("_api.recall") < 0.85), compared & (share("_api.precision") < 0.80)
+    registered = F.coalesce(F.col("reference_count"), F.lit(0))
     rules = {
         "scanned_no_text_layer": F.col("scanned"),
         "no_sections": (F.col("n_sections") == 0) | (F.col("n_paragraphs") == 0),
-        "char_corruption": F.col("broken") / F.greatest("n_chars", F.lit(1)) > 0.005,
         "abstract_is_body_first_paragraph": echo,
-        "abstract_title_zero_overlap": (F.size(words) >= 20) & (F.size(title) >= 3) & (F.size(F.array_intersect(words, title)) == 0),
-        "doi_unresolved": X.paper_key_kind(F.col("paper_id")) == "file",
+        "abstract_title_zero_overlap": foreign,
+        "abstract_truncated_or_foreign": cut,
+        "abstract_polluted": polluted,
+        "abstract_unverified": there & (api == "") & ~echo & ~foreign,
+        "doi_unresolved": ~F.coalesce("known", F.lit(False)) | ~F.coalesce("resolves", F.lit(True)),
+        "identity_mismatch": F.coalesce(F.col("_same") < 70, F.lit(False)),
+        "no_references_extracted": (registered > 0) & (F.col("n_references") == 0),
+        "ref_count_off": (registered > 0) & (F.col("n_references") > 0) & (F.abs(F.col("n_references") - registered) / F.greatest(registered, F.lit(1)) > 0.5),
+        "char_corruption": F.col("broken") / F.greatest("n_chars", F.lit(1)) > 0.005,
+        "fallback_needs_grobid": F.col("source") == "pdf_fallback",
     }
-    flags = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda f: f.isNotNull())
     off = sum((F.when(c, F.lit(PENALTIES[k])).otherwise(0.0) for k, c in rules.items()), F.lit(0.0))
-    raw = F.when(F.col("source") == "pdf_fallback", F.least(1 - off, F.lit(0.7)) - 0.05).otherwise(1 - off)
+    matched = (F.col("abstract_source") == "extracted") & compared
+    raw = F.when(matched, F.least(1 - off, 0.6 + 0.4 * F.round(share("_api.recall"), 3))).otherwise(1 - off)
+    raw = F.when(F.col("source") == "pdf_fallback", F.least(raw, F.lit(0.7)) - 0.05).otherwise(raw)
     score = F.greatest(F.lit(0.0), F.round(raw, 3))
-    return s.select("paper_id", "source", flags.alias("flags"), score.alias("quality_score")).withColumn("passed", (F.col("quality_score") >= PASS_SCORE) & ~F.arrays_overlap("flags", F.array(*map(F.lit, FATAL))))
+    return s.select("paper_id", "source", _marked(rules).alias("flags"), score.alias("quality_score")).withColumn("passed", (F.col("quality_score") >= PASS_SCORE) & ~F.arrays_overlap("flags", F.array(*map(F.lit, FATAL))))
 
 
 def audit(s: DataFrame) -> DataFrame:
-    """paper_id and the flags of an audit of its text, from the signals."""
+    """paper_id and the flags of an audit of its text, from the signals. Letters and the like (by publication type, or -L- or
+    -C- in the file's name) need have neither sections nor much body nor all references."""
+    letter = F.coalesce(F.col("pub_types"), F.lit("")).rlike("(?i)letter|comment|editorial|reply|correspondence") | F.coalesce(F.col("file_name").rlike("-[LC]-"), F.lit(False))
+    registered = F.coalesce(F.col("reference_count"), F.lit(0))
     rules = {
-        "under_extracted": (F.col("total_chars") > 4000) & (F.col("n_chars") / F.col("total_chars") < 0.12),
-        "no_sections": (F.col("pages") >= 3) & (F.col("n_sections") <= 1),
-        "too_little_body": (F.col("pages") >= 4) & (F.col("n_chars") < 1500),
+        "under_extracted": (F.col("total_chars") > 4000) & (F.round(F.col("n_chars") / F.col("total_chars"), 2) < 0.12),
+        "no_sections": ~letter & (F.col("pages") >= 3) & (F.col("n_sections") <= 1),
+        "too_little_body": ~letter & (F.col("pages") >= 4) & (F.col("n_chars") < 1500),
+        "unresolved_ligatures": F.col("ligatures") > 8,
         "broken_chars": F.col("broken") > 3,
+        "cid_artifacts": F.col("cid") > 0,
         "frontmatter_leak": F.col("frontmatter") >= 2,
+        "cite_contamination": F.col("glued") >= 4,
+        "references_in_body": F.col("listed") >= 3,
         "suspicious_headings": F.col("bad_headings") >= 2,
         "duplicate_paragraphs": F.col("duplicates") >= 3,
-        "truncated_paragraphs": F.col("truncated") >= 1,
-        "empty_tables": F.col("empty_tables") >= 1,
-        "no_title": F.coalesce(F.trim("title"), F.lit("")) == "",
+        "no_title": F.coalesce(F.col("title"), F.lit("")) == "",
+        "references_missing": ~letter & (registered >= 8) & (F.col("n_references") < registered * 0.5),
     }
-    return s.select("paper_id", F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda f: f.isNotNull()).alias("flags"))
+    return s.select("paper_id", _marked(rules).alias("flags"))
 
 
 def flag_counts(audited: DataFrame) -> DataFrame:

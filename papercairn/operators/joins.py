@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
-from papercairn.functions.python import similarity
+from papercairn.functions.python import title_score
 from papercairn.operators.windows import carried
 
 
@@ -61,7 +61,7 @@ def owners(texts: DataFrame, segments: DataFrame, key: str, probes: int = 3, siz
 
 
 def _reference_score(p: dict, q: dict, banned: set) -> float:
-    title = similarity(p["title"], q["title"]) if p["title"] and q["title"] else similarity(q["title"], p["raw"]) - 4 if q["title"] and p["raw"] else 0.0
+    title = title_score(p["title"], p["raw"], q["title"])
     doi = p["doi"] and p["doi"] not in banned and p["doi"] == q["doi"]
     year = p["year"] is None or q["year"] is None or pd.isna(p["year"]) or pd.isna(q["year"]) or abs(p["year"] - q["year"]) <= 1
     if doi and not (p["title"] and q["title"] and title < 55):

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
-from papercairn.functions.python import similarity
+from papercairn.functions.python import identity_score, similarity
 
 
 def base_name(path) -> F.Column:
@@ -37,11 +37,11 @@ def listed_items(records: DataFrame) -> DataFrame:
     return x.filter(~F.col("ref").eqNullSafe(F.col("pmid"))).select("paper_id", "pos", F.col("ref").alias("pmid"))
 
 
-def identities(papers: DataFrame, manifest: DataFrame, least: float = 70.0) -> DataFrame:
-    """(paper_id, file, score, ok): whether a paper's title is that of its file, by their words; null where either is missing."""
-    f = manifest.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("file").alias("file"), F.min("title_guess").alias("guess"))
-    t = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("meta.title").alias("title"))
-    both = t.join(f, "paper_id").withColumn("score", X.token_set_ratio(F.col("title"), F.col("guess")))
+def identities(papers: DataFrame, least: float = 70.0) -> DataFrame:
+    """(paper_id, file, score, ok): whether a paper's title is what the name of its file (source_file) says; score and ok are
+    null where either says too little."""
+    t = papers.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("source_file").alias("file"), F.min("meta.title").alias("title"))
+    both = t.withColumn("score", identity_score(F.col("title"), F.col("file")))
     return both.select("paper_id", "file", "score", (F.col("score") >= least).alias("ok"))
 
 

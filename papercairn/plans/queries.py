@@ -302,32 +302,62 @@ def chunk_distribution(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT kind, section_type, count(DISTINCT chunk_id) AS chunks, count(DISTINCT paper_id) AS papers FROM papercairn_chunks GROUP BY GROUPING SETS ((kind), (kind, section_type), ())")
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Papers with a title and abstract, once each, and the title's length n, by which the sources and the damage below are
+    dealt out."""
+    t = read(spark, d, "papers").filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("abstract").alias("abstract"), F.min("meta.title").alias("title"))
+    return t.withColumn("n", F.char_length(F.coalesce("title", F.lit(""))))
+
+
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.signals(*(read(spark, d, t) for t in ("papers", "paragraphs", "paper_tables", "manifest")))
+    """The signals of all papers, with what other sources would say of each, and with damage put into the paragraphs: a
+    little for every flag of the audit."""
+    t = _titles(spark, d)
+    n = F.col("n")
+    api = F.when(n % 4 == 0, F.col("abstract")).when(n % 4 == 1, F.substring("abstract", F.lit(1), F.floor(F.char_length("abstract") / 2).cast("int"))).when(n % 4 == 2, F.concat("abstract", F.repeat(F.lit(" other words of a longer abstract"), F.lit(60))))
+    name = F.when(n % 6 == 5, "2021-03-A Entirely unrelated words about something else.pdf").otherwise(F.concat(F.translate(F.coalesce("title", F.lit("")), "/\\", "  "), F.lit(".pdf")))
+    metadata = t.select("paper_id", api.alias("api_abstract"), ((n % 7) * 4).alias("reference_count"), (~F.col("paper_id").startswith("file:")).alias("known"), (n % 11 != 0).alias("resolves"), name.alias("file_name"))
+    damage = {
+        0: [F.repeat(F.lit("ﬁ"), F.lit(9))], 1: [F.lit("(cid:12) and (cid:3)")], 2: [F.lit("the families.2–5 and methods.3,4 and results.12-14 and lesions.7–9 were seen")],
+        3: [F.lit(f"Smith AB, Jones C. A study of the fold in men. Journal. 2019;{i}") for i in range(3)], 4: [F.lit("Received: 3 May"), F.lit("doi: 10.1000/x")], 5: [F.concat(F.lit("a"), F.repeat(F.lit("�"), F.lit(5)))],
+    }
+    put = F.when(n < 0, F.array().cast("array<string>"))
+    for k, texts in damage.items():
+        put = put.when(n % 6 == k, F.array(*texts))
+    planted = t.select("paper_id", F.lit(999).alias("sec_ord"), F.posexplode(put).alias("par_ord", "text"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("array<string>").alias("cited_keys"))
+    paragraphs = read(spark, d, "paragraphs").select("paper_id", "sec_ord", "par_ord", "text", "path", "cited_keys").unionByName(planted)
+    return corpus.signals(read(spark, d, "papers"), paragraphs, read(spark, d, "paper_tables"), read(spark, d, "manifest"), metadata)
 
 
 _SIGNALS_SQL = r"""
-p AS (SELECT DISTINCT paper_id, sec_ord, par_ord, text, path, coalesce(text, '') AS t, path[-1] AS head FROM paragraphs),
-s1 AS (SELECT paper_id, count(DISTINCT sec_ord) AS n_sections, count(*) AS n_paragraphs, sum(length(t)) AS n_chars,
-  sum(length(regexp_replace(t, '[^\x{FFFD}\x{0000}-\x{0008}\x{000E}-\x{001F}\x{007F}-\x{009F}]', '', 'g')) + len(regexp_extract_all(t, '\(cid:\d+\)'))) AS broken,
+tt AS (SELECT paper_id, min(source) AS source, min(abstract) AS abstract, min(abstract_source) AS abstract_source, min(meta.title) AS title, length(coalesce(min(meta.title), '')) AS n, min(array_to_string(meta.pub_types, ' ')) AS pub_types FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+pl AS (SELECT paper_id, 999 AS sec_ord, unnest(range(0, len(x))) AS par_ord, unnest(x) AS text FROM (SELECT paper_id, CASE n % 6 WHEN 0 THEN [repeat('ﬁ', 9)] WHEN 1 THEN ['(cid:12) and (cid:3)'] WHEN 2 THEN ['the families.2–5 and methods.3,4 and results.12-14 and lesions.7–9 were seen']
+  WHEN 3 THEN ['Smith AB, Jones C. A study of the fold in men. Journal. 2019;0', 'Smith AB, Jones C. A study of the fold in men. Journal. 2019;1', 'Smith AB, Jones C. A study of the fold in men. Journal. 2019;2'] WHEN 4 THEN ['Received: 3 May', 'doi: 10.1000/x'] ELSE ['a' || repeat(chr(65533), 5)] END AS x FROM tt)),
+p AS (SELECT DISTINCT paper_id, sec_ord, par_ord, text, path, coalesce(text, '') AS t, path[-1] AS head FROM (SELECT paper_id, sec_ord, par_ord, text, path FROM paragraphs UNION ALL SELECT paper_id, sec_ord, par_ord, text, NULL FROM pl)),
+s1 AS (SELECT paper_id, count(DISTINCT sec_ord) AS n_sections, count(*) AS n_paragraphs, sum(length(t)) + greatest(0, count(*) - 1) AS n_chars,
+  sum(length(regexp_replace(t, '[^\x{FFFD}\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}]', '', 'g'))) AS broken, sum(len(regexp_extract_all(t, '[ﬀﬁﬂﬃﬄﬆ]'))) AS ligatures, sum(len(regexp_extract_all(t, '\(cid:\d+\)'))) AS cid,
+  sum(len(regexp_extract_all(t, '\b[a-z]{4,}\.\d{1,3}[,\-–]\d{1,3}\b'))) AS glued, count(*) FILTER (regexp_matches(trim(t), '^[A-Z][a-zA-Z\-]+ [A-Z]{1,3}(,| et al).{0,120}\.\s.{5,}\.\s.{0,60}\d{4}')) AS listed,
   count(text) - count(DISTINCT text) AS duplicates,
-  sum(CASE WHEN regexp_matches(t, '(?i)^\s*(received|accepted|correspond|copyright|©|e-?mail|doi:|https?://)') THEN 1 ELSE 0 END) AS frontmatter,
-  sum(CASE WHEN regexp_matches(ltrim(t), '^\p{Ll}') AND NOT regexp_matches(ltrim(t), '^(p|n|r|t|pH|mRNA|x|e|α|β|γ|κ|µ|mg|kg|ml)([^\p{L}\p{N}]|$)') THEN 1 ELSE 0 END) AS truncated,
+  count(*) FILTER (regexp_matches(t, '(?i)^\s*(received:|accepted:|correspondence\b|©|copyright|downloaded from|e-?mail|how to cite|this article|funding information|conflict of interest|doi:\s*10\.)')) AS frontmatter,
   count(DISTINCT CASE WHEN head IS NOT NULL AND (regexp_matches(head, '^[\d\s.|)]+$') OR length(head) = 1 OR length(head) > 150) THEN sec_ord END) AS bad_headings FROM p GROUP BY paper_id),
 s2 AS (SELECT paper_id, count(*) AS n_tables, sum(CASE WHEN trim(coalesce(markdown, '')) = '' THEN 1 ELSE 0 END) AS empty_tables FROM (SELECT DISTINCT paper_id, table_uid, markdown FROM paper_tables) GROUP BY paper_id),
 s3 AS (SELECT paper_id, max(pages) AS pages, max(total_chars) AS total_chars, max(is_scanned_candidate) AS scanned FROM manifest WHERE paper_id IS NOT NULL GROUP BY paper_id),
-b AS (SELECT paper_id, min(source) AS source, min(abstract) AS abstract, min(meta.title) AS title FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
-g AS (SELECT b.paper_id, source, title, coalesce(n_sections, 0) AS n_sections, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_chars, 0) AS n_chars, coalesce(broken, 0) AS broken, coalesce(duplicates, 0) AS duplicates, coalesce(frontmatter, 0) AS frontmatter, coalesce(truncated, 0) AS truncated, coalesce(bad_headings, 0) AS bad_headings,
-  coalesce(n_tables, 0) AS n_tables, coalesce(empty_tables, 0) AS empty_tables, coalesce(pages, 0) AS pages, coalesce(total_chars, 0) AS total_chars, coalesce(scanned, false) AS scanned FROM b LEFT JOIN s1 USING (paper_id) LEFT JOIN s2 USING (paper_id) LEFT JOIN s3 USING (paper_id))"""
-_AUDIT_SQL = f"""WITH {_SIGNALS_SQL}, a AS (SELECT paper_id, list_filter([
-  CASE WHEN total_chars > 4000 AND n_chars / total_chars < 0.12 THEN 'under_extracted' END, CASE WHEN pages >= 3 AND n_sections <= 1 THEN 'no_sections' END, CASE WHEN pages >= 4 AND n_chars < 1500 THEN 'too_little_body' END,
-  CASE WHEN broken > 3 THEN 'broken_chars' END, CASE WHEN frontmatter >= 2 THEN 'frontmatter_leak' END, CASE WHEN bad_headings >= 2 THEN 'suspicious_headings' END, CASE WHEN duplicates >= 3 THEN 'duplicate_paragraphs' END,
-  CASE WHEN truncated >= 1 THEN 'truncated_paragraphs' END, CASE WHEN empty_tables >= 1 THEN 'empty_tables' END, CASE WHEN trim(coalesce(title, '')) = '' THEN 'no_title' END], lambda x: x IS NOT NULL) AS flags FROM g)"""
-
-
-@query(f"WITH {_SIGNALS_SQL} SELECT paper_id, n_sections, n_paragraphs, n_chars, broken, duplicates, frontmatter, truncated, bad_headings, n_tables, empty_tables, pages, total_chars, scanned FROM g")
+s4 AS (SELECT paper_id, count(DISTINCT ref) AS n_references FROM (SELECT paper_id, unnest(cited_keys) AS ref FROM paragraphs) GROUP BY paper_id),
+g AS (SELECT tt.*, coalesce(n_sections, 0) AS n_sections, coalesce(n_paragraphs, 0) AS n_paragraphs, coalesce(n_chars, 0) AS n_chars, coalesce(broken, 0) AS broken, coalesce(ligatures, 0) AS ligatures, coalesce(cid, 0) AS cid, coalesce(glued, 0) AS glued, coalesce(listed, 0) AS listed,
+  coalesce(duplicates, 0) AS duplicates, coalesce(frontmatter, 0) AS frontmatter, coalesce(bad_headings, 0) AS bad_headings, coalesce(n_references, 0) AS n_references,
+  coalesce(n_tables, 0) AS n_tables, coalesce(empty_tables, 0) AS empty_tables, coalesce(pages, 0) AS pages, coalesce(total_chars, 0) AS total_chars, coalesce(scanned, false) AS scanned,
+  CASE n % 4 WHEN 0 THEN abstract WHEN 1 THEN substr(abstract, 1, length(abstract) // 2) WHEN 2 THEN abstract || repeat(' other words of a longer abstract', 60) END AS api, (n % 7) * 4 AS registered, NOT starts_with(paper_id, 'file:') AND n % 11 <> 0 AS sound
+  FROM tt LEFT JOIN s1 USING (paper_id) LEFT JOIN s2 USING (paper_id) LEFT JOIN s3 USING (paper_id) LEFT JOIN s4 USING (paper_id))"""
+_AUDIT_SQL = f"""WITH {_SIGNALS_SQL}, l AS (SELECT *, regexp_matches(coalesce(pub_types, ''), '(?i)letter|comment|editorial|reply|correspondence') OR regexp_matches(CASE WHEN n % 6 = 5 THEN '' ELSE coalesce(title, '') END, '-[LC]-') AS letter FROM g), a AS (SELECT paper_id, list_filter([
+  CASE WHEN total_chars > 4000 AND round(n_chars / total_chars, 2) < 0.12 THEN 'under_extracted' END, CASE WHEN NOT letter AND pages >= 3 AND n_sections <= 1 THEN 'no_sections' END, CASE WHEN NOT letter AND pages >= 4 AND n_chars < 1500 THEN 'too_little_body' END,
+  CASE WHEN ligatures > 8 THEN 'unresolved_ligatures' END, CASE WHEN broken > 3 THEN 'broken_chars' END, CASE WHEN cid > 0 THEN 'cid_artifacts' END, CASE WHEN frontmatter >= 2 THEN 'frontmatter_leak' END, CASE WHEN glued >= 4 THEN 'cite_contamination' END, CASE WHEN listed >= 3 THEN 'references_in_body' END,
+  CASE WHEN bad_headings >= 2 THEN 'suspicious_headings' END, CASE WHEN duplicates >= 3 THEN 'duplicate_paragraphs' END, CASE WHEN coalesce(title, '') = '' THEN 'no_title' END, CASE WHEN NOT letter AND registered >= 8 AND n_references < registered * 0.5 THEN 'references_missing' END], lambda x: x IS NOT NULL) AS flags FROM l)"""
+_SIGNAL_COLUMNS = "paper_id, n_sections, n_paragraphs, n_chars, broken, ligatures, cid, glued, listed, duplicates, frontmatter, bad_headings, n_references, n_tables, empty_tables, pages, total_chars, scanned"
+
+
+@query(f"WITH {_SIGNALS_SQL} SELECT {_SIGNAL_COLUMNS} FROM g")
 def paper_signals(spark: SparkSession, d: str) -> DataFrame:
-    return _signals(spark, d).select("paper_id", "n_sections", "n_paragraphs", "n_chars", "broken", "duplicates", "frontmatter", "truncated", "bad_headings", "n_tables", "empty_tables", "pages", "total_chars", "scanned")
+    return _signals(spark, d).select(*_SIGNAL_COLUMNS.split(", "))
 
 
 @query(_AUDIT_SQL + " SELECT paper_id, array_to_string(flags, ',') AS flags FROM a")
@@ -340,20 +370,34 @@ def flag_histogram(spark: SparkSession, d: str) -> DataFrame:
     return corpus.flag_counts(corpus.audit(_signals(spark, d)))
 
 
-@query(rf"""WITH {_SIGNALS_SQL}, ft AS (SELECT paper_id, arg_min(text, (sec_ord, par_ord, text)) AS first_text FROM p WHERE trim(t) <> '' GROUP BY paper_id),
-ab AS (SELECT paper_id, min(abstract) AS abstract FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
-v AS (SELECT g.*, regexp_extract_all(lower(coalesce(abstract, '')), '[\p{{L}}\p{{N}}]+') AS w, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 3) AS tw, regexp_extract_all(lower(coalesce(first_text, '')), '[\p{{L}}\p{{N}}]+') AS fw FROM g LEFT JOIN ft USING (paper_id) LEFT JOIN ab USING (paper_id)),
-r AS (SELECT *, scanned AS f1, n_sections = 0 OR n_paragraphs = 0 AS f2, broken / greatest(n_chars, 1) > 0.005 AS f3,
-  len(w) >= 20 AND len(fw) >= 20 AND len(list_intersect(fw, w)) >= 0.9 * len(list_distinct(fw)) AND len(list_intersect(w, fw)) >= 0.9 * len(list_distinct(w)) AS f4,
-  len(w) >= 20 AND len(tw) >= 3 AND len(list_intersect(w, tw)) = 0 AS f5, paper_id LIKE 'file:%' AS f6 FROM v),
-x AS (SELECT *, 0.5 * f1::INT + 0.4 * f2::INT + 0.2 * f3::INT + 0.3 * f4::INT + 0.3 * f5::INT + 0.5 * f6::INT AS off FROM r),
-y AS (SELECT *, greatest(0, round(CASE WHEN source = 'pdf_fallback' THEN least(1 - off, 0.7) - 0.05 ELSE 1 - off END, 3))::DOUBLE AS quality_score FROM x)
-SELECT paper_id, source, array_to_string(list_filter([CASE WHEN f1 THEN 'scanned_no_text_layer' END, CASE WHEN f2 THEN 'no_sections' END, CASE WHEN f3 THEN 'char_corruption' END, CASE WHEN f4 THEN 'abstract_is_body_first_paragraph' END, CASE WHEN f5 THEN 'abstract_title_zero_overlap' END, CASE WHEN f6 THEN 'doi_unresolved' END], lambda x: x IS NOT NULL), ',') AS flags,
-  quality_score, quality_score >= 0.6 AND NOT f2 AND NOT f6 AS passed FROM y""")
+_COMMON_SQL = "coalesce(list_sum(list_transform(list_distinct({0}), lambda x: least(len(list_filter({0}, lambda y: y = x)), len(list_filter({1}, lambda y: y = x))))), 0)"
+_QUALITY_SQL = rf"""WITH {_SIGNALS_SQL}, ft AS (SELECT paper_id, arg_min(text, (sec_ord, par_ord, text)) AS first_text FROM p WHERE trim(t) <> '' GROUP BY paper_id),
+w AS (SELECT g.*, regexp_extract_all(lower(trim(coalesce(abstract, ''))), '[\p{{L}}\p{{N}}]+') AS wa, regexp_extract_all(lower(trim(coalesce(api, ''))), '[\p{{L}}\p{{N}}]+') AS wp, regexp_extract_all(lower(coalesce(first_text, '')), '[\p{{L}}\p{{N}}]+') AS wf,
+  list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 3) AS wt, trim(coalesce(abstract, '')) <> '' AS there, trim(coalesce(api, '')) <> '' AS has_api FROM g LEFT JOIN ft USING (paper_id)),
+c AS (SELECT *, {_COMMON_SQL.format('wa', 'wp')} AS ap, {_COMMON_SQL.format('wa', 'wf')} AS af FROM w),
+f AS (SELECT *, there AND has_api AS compared, CASE WHEN len(wp) > 0 THEN ap / len(wp) ELSE 0 END AS recall, CASE WHEN len(wa) > 0 THEN ap / len(wa) ELSE 0 END AS precision,
+  there AND len(wa) > 0 AND len(wf) > 0 AND least(af / len(wa), af / len(wf)) >= 0.90 AS echo, there AND len(wt) > 0 AND len(list_intersect(wa, wt)) = 0 AS alien FROM c),
+y AS (SELECT *, scanned AS f1, n_sections = 0 OR n_paragraphs = 0 AS f2, compared AND recall < 0.85 AS f5, compared AND precision < 0.80 AS f6, there AND NOT has_api AND NOT echo AND NOT alien AS f7, NOT sound AS f8, n % 6 = 5 AND length(title) >= 15 AS f9,
+  registered > 0 AND n_references = 0 AS f10, registered > 0 AND n_references > 0 AND abs(n_references - registered) / greatest(registered, 1) > 0.5 AS f11, broken / greatest(n_chars, 1) > 0.005 AS f12 FROM f),
+x AS (SELECT *, 1 - (0.5::DOUBLE * f1::INT + 0.4::DOUBLE * f2::INT + 0.3::DOUBLE * echo::INT + 0.3::DOUBLE * alien::INT + 0.25::DOUBLE * f5::INT + 0.15::DOUBLE * f6::INT + 0.5::DOUBLE * f8::INT + 0.5::DOUBLE * f9::INT + 0.15::DOUBLE * f10::INT + 0.1::DOUBLE * f11::INT + 0.2::DOUBLE * f12::INT) AS plain FROM y),
+m AS (SELECT *, CASE WHEN abstract_source = 'extracted' AND compared THEN least(plain, 0.6 + 0.4 * round(recall, 3)) ELSE plain END AS matched FROM x),
+z AS (SELECT *, greatest(0, round(CASE WHEN source = 'pdf_fallback' THEN least(matched, 0.7) - 0.05 ELSE matched END, 3))::DOUBLE AS quality_score FROM m)
+SELECT paper_id, source, array_to_string(list_filter([CASE WHEN f1 THEN 'scanned_no_text_layer' END, CASE WHEN f2 THEN 'no_sections' END, CASE WHEN echo THEN 'abstract_is_body_first_paragraph' END, CASE WHEN alien THEN 'abstract_title_zero_overlap' END, CASE WHEN f5 THEN 'abstract_truncated_or_foreign' END, CASE WHEN f6 THEN 'abstract_polluted' END,
+  CASE WHEN f7 THEN 'abstract_unverified' END, CASE WHEN f8 THEN 'doi_unresolved' END, CASE WHEN f9 THEN 'identity_mismatch' END, CASE WHEN f10 THEN 'no_references_extracted' END, CASE WHEN f11 THEN 'ref_count_off' END, CASE WHEN f12 THEN 'char_corruption' END, CASE WHEN source = 'pdf_fallback' THEN 'fallback_needs_grobid' END], lambda x: x IS NOT NULL), ',') AS flags,
+  quality_score, quality_score >= 0.6 AND NOT f2 AND NOT f8 AND NOT f9 AS passed FROM z"""
+
+
+@query(_QUALITY_SQL)
 def paper_quality(spark: SparkSession, d: str) -> DataFrame:
     return corpus.quality(_signals(spark, d)).withColumn("flags", F.array_join("flags", ","))
 
 
+@query(f"SELECT flag, count(*) AS papers FROM (SELECT unnest(string_split(flags, ',')) AS flag FROM ({_QUALITY_SQL}) WHERE flags <> '') GROUP BY flag")
+def quality_flags(spark: SparkSession, d: str) -> DataFrame:
+    """How many papers each flag of quality is put on."""
+    return corpus.flag_counts(corpus.quality(_signals(spark, d))).filter("flag <> 'clean'")
+
+
 # ---- papers as paragraphs --------------------------------------------------------------------------------------------
 
 
@@ -792,11 +836,14 @@ def found_files(spark: SparkSession, d: str) -> DataFrame:
 _KEY_SQL = r"list_distinct(regexp_extract_all(trim(regexp_replace(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '[\p{{L}}\p{{N}}]+'))"
 
 
-@query(f"""WITH f AS (SELECT paper_id, min(file) AS file, min(title_guess) AS guess FROM manifest WHERE paper_id IS NOT NULL GROUP BY paper_id), t AS (SELECT paper_id, min(meta.title) AS title FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
-k AS (SELECT paper_id, file, {_KEY_SQL.format('title')} AS a, {_KEY_SQL.format('guess')} AS b FROM t JOIN f USING (paper_id)),
-s AS (SELECT paper_id, file, CASE WHEN least(len(a), len(b)) > 0 THEN round(100 * len(list_intersect(a, b)) / least(len(a), len(b)), 1) END AS score FROM k) SELECT *, score >= 70 AS ok FROM s""")
+@query("""WITH t AS (SELECT paper_id, length(coalesce(min(meta.title), '')) AS n FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id)
+SELECT paper_id, CASE WHEN n >= 15 THEN n % 6 <> 5 END AS ok FROM t""")
 def identities(spark: SparkSession, d: str) -> DataFrame:
-    return matching.identities(read(spark, d, "papers"), read(spark, d, "manifest"))
+    """Whether a file's name says a paper's title: of files named after it, but for a sixth."""
+    n = F.char_length("title")
+    name = F.when(n % 6 == 5, "inbox/Entirely unrelated words about something else.pdf").otherwise(F.concat(F.lit("inbox/2020-01-A1 "), F.translate("title", "/\\", "  "), F.lit(".pdf")))
+    t = _titles(spark, d).withColumn("title", F.coalesce("title", F.lit(""))).select("paper_id", name.alias("source_file"), F.struct("title").alias("meta"))
+    return matching.identities(t).select("paper_id", "ok")
 
 
 @query(rf"""WITH {_FLOATS_SQL}, v AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM paragraphs WHERE text IS NOT NULL),
@@ -821,8 +868,8 @@ def plausible_titles(spark: SparkSession, d: str) -> DataFrame:
 
 #: Columns whose numbers DuckDB gives in another type than Spark.
 _TYPES = {
-    "INTEGER": {"bm25_topk": "rank", "dense_topk": "rank", "hybrid_search": "dense_rank bm25_rank rank", "filtered_search": "rank", "saved_index_search": "rank", "evaluation": "rank", "relinked": "linked unknown", "markdown_check": "n_rows n_cols data_rows", "table_grid": "row col"},
-    "BIGINT": {"paper_signals": "n_chars broken frontmatter truncated empty_tables", "merged_bands": "band", "encoding_profile": " ".join(captions.SIGNATURES), "continued_tables": "rows"},
+    "INTEGER": {"bm25_topk": "rank", "dense_topk": "rank", "hybrid_search": "dense_rank bm25_rank rank", "filtered_search": "rank bm25_rank", "filtered_hybrid": "rank dense_rank bm25_rank", "reranked_search": "rank", "saved_index_search": "rank", "evaluation": "rank", "relinked": "linked unknown", "markdown_check": "n_rows n_cols data_rows", "table_grid": "row col"},
+    "BIGINT": {"paper_signals": "n_chars broken ligatures cid glued frontmatter empty_tables", "merged_bands": "band", "encoding_profile": " ".join(captions.SIGNATURES), "continued_tables": "rows"},
 }
 for _type, _names in _TYPES.items():
     for _name, _columns in _names.items():

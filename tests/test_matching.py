@@ -1,3 +1,5 @@
+import pytest
+from papercairn.functions import python as P
 from papercairn.functions import text as X
 from papercairn.operators import matching
 from pyspark.sql import functions as F
@@ -11,8 +13,12 @@ def value(spark, c, *values):
 def test_text(spark):
     assert value(spark, X.doi_candidates, "see 10.1000/abc and 10.1000/ab\nc.def.ghi more")[:3] == ["10.1000/abc", "10.1000/ab", "10.1000/abc.def.ghi"]
     assert value(spark, X.doi_candidates, "none") == []
-    assert value(spark, X.token_set_ratio, "Light for the knee", "light_for_the_knee.pdf") == 100.0
-    assert value(spark, X.token_set_ratio, "", "x") is None
+    assert P.token_set_ratio("light for the knee", "the knee for light") == 100.0 and P.token_set_ratio("", "x") == 0.0
+    assert P.token_set_ratio("light for the knee", "light for the knee of men") == 100.0
+    assert P.token_set_ratio("fuzzy was a bear", "wuzzy fuzzy") == pytest.approx(62.5, abs=0.1)
+    assert P.ratio("this is a test", "this is a test!") == pytest.approx(96.55, abs=0.01)
+    assert P.partial_ratio("this is a test", "well, this is a test!") == 100.0 and 0 < P.partial_ratio("abcd", "xxbcxx") < 100
+    assert P.file_title("inbox/2021-03-A12 Light for the knees of men.pdf") == "Light for the knees of men" and P.file_title("Reply.pdf") == ""
     assert value(spark, X.dropcap, "V itiligo is") == "Vitiligo is" and value(spark, X.dropcap, "T he case") == "T he case" and value(spark, X.dropcap, "A number of") == "A number of"
     assert value(spark, X.joined_fragments, "Recommenda-", "tion") == "Recommendation"
     assert value(spark, X.joined_fragments, "HA-", "Based") == "HA-Based" and value(spark, X.joined_fragments, "", "x") == "x"
@@ -42,9 +48,9 @@ def test_captions_and_pages(spark):
 
 
 def test_identity_and_topics(spark):
-    p = spark.createDataFrame([("a", ("Light for the knee",), "s"), ("b", (None,), "s")], "paper_id string, meta struct<title:string>, source string")
-    m = spark.createDataFrame([("a", "f", "Cream for the face"), ("b", "g", "x")], "paper_id string, file string, title_guess string")
-    assert {(r["paper_id"], r["score"], r["ok"]) for r in matching.identities(p, m).collect()} == {("a", 50.0, False), ("b", None, None)}
+    p = spark.createDataFrame([("a", ("Light for the knees of men",), "s", "x/Cream on faces, hands, feet.pdf"), ("b", (None,), "s", None), ("c", ("<i>Light</i> for the knees of men",), "s", "Light for the knees of men.pdf")], "paper_id string, meta struct<title:string>, source string, source_file string")
+    assert {(r["paper_id"], r["ok"]) for r in matching.identities(p).collect()} == {("a", False), ("b", None), ("c", True)}
+    p = p.filter("paper_id < 'c'")
     c = spark.createDataFrame([("a", "t", "mean area of face"), ("a", "u", "no")], "paper_id string, uid string, caption string")
     x = spark.createDataFrame([("a", "q", "The area was mean")], "paper_id string, par_uid string, text string")
     assert [tuple(r) for r in matching.topical_coverage(c, x).collect()] == [("a", "t", 2 / 3)]
