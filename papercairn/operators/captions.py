@@ -59,9 +59,9 @@ def ambiguous_numbers(captions: DataFrame, least: float = 0.7) -> DataFrame:
 def leaked_captions(paragraphs: DataFrame, captions: DataFrame, words: int = 6) -> DataFrame:
     """(paper_id, uid, par_uid): paragraphs that hold the first words of a caption of their paper. Joined on these words as one
     run among the runs of each paragraph, not paragraph by caption."""
-    lead = F.array_join(F.slice(X.words(F.col("caption")), 1, words), " ")
+    lead = F.xxhash64(F.array_join(F.slice(X.words(F.col("caption")), 1, words), " "))
     c = captions.filter(F.size(X.words(F.col("caption"))) >= words).select("paper_id", "uid", lead.alias("g"))
-    p = paragraphs.filter("text IS NOT NULL").select("paper_id", "par_uid", F.explode(X.shingles(X.words(F.col("text")), words)).alias("g"))
+    p = paragraphs.filter("text IS NOT NULL").select("paper_id", "par_uid", F.explode(F.transform(X.shingles(X.words(F.col("text")), words), lambda g: F.xxhash64(g))).alias("g"))
     return p.join(c, ["paper_id", "g"]).select("paper_id", "uid", "par_uid").distinct()
 
 

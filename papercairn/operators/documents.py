@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papercairn.functions import text as X
@@ -50,20 +50,28 @@ def boilerplate(paragraphs: DataFrame, share: float = 0.05) -> DataFrame:
 
 
 def abstract_echoes(papers: DataFrame, paragraphs: DataFrame, least: float = 0.8, n: int = 6) -> DataFrame:
-    """(paper_id, par_uid, coverage): paragraphs whose runs of six words the paper's abstract has to that share."""
-    a = papers.filter("abstract IS NOT NULL AND paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("abstract").alias("abstract")).select("paper_id", X.shingles(X.words(F.col("abstract")), n).alias("whole"))
-    p = distinct_paragraphs(paragraphs).filter("text IS NOT NULL").select("paper_id", "par_uid", X.shingles(X.words(F.col("text")), n).alias("part"))
+    """(paper_id, par_uid, coverage): paragraphs whose runs of six words the paper's abstract has to that share. Runs are
+    hashed before they meet, so neither text travels with the other."""
+    a = papers.filter("abstract IS NOT NULL AND paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("abstract").alias("abstract")).select("paper_id", _hashed(F.col("abstract"), n).alias("whole"))
+    p = distinct_paragraphs(paragraphs).filter("text IS NOT NULL").select("paper_id", "par_uid", _hashed(F.col("text"), n).alias("part"))
     return p.join(a, "paper_id").select("paper_id", "par_uid", X.coverage(F.col("part"), F.col("whole")).alias("coverage")).filter(F.col("coverage") >= least)
 
 
+def _hashed(text: Column, n: int) -> Column:
+    """Distinct runs of n words as 64-bit hashes."""
+    return F.transform(X.shingles(X.words(text), n), lambda g: F.xxhash64(g))
+
+
 def missing_prose(source: DataFrame, canonical: DataFrame, key: str, least: float = 0.5, words: int = 25, n: int = 6) -> DataFrame:
     """Texts of `source` (key, text) of `words` words or more that `canonical` (key, text) covers to less than `least` by runs
-    of six words. By joining distinct runs, not by comparing texts."""
-    runs = lambda df: df.filter("text IS NOT NULL").select(key, "text", X.words(F.col("text")).alias("w"))
-    s = runs(source).filter(F.size("w") >= words).select(key, "text", F.explode(X.shingles(F.col("w"), n)).alias("g"))
-    c = runs(canonical).select(key, F.explode(X.shingles(F.col("w"), n)).alias("g")).distinct().withColumn("hit", F.lit(1))
-    by = s.join(c, [key, "g"], "left").groupBy(key, "text").agg((F.count("hit") / F.count(F.lit(1))).alias("coverage"))
-    return by.filter(F.col("coverage") < least)
+    of six words. Hashes of runs are joined and counted for the hash of their text; texts come back at the end."""
+    long = source.filter("text IS NOT NULL").filter(F.size(X.words(F.col("text"))) >= words)
+    s = long.select(key, F.xxhash64("text", F.char_length("text")).alias("of"), F.explode(_hashed(F.col("text"), n)).alias("g"))
+    c = canonical.filter("text IS NOT NULL").select(key, F.explode(_hashed(F.col("text"), n)).alias("g")).distinct().withColumn("hit", F.lit(1))
+    by = s.distinct().join(c, [key, "g"], "left").groupBy(key, "of").agg((F.count("hit") / F.count(F.lit(1))).alias("coverage")).filter(F.col("coverage") < least)
+    texts = long.select(key, F.xxhash64("text", F.char_length("text")).alias("of"), "text").dropDuplicates([key, "of"])
+    by = by.withColumnsRenamed({key: "_key", "of": "_of"})
+    return texts.join(by, (F.col("of") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))).select(key, "text", "coverage")
 
 
 def citations(paragraphs: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ def lines(markdown: Column) -> Column:
 
 
 def cells(row: Column) -> Column:
-    """The cells of a row, white space off."""
-    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
+    """The cells of a row, white space off; a bar behind a backslash belongs to its cell."""
+    inner = F.regexp_replace(F.trim(row), r"^\||(?<!\\)\|$", "")
+    return F.transform(F.split(inner, r"(?<!\\)\|", -1), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
 
 
 def check(tables: DataFrame) -> DataFrame:
-    """(table_uid, n_rows, n_cols, data_rows, problems) of each table's Markdown: no_separator, no_data_rows, single_column,
-    ragged_columns, collapsed. Tables without Markdown have no rows and the problem empty."""
+    """(table_uid, n_rows, n_cols, data_rows, problems) of each table's Markdown: no_separator, separator_misplaced (not the
+    second line), no_data_rows, single_column, ragged_columns, collapsed, truncated (the last line doesn't end its row),
+    unreadable (a third of the cells' characters are damaged). Tables without Markdown have no rows and the problem empty."""
     t = tables.select("table_uid", "markdown").distinct().withColumn("rows", lines(F.col("markdown")))
     widths = F.transform(F.filter("rows", lambda r: ~F.trim(r).rlike(SEPARATOR)), lambda r: F.size(cells(r)))
     t = t.withColumn("widths", widths).withColumn("at", F.array_position(F.transform("rows", lambda r: F.trim(r).rlike(SEPARATOR)), True))
@@ -30,10 +32,13 @@ def check(tables: DataFrame) -> DataFrame:
     problems = F.array(
         F.when(~some, "empty"),
         F.when(some & (F.col("at") == 0), "no_separator"),
+        F.when(some & (F.col("at") != 0) & (F.col("at") != 2), "separator_misplaced"),
         F.when(some & (data == 0), "no_data_rows"),
         F.when(some & (wide == 1), "single_column"),
         F.when(some & (F.array_max("widths") != F.array_min("widths")), "ragged_columns"),
         F.when(some & (wide >= 12) & (data <= 1), "collapsed"),
+        F.when(some & F.trim(F.element_at("rows", 1)).startswith("|") & ~F.trim(F.element_at("rows", -1)).endswith("|"), "truncated"),
+        F.when(some & (3 * F.char_length(F.regexp_replace("markdown", r"[^\x{FFFD}\x{E000}-\x{F8FF}\x{0080}-\x{009F}]", "")) > F.char_length(F.regexp_replace("markdown", r"[\s|:-]", ""))), "unreadable"),
     )
     return t.select("table_uid", F.size("widths").alias("n_rows"), wide.alias("n_cols"), data.alias("data_rows"), F.filter(problems, lambda p: p.isNotNull()).alias("problems"))
 
@@ -48,7 +53,7 @@ def grid(tables: DataFrame) -> DataFrame:
 def to_markdown(cell: DataFrame) -> DataFrame:
     """(table_uid, markdown) of a grid, the inverse of grid(): rows padded to the widest, | in cells escaped."""
     width = cell.groupBy("table_uid").agg((F.max("col") + 1).alias("width"))
-    v = F.regexp_replace("value", r"\|", r"\\|")
+    v = F.replace(F.col("value"), F.lit("|"), F.lit("\\|"))
     row = cell.groupBy("table_uid", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", v.alias("value")))).alias("by")).join(width, "table_uid")
     text = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(""))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width").cast("int")), " | "), F.lit(" |"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -525,14 +526,15 @@ _SEP_SQL = r"regexp_matches(trim(x), '^\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?
 _ROWS_SQL = rf"""
 t AS (SELECT DISTINCT table_uid, caption, markdown FROM paper_tables),
 l AS (SELECT table_uid, x, i, {_SEP_SQL} AS sep FROM (SELECT table_uid, unnest(regexp_split_to_array(coalesce(markdown, ''), '\r\n|\n')) AS x, unnest(range(1, len(regexp_split_to_array(coalesce(markdown, ''), '\r\n|\n')) + 1)) AS i FROM t) WHERE trim(x) <> ''),
-w AS (SELECT table_uid, i, row_number() OVER (PARTITION BY table_uid ORDER BY i) - 1 AS row, string_split(regexp_replace(trim(x), '^\||\|$', '', 'g'), '|') AS c FROM l WHERE NOT sep)"""
+w AS (SELECT table_uid, i, row_number() OVER (PARTITION BY table_uid ORDER BY i) - 1 AS row, list_transform(string_split(regexp_replace(replace(trim(x), '\|', chr(1)), '^\||\|$', '', 'g'), '|'), lambda y: replace(y, chr(1), '|')) AS c FROM l WHERE NOT sep)"""
 
 
 @query(rf"""WITH {_ROWS_SQL}, s AS (SELECT table_uid, count(*) AS n_rows, max(len(c)) AS n_cols, min(len(c)) AS least FROM w GROUP BY table_uid),
-k AS (SELECT DISTINCT table_uid FROM t), e AS (SELECT table_uid, count(*) AS n_lines, bool_or(sep) AS has FROM l GROUP BY table_uid)
+k AS (SELECT DISTINCT table_uid, markdown FROM t), e AS (SELECT table_uid, count(*) AS n_lines, bool_or(sep) AS has, min(place) FILTER (sep) AS sep_at, trim(arg_min(x, i)) AS first, trim(arg_max(x, i)) AS last FROM (SELECT *, row_number() OVER (PARTITION BY table_uid ORDER BY i) AS place FROM l) GROUP BY table_uid)
 SELECT table_uid, coalesce(n_rows, 0) AS n_rows, coalesce(n_cols, 0) AS n_cols, greatest(0, coalesce(n_rows, 0) - 1) AS data_rows,
-  array_to_string(list_filter([CASE WHEN n_lines IS NULL THEN 'empty' END, CASE WHEN n_lines > 0 AND NOT has THEN 'no_separator' END, CASE WHEN n_lines > 0 AND coalesce(n_rows, 0) <= 1 THEN 'no_data_rows' END, CASE WHEN n_lines > 0 AND n_cols = 1 THEN 'single_column' END,
-    CASE WHEN n_lines > 0 AND n_cols <> least THEN 'ragged_columns' END, CASE WHEN n_lines > 0 AND n_cols >= 12 AND n_rows <= 2 THEN 'collapsed' END], lambda x: x IS NOT NULL), ',') AS problems
+  array_to_string(list_filter([CASE WHEN n_lines IS NULL THEN 'empty' END, CASE WHEN n_lines > 0 AND NOT has THEN 'no_separator' END, CASE WHEN sep_at <> 2 THEN 'separator_misplaced' END, CASE WHEN n_lines > 0 AND coalesce(n_rows, 0) <= 1 THEN 'no_data_rows' END, CASE WHEN n_lines > 0 AND n_cols = 1 THEN 'single_column' END,
+    CASE WHEN n_lines > 0 AND n_cols <> least THEN 'ragged_columns' END, CASE WHEN n_lines > 0 AND n_cols >= 12 AND n_rows <= 2 THEN 'collapsed' END, CASE WHEN starts_with(first, '|') AND NOT ends_with(last, '|') THEN 'truncated' END,
+    CASE WHEN 3 * length(regexp_replace(markdown, '[^\x{{FFFD}}\x{{E000}}-\x{{F8FF}}\x{{0080}}-\x{{009F}}]', '', 'g')) > length(regexp_replace(markdown, '[\s|:-]', '', 'g')) THEN 'unreadable' END], lambda x: x IS NOT NULL), ',') AS problems
 FROM k LEFT JOIN s USING (table_uid) LEFT JOIN e USING (table_uid)""")
 def markdown_check(spark: SparkSession, d: str) -> DataFrame:
     return tables.check(read(spark, d, "paper_tables")).withColumn("problems", F.array_join("problems", ","))
@@ -544,7 +546,7 @@ def table_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""WITH {_ROWS_SQL}, x AS (SELECT table_uid, max(len(c)) AS width FROM w GROUP BY table_uid),
-r AS (SELECT table_uid, row, width, '| ' || array_to_string(list_resize(list_transform(c, lambda y: trim(y)), width, ''), ' | ') || ' |' AS line FROM w JOIN x USING (table_uid))
+r AS (SELECT table_uid, row, width, '| ' || array_to_string(list_resize(list_transform(c, lambda y: replace(trim(y), '|', '\|')), width, ''), ' | ') || ' |' AS line FROM w JOIN x USING (table_uid))
 SELECT table_uid, string_agg(CASE WHEN row = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(0, width), lambda i: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row) AS markdown FROM r GROUP BY table_uid""")
 def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every table's Markdown read into cells and written again, one separator row each."""
@@ -677,7 +679,7 @@ def headings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SET_SQL}, {_BM25_SQL} SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 8")
 def saved_index_search(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index written, read again, and asked."""
-    c, at = indexed(spark, d), f"{shared_dir(spark)}/index-{abs(hash(d))}"
+    c, at = indexed(spark, d), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     sinks.save_index(retrieval.postings(c, "chunk_id", F.col("body")), retrieval.lengths(c, "chunk_id", F.col("body")), at)
     return sinks.index_search(sinks.load_index(spark, at), "chunk_id", golden(spark), 8)
 
@@ -685,12 +687,10 @@ def saved_index_search(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT section_type, count(*) AS paragraphs FROM (SELECT DISTINCT par_uid, section_type FROM paragraphs) GROUP BY section_type")
 def streamed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs taken in as a stream, each key once, and counted."""
-    import uuid
-
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     static = read(spark, d, "paragraphs")
     stream = ingest.arrivals(spark, f"{d}/paragraphs*.parquet", static.schema)
-    ingest.into(ingest.once_each(stream, "par_uid", "ingested_at", "3650 days"), f"{at}/out", f"{at}/state").awaitTermination()
+    ingest.into(ingest.once_each(stream, "par_uid", "ingested_at", "90 days"), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("section_type").agg(F.count(F.lit(1)).alias("paragraphs"))
 
 
