@@ -94,8 +94,12 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return _classes(*neardup.near_duplicates(_texts(spark, d), 0.6, 3))
 
 
-def _classes_sql(size: int, threshold: float) -> str:
-    """By all pairs of texts that have a run of words in common."""
+def _classes_sql(size: int, threshold: float, rows: bool = False) -> str:
+    """By all pairs of texts that have a run of words in common: classes, or pairs of rows, copies included."""
+    found = """SELECT u.tbl, u.id, u.class, coalesce(links, 0)::BIGINT AS links FROM u LEFT JOIN l ON l.tbl = u.tbl AND l.x = u.class"""
+    if rows:
+        found = """SELECT DISTINCT a.tbl, a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.tbl = b.tbl AND a.class = b.class AND a.id < b.id
+UNION SELECT o.tbl, least(a.id, b.id), greatest(a.id, b.id) FROM o JOIN u a ON a.tbl = o.tbl AND a.class = x JOIN u b ON b.tbl = o.tbl AND b.class = y"""
     return rf"""
 WITH t AS (SELECT DISTINCT 'paragraphs' AS tbl, par_uid AS id, text FROM paragraphs UNION SELECT DISTINCT 'chunks', chunk_id, text FROM chunks),
   w AS (SELECT tbl, id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM t WHERE text IS NOT NULL),
@@ -104,12 +108,13 @@ WITH t AS (SELECT DISTINCT 'paragraphs' AS tbl, par_uid AS id, text FROM paragra
   g AS (SELECT DISTINCT tbl, class, array_to_string(w[i : i + {size - 1}], ' ') AS s FROM (SELECT tbl, class, w, unnest(range(1, len(w) - {size - 2})) AS i FROM c)),
   n AS (SELECT tbl, class, count(*) AS n FROM g GROUP BY ALL),
   p AS (SELECT a.tbl, a.class AS x, b.class AS y, count(*) AS common FROM g a JOIN g b ON a.tbl = b.tbl AND a.s = b.s AND a.class <> b.class GROUP BY ALL),
-  l AS (SELECT p.tbl, x, count(*) AS links FROM p JOIN n a ON a.tbl = p.tbl AND a.class = x JOIN n b ON b.tbl = p.tbl AND b.class = y WHERE common >= {threshold} * (a.n + b.n - common) GROUP BY ALL)
-SELECT u.tbl, u.id, u.class, coalesce(links, 0)::BIGINT AS links FROM u LEFT JOIN l ON l.tbl = u.tbl AND l.x = u.class
+  o AS (SELECT p.tbl, x, y FROM p JOIN n a ON a.tbl = p.tbl AND a.class = x JOIN n b ON b.tbl = p.tbl AND b.class = y WHERE common >= {threshold} * (a.n + b.n - common)),
+  l AS (SELECT tbl, x, count(*) AS links FROM o GROUP BY ALL)
+{found}
 """.replace("\\p", "\p")
 
 
-SQL["p6_groups"], SQL["p6_classes"] = _classes_sql(5, 0.8), _classes_sql(3, 0.6)
+SQL["p6_groups"], SQL["p6_classes"], SQL["p6_found"] = _classes_sql(5, 0.8), _classes_sql(3, 0.6), _classes_sql(3, 0.6, True)
 
 
 @query
