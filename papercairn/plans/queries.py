@@ -261,9 +261,10 @@ def unidentified_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT lower(trim(doi)) AS paper_id, file FROM manifest WHERE is_primary AND error IS NULL AND doi IS NOT NULL
-AND lower(trim(doi)) NOT IN (SELECT lower(trim(paper_id)) FROM papers WHERE paper_id IS NOT NULL)""")
+AND lower(trim(doi)) NOT IN (SELECT lower(trim(paper_id)) FROM papers WHERE paper_id IS NOT NULL AND length(paper_id) % 2 = 0)""")
 def work_selection(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.to_process(read(spark, d, "manifest"), read(spark, d, "papers"))
+    """What is left to do where only papers with ids of even length are done."""
+    return corpus.to_process(read(spark, d, "manifest"), read(spark, d, "papers").filter("length(paper_id) % 2 = 0"))
 
 
 @query("SELECT par_uid, paper_id, epoch_us(ingested_at) AS arrived FROM (SELECT *, row_number() OVER (PARTITION BY par_uid ORDER BY ingested_at DESC, paper_id) AS n FROM paragraphs) WHERE n = 1")
@@ -419,10 +420,13 @@ _RUNS_SQL = r"CASE WHEN len(w) >= 6 THEN list_distinct(list_transform(range(1, l
 
 
 @query(rf"""WITH a AS (SELECT paper_id, {_RUNS_SQL} AS g FROM (SELECT paper_id, regexp_extract_all(lower(min(abstract)), '[\p{{L}}\p{{N}}]+') AS w FROM papers WHERE abstract IS NOT NULL AND paper_id IS NOT NULL GROUP BY paper_id)),
-p AS (SELECT DISTINCT ON (par_uid) paper_id, par_uid, {_RUNS_SQL} AS g FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM paragraphs WHERE text IS NOT NULL))
+p AS (SELECT DISTINCT ON (par_uid) paper_id, par_uid, {_RUNS_SQL} AS g FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT paper_id, par_uid, text FROM paragraphs UNION ALL SELECT paper_id, 'echo-' || paper_id, min(abstract) || ' And so on.' FROM papers WHERE paper_id IS NOT NULL AND abstract IS NOT NULL GROUP BY paper_id) WHERE text IS NOT NULL))
 SELECT p.paper_id, par_uid, len(list_intersect(p.g, a.g)) / len(p.g) AS coverage FROM p JOIN a USING (paper_id) WHERE len(p.g) > 0 AND len(list_intersect(p.g, a.g)) / len(p.g) >= 0.8""")
 def abstract_echoes(spark: SparkSession, d: str) -> DataFrame:
-    return documents.abstract_echoes(read(spark, d, "papers"), read(spark, d, "paragraphs"))
+    """Paragraphs that say what the abstract does, with one in each paper."""
+    papers = read(spark, d, "papers")
+    echo = papers.filter("paper_id IS NOT NULL AND abstract IS NOT NULL").groupBy("paper_id").agg(F.min("abstract").alias("text")).select("paper_id", F.concat(F.lit("echo-"), "paper_id").alias("par_uid"), F.concat("text", F.lit(" And so on.")).alias("text"))
+    return documents.abstract_echoes(papers, read(spark, d, "paragraphs").select("paper_id", "par_uid", "text").unionByName(echo))
 
 
 _MARKS_SQL = r"""
@@ -553,9 +557,15 @@ def table_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tables.to_markdown(tables.grid(read(spark, d, "paper_tables")))
 
 
-@query("SELECT DISTINCT t.table_uid FROM t LEFT JOIN (SELECT table_uid, count(*) AS n FROM w GROUP BY table_uid) USING (table_uid) WHERE coalesce(n, 0) <= 1 AND length(trim(coalesce(caption, ''))) < 15".join(["WITH " + _ROWS_SQL + " ", ""]))
+_EMPTY_SQL = _ROWS_SQL.replace("FROM paper_tables)", "FROM (SELECT table_uid, caption, markdown FROM paper_tables UNION ALL SELECT 'e-' || table_uid, left(caption, 8), CASE WHEN length(caption) % 2 = 0 THEN '| a |' END FROM paper_tables))")
+
+
+@query(f"WITH {_EMPTY_SQL} SELECT DISTINCT t.table_uid FROM t LEFT JOIN (SELECT table_uid, count(*) AS n FROM w GROUP BY table_uid) USING (table_uid) WHERE coalesce(n, 0) <= 1 AND length(trim(coalesce(caption, ''))) < 15")
 def empty_tables(spark: SparkSession, d: str) -> DataFrame:
-    return tables.empty_tables(read(spark, d, "paper_tables"))
+    """Tables without a body and a caption, with one of each table's number alone."""
+    t = read(spark, d, "paper_tables").select("table_uid", "caption", "markdown")
+    bare = t.select(F.concat(F.lit("e-"), "table_uid").alias("table_uid"), F.left("caption", F.lit(8)).alias("caption"), F.when(F.char_length("caption") % 2 == 0, "| a |").alias("markdown"))
+    return tables.empty_tables(t.unionByName(bare))
 
 
 _CAPTIONS = r"(?i)^\s*(suppl(?:ementary|\.)?\s+)?(table|tab|figure|fig)\.?\s*(S?)(\d{1,3}|[ivx]{1,4})\b[.:)]?\s*"
@@ -727,27 +737,23 @@ def caption_map(spark: SparkSession, d: str) -> DataFrame:
     return captions.caption_map(_floats(spark, d))
 
 
-@query(f"""WITH {_FLOATS_SQL}, b AS (SELECT paper_id, kind, number, arg_max(caption, (length(caption), caption)) AS best FROM f WHERE number IS NOT NULL GROUP BY ALL HAVING count(DISTINCT caption) > 1)
-SELECT DISTINCT f.paper_id, f.kind, f.number FROM f JOIN b ON f.paper_id = b.paper_id AND f.kind = b.kind AND f.number = b.number WHERE 1 - levenshtein(caption, best) / greatest(length(caption), length(best)) < 0.7""")
+@query(f"""WITH {_FLOATS_SQL}, f2 AS (SELECT paper_id, kind, number, caption FROM f UNION SELECT paper_id, kind, number, 'Other words under one number' FROM f WHERE number IS NOT NULL AND length(caption) % 3 = 0), b AS (SELECT paper_id, kind, number, arg_max(caption, (length(caption), caption)) AS best FROM f2 WHERE number IS NOT NULL GROUP BY ALL HAVING count(DISTINCT caption) > 1)
+SELECT DISTINCT f.paper_id, f.kind, f.number FROM f2 f JOIN b ON f.paper_id = b.paper_id AND f.kind = b.kind AND f.number = b.number WHERE 1 - levenshtein(caption, best) / greatest(length(caption), length(best)) < 0.7""")
 def ambiguous_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return captions.ambiguous_numbers(_floats(spark, d))
+    """Numbers that unlike captions claim, a third of them made so."""
+    f = _floats(spark, d)
+    more = f.filter("number IS NOT NULL AND length(caption) % 3 = 0").withColumn("caption", F.lit("Other words under one number"))
+    return captions.ambiguous_numbers(f.unionByName(more))
 
 
 @query(rf"""WITH {_FLOATS_SQL}, l AS (SELECT paper_id, uid, array_to_string(list_slice(w, 1, 6), ' ') AS g FROM (SELECT *, regexp_extract_all(lower(caption), '[\p{{L}}\p{{N}}]+') AS w FROM c) WHERE len(w) >= 6),
-p AS (SELECT paper_id, par_uid, unnest({_RUNS_SQL}) AS g FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM paragraphs WHERE text IS NOT NULL))
+p AS (SELECT paper_id, par_uid, unnest({_RUNS_SQL}) AS g FROM (SELECT *, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT paper_id, par_uid, text FROM paragraphs UNION ALL SELECT paper_id, 'leak-' || uid, 'As seen, ' || caption || ' was so.' FROM c WHERE length(caption) % 4 = 0) WHERE text IS NOT NULL))
 SELECT DISTINCT p.paper_id, uid, par_uid FROM p JOIN l ON p.paper_id = l.paper_id AND p.g = l.g""")
 def leaked_captions(spark: SparkSession, d: str) -> DataFrame:
-    return captions.leaked_captions(read(spark, d, "paragraphs"), _floats(spark, d))
-
-
-@query(r"""WITH p AS (SELECT DISTINCT p.par_uid, text, journal FROM paragraphs p JOIN (SELECT paper_id, min(meta.journal) AS journal FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id) USING (paper_id) WHERE text IS NOT NULL AND journal IS NOT NULL),
-s AS (SELECT *, rtrim(substr(text, 1, strpos(text, journal) - 1)) AS before, ltrim(substr(text, strpos(text, journal) + length(journal))) AS after FROM p WHERE strpos(text, journal) > 1 AND length(journal) >= 12)
-SELECT par_uid, before || ' ' || after AS text FROM s WHERE regexp_extract(before, '(\p{L}+)$', 1) <> '' AND lower(regexp_extract(before, '(\p{L}+)$', 1)) NOT IN ('the','a','an','of','in','on','for','with','to','by','and','or','from') AND regexp_matches(after, '^\p{Ll}')""")
-def without_journal(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs in which the journal's name stands amid a sentence, without it."""
-    j = read(spark, d, "papers").filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("meta.journal").alias("journal")).filter("journal IS NOT NULL")
-    p = read(spark, d, "paragraphs").filter("text IS NOT NULL").join(j, "paper_id").select("par_uid", "text", captions.without_journal(F.col("text"), F.col("journal")).alias("clean")).distinct()
-    return p.filter("clean <> text").select("par_uid", F.col("clean").alias("text"))
+    """Paragraphs that hold a caption, with some put there."""
+    f = _floats(spark, d)
+    leak = f.filter("length(caption) % 4 = 0").select("paper_id", F.concat(F.lit("leak-"), "uid").alias("par_uid"), F.concat(F.lit("As seen, "), "caption", F.lit(" was so.")).alias("text"))
+    return captions.leaked_captions(read(spark, d, "paragraphs").select("paper_id", "par_uid", "text").unionByName(leak), f)
 
 
 @query(r"""WITH w AS (SELECT DISTINCT ON (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(embed_text), '[\p{L}\p{N}]+') AS b FROM chunks),
@@ -795,19 +801,24 @@ def marker_numbers(spark: SparkSession, d: str) -> DataFrame:
     return captions.marker_numbers(read(spark, d, "paragraphs"))
 
 
-@query(r"""WITH m AS (SELECT DISTINCT file, title_guess, regexp_replace(regexp_replace(lower(trim(x)), '^(https?://)?(dx\.)?(doi\.org/)?(doi:\s*)?', ''), '/+', '/', 'g') AS doi FROM (SELECT file, title_guess, unnest(doi_candidates) AS x FROM manifest WHERE doi IS NULL AND title_guess IS NOT NULL)),
+@query(r"""WITH m AS (SELECT DISTINCT file, title_guess, regexp_replace(regexp_replace(lower(trim(x)), '^(https?://)?(dx\.)?(doi\.org/)?(doi:\s*)?', ''), '/+', '/', 'g') AS doi FROM (SELECT file, title_guess, unnest(doi_candidates) AS x FROM (SELECT file, title_guess, doi, doi_candidates FROM manifest UNION ALL SELECT 'planted/' || paper_id, meta.title || 's', NULL, [paper_id, '10.1/other'] FROM papers WHERE paper_id LIKE '10.%') WHERE doi IS NULL AND title_guess IS NOT NULL)),
 p AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(trim(paper_id)), '^(https?://)?(dx\.)?(doi\.org/)?(doi:\s*)?', ''), '/+', '/', 'g') AS doi, meta.title AS title FROM papers),
 k AS (SELECT file, doi, trim(regexp_replace(strip_accents(lower(title_guess)), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(strip_accents(lower(title)), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM m JOIN p USING (doi)),
 s AS (SELECT file, doi, round(100 * (1 - levenshtein(a, b) / greatest(length(a), length(b))), 1) AS score FROM k WHERE greatest(length(a), length(b)) > 0)
 SELECT file, doi, score FROM s WHERE score >= 90 QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, doi) = 1""")
 def resolved_dois(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.resolved_dois(read(spark, d, "manifest"), read(spark, d, "papers"))
+    """Files without a DOI, with one for each paper that prints its DOI and nearly its title."""
+    papers = read(spark, d, "papers")
+    more = papers.filter("paper_id LIKE '10.%'").select(F.concat(F.lit("planted/"), "paper_id").alias("file"), F.concat("meta.title", F.lit("s")).alias("title_guess"), F.lit(None).cast("string").alias("doi"), F.array("paper_id", F.lit("10.1/other")).alias("doi_candidates"))
+    return corpus.resolved_dois(read(spark, d, "manifest").select("file", "title_guess", "doi", "doi_candidates").unionByName(more), papers)
 
 
-@query(r"""WITH t AS (SELECT *, regexp_extract(caption, '(?i)^\s*(?:table|tab)\.?\s*(\d{1,3})', 1) AS n FROM (SELECT DISTINCT paper_id, table_uid, caption, markdown FROM paper_tables))
+@query(r"""WITH t AS (SELECT *, regexp_extract(caption, '(?i)^\s*(?:table|tab)\.?\s*(\d{1,3})', 1) AS n FROM (SELECT DISTINCT paper_id, table_uid, caption, markdown FROM paper_tables UNION SELECT paper_id, 'k-' || table_uid, left(caption, 12) || ' (continued)', markdown FROM paper_tables WHERE length(caption) % 3 = 0))
 SELECT paper_id, CAST(n AS INT) AS number, array_to_string(list_sort(list(table_uid)), ',') AS parts, sum(greatest(0, len(list_filter(string_split(coalesce(markdown, ''), chr(10)), lambda r: trim(r) <> '')) - 2)) AS rows FROM t WHERE n <> '' GROUP BY ALL HAVING bool_or(regexp_matches(caption, '(?i)\bcont(inued|\.|d\.?)'))""")
 def continued_tables(spark: SparkSession, d: str) -> DataFrame:
-    return captions.continued_tables(read(spark, d, "paper_tables")).withColumn("parts", F.array_join("parts", ","))
+    t = read(spark, d, "paper_tables").select("paper_id", "table_uid", "caption", "markdown")
+    more = t.filter("length(caption) % 3 = 0").select("paper_id", F.concat(F.lit("k-"), "table_uid").alias("table_uid"), F.concat(F.left("caption", F.lit(12)), F.lit(" (continued)")).alias("caption"), "markdown")
+    return captions.continued_tables(t.unionByName(more)).withColumn("parts", F.array_join("parts", ","))
 
 
 @query()
