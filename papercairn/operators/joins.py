@@ -79,11 +79,12 @@ def paired(printed: DataFrame, items: DataFrame) -> DataFrame:
     titles contradict; a title of 88 of 100 with the year within one; surname, year and journal within the printed text.
     DOIs printed three times or more in a paper identify none. A task holds one paper's two lists."""
     left = printed.select("paper_id", "pos", "title", "year", X.canonical_doi(F.col("doi")).alias("doi"), "raw")
-    right = items.select("paper_id", "pos", "title", "year", X.canonical_doi(F.col("doi")).alias("doi"), "author", "journal")
+    # Names of their own, as both lists may come of one relation, whose columns would be taken for the same
+    right = items.select(F.col("paper_id").alias("_paper"), *[F.col(c).alias(f"_{c}") for c in ("pos", "title", "year", "author", "journal")], X.canonical_doi(F.col("doi")).alias("_doi"))
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = [r for r in a.where(a.notna(), None).to_dict("records")]
-        cols = [r for r in b.where(b.notna(), None).to_dict("records")]
+        cols = [{k[1:]: v for k, v in r.items()} for r in b.where(b.notna(), None).to_dict("records")]
         n = a["doi"].value_counts()
         banned = set(n[n >= 3].index)
         scores = sorted(((-s, p["pos"], q["pos"]) for p in rows for q in cols if (s := _reference_score(p, q, banned)) > 0))
@@ -95,7 +96,7 @@ def paired(printed: DataFrame, items: DataFrame) -> DataFrame:
                 out.append((rows[0]["paper_id"], i, j, -s))
         return pd.DataFrame(out, columns=["paper_id", "pos", "item", "score"])
 
-    return left.groupBy("paper_id").cogroup(right.groupBy("paper_id")).applyInPandas(work, "paper_id string, pos int, item int, score double")
+    return left.groupBy("paper_id").cogroup(right.groupBy("_paper")).applyInPandas(work, "paper_id string, pos int, item int, score double")
 
 
 def merged_references(printed: DataFrame, items: DataFrame) -> DataFrame:

@@ -79,8 +79,9 @@ def aligned(items: DataFrame, printed: DataFrame, least: float = 80.0) -> DataFr
         return pd.DataFrame(out, columns=["paper_id", "uid", "pos", "by"])
 
     left = items.select("paper_id", "uid", "number", "caption")
-    right = printed.select("paper_id", "pos", "number", "caption")
-    return left.groupBy("paper_id").cogroup(right.groupBy("paper_id")).applyInPandas(work, "paper_id string, uid string, pos int, by string")
+    # Names of their own, as both may come of one relation, whose columns would be taken for the same
+    right = printed.select(F.col("paper_id").alias("_paper"), *[F.col(c).alias(f"_{c}") for c in ("pos", "number", "caption")])
+    return left.groupBy("paper_id").cogroup(right.groupBy("_paper")).applyInPandas(lambda a, b: work(a, b.rename(columns=lambda c: c[1:])), "paper_id string, uid string, pos int, by string")
 
 
 def table_pages(cells: DataFrame, pages: DataFrame, first: int = 14, least: int = 3) -> DataFrame:
