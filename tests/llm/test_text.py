@@ -123,6 +123,30 @@ def test_frequent_damage_is_found(spark):
         assert sum(got.get(k) == t for k, t in mine) >= 0.9 * len(mine), kind
 
 
+RU = ["Лечение началось в мае и длилось три недели.", "Боль в колене прошла через несколько дней.", "Площадь пятна уменьшилась после мази."]
+EL = ["Η θεραπεία άρχισε τον Μάιο και κράτησε τρεις εβδομάδες.", "Ο πόνος στο γόνατο πέρασε μετά από λίγες μέρες.", "Η έκταση της κηλίδας μειώθηκε μετά την αλοιφή."]
+PL = ["Leczenie zaczęło się w maju i trwało trzy tygodnie, później ból ustąpił.", "Powierzchnia zmiany zmniejszyła się po maści, a świąd minął."]
+
+
+def test_other_scripts_read_in_the_wrong_set(spark):
+    r = random.Random(4)
+    mixed = lambda parts: " ".join(r.choice(parts) for _ in range(r.randint(2, 4)))
+    clean = [mixed(EN[:7]) for _ in range(300)] + [mixed(x) for x in (RU, EL, PL) for _ in range(150)]
+    bad = {}
+    for k, (parts, wrote, read) in {"win": (RU, "cp1251", "cp1252"), "koi": (RU, "koi8_r", "cp1252"), "dos": (RU, "cp866", "cp1252"), "gr": (EL, "cp1253", "cp1252"), "iso": (EL, "iso8859_7", "cp1252"), "pl": (PL, "cp1250", "cp1252")}.items():
+        t = mixed(parts)
+        bad[k] = t, t.encode(wrote).decode(read, "replace") if k != "dos" else "".join(chr(b) if b < 128 else bytes([b]).decode("cp1252", "replace") for b in t.encode(wrote))
+    rows = [("t", f"c{i}", t) for i, t in enumerate(clean)] + [("t", k, b) for k, (_, b) in bad.items()] + [("t", "private", "the " + chr(0xF062) + "-blocker"), ("t", "cid", "the (cid:12) fold")]
+    # Words without any right reading stay as they are
+    rows += [("t", "c-name", "Ållstrup and Žilkuvar saw Çelbekur and Nguyễn.")]
+    df = spark.createDataFrame(rows, "tbl string, rec_id string, text string")
+    got = {x["rec_id"]: x["restored"] for x in encoding.restored(df, df.select("text")).collect()}
+    assert not [k for k in got if k.startswith("c") and k != "cid"]
+    assert got["private"] == "the β-blocker" and "cid" in got
+    for k in ("win", "koi", "gr", "iso", "pl"):
+        assert got.get(k) == bad[k][0], (k, got.get(k), bad[k])
+
+
 def test_scans(spark):
     r = random.Random(2)
     words = "the fold reduced cheek margin temple lesion broad sunlit truncal border narrow reservoir cluster patient responder baseline and was with nerve infiltrate ending matched self parent rated".split()
