@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,12 @@ def abstract_echoes(papers: DataFrame, paragraphs: DataFrame, least: float = 0.8
 
 def _hashed(text: Column, n: int) -> Column:
     """Distinct runs of n words as 64-bit hashes."""
-    return F.transform(X.shingles(X.words(text), n), lambda g: F.xxhash64(g))
+
+    def runs(t: Column) -> Column:
+        size = F.size(t)
+        return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.xxhash64(F.slice(t, i, n))))).otherwise(F.array().cast("array<bigint>"))
+
+    return X.let(X.words(text), runs)
 
 
 def missing_prose(source: DataFrame, canonical: DataFrame, key: str, least: float = 0.5, words: int = 25, n: int = 6) -> DataFrame:
@@ -171,18 +178,38 @@ def chunk_papers(paragraphs: DataFrame, papers: DataFrame, target: int = 550, mo
     p = distinct_paragraphs(paragraphs).filter((F.coalesce("text", F.lit("")).rlike(r"\S")) & (F.coalesce("section_type", F.lit("other")) != "back"))
     p = p.join(titles, "paper_id", "left").select("paper_id", *ORDER, "id", "par_uid", "section_type", X.context_header(F.coalesce("title", F.col("paper_id")), F.col("path")).alias("header"), X.collapse(F.col("text")).alias("text"))
 
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["par_ord", "par_uid"])
-        header = pdf["header"].iloc[0]
+    kind = pa.schema([("paper_id", pa.string()), ("sec_ord", pa.int32()), ("k", pa.int32()), ("section_type", pa.string()), ("header", pa.string()), ("text", pa.string()), ("n_tokens", pa.int32()), ("para_ids", pa.list_(pa.string()))])
+
+    def section(rows: list[tuple]) -> list[tuple]:
+        paper, sec, _, section_type, header, _ = rows[0]
         room = max(16, most - len(header) // 4 - 1)
-        pieces = [(i or "", part) for i, t in zip(pdf["id"], pdf["text"]) for part in (split_long(t, min(target, room), room) if len(t) // 4 > room else [t])]
-        rows = []
+        pieces = [(r[2] or "", part) for r in rows for part in (split_long(r[5], min(target, room), room) if len(r[5]) // 4 > room else [r[5]])]
+        out = []
         for k, g in enumerate(pack(pieces, min(target, room), room, least)):
             text = "\n\n".join(t for _, t in g)
-            rows.append((key[0], key[1], k, pdf["section_type"].iloc[0], header, text, max(1, (len(header) + 2 + len(text)) // 4), list(dict.fromkeys(i for i, _ in g))))
-        return pd.DataFrame(rows, columns=["paper_id", "sec_ord", "k", "section_type", "header", "text", "n_tokens", "para_ids"])
+            out.append((paper, sec, k, section_type, header, text, max(1, (len(header) + 2 + len(text)) // 4), list(dict.fromkeys(i for i, _ in g))))
+        return out
 
-    packed = p.groupBy("paper_id", "sec_ord").applyInPandas(work, "paper_id string, sec_ord int, k int, section_type string, header string, text string, n_tokens int, para_ids array<string>")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sections one after the other: rows come sorted by them."""
+        rows: list[tuple] = []
+
+        def given(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done) if done else [[]] * len(kind), kind)], schema=kind)
+
+        for b in batches:
+            done: list[tuple] = []
+            for r in zip(*(b.column(c).to_pylist() for c in ("paper_id", "sec_ord", "id", "section_type", "header", "text"))):
+                if rows and rows[0][:2] != r[:2]:
+                    done += section(rows)
+                    rows = []
+                rows.append(r)
+            yield given(done)
+        if rows:
+            yield given(section(rows))
+
+    ordered = p.repartition("paper_id", "sec_ord").sortWithinPartitions("paper_id", "sec_ord", "par_ord", "par_uid")
+    packed = ordered.mapInArrow(work, "paper_id string, sec_ord int, k int, section_type string, header string, text string, n_tokens int, para_ids array<string>")
     return numbered(packed, "paper_id", ["sec_ord", "k"], "seq").drop("sec_ord", "k")
 
 
