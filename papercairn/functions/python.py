@@ -233,3 +233,20 @@ def text_similarity(a: Column, b: Column) -> Column:
         return pd.Series([similarity(x if isinstance(x, str) else None, y if isinstance(y, str) else None) for x, y in zip(a, b)], dtype=float)
 
     return F.pandas_udf(work, "double")(a, b)
+
+
+def edited(before: str | None, after: str | None) -> int:
+    """How many characters differ, line by line: per line the longer text less what both have in common in order; lines that
+    only one has count whole."""
+    a, b = (before or "").split("\n"), (after or "").split("\n")
+    n = sum(max(len(x), len(y)) - common_length(x, y) for x, y in zip(a, b) if x != y)
+    return n + sum(map(len, a[len(b) :])) + sum(map(len, b[len(a) :]))
+
+
+def edit_count(before: Column, after: Column) -> Column:
+    """edited() of two columns."""
+
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([edited(x if isinstance(x, str) else None, y if isinstance(y, str) else None) for x, y in zip(a, b)], dtype="int64")
+
+    return F.pandas_udf(count, "bigint")(before, after)

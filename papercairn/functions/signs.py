@@ -92,7 +92,8 @@ def printed_abstract(text: Column, limit: int = 6000) -> Column:
     behind = F.get(F.split(text, ABSTRACT_HEAD, 2), F.lit(1))
     body = F.substring(F.coalesce(behind, F.lit("")), 1, limit)
     first = F.get(F.split(body, ABSTRACT_STOP, 2), F.lit(0))
-    return X.collapse(F.trim(F.when((F.char_length(first) > 80) & (F.char_length(first) < F.char_length(body)), first).otherwise(body)))
+    part = F.when((F.char_length(first) > 80) & (F.char_length(first) < F.char_length(body)), first).otherwise(body)
+    return X.collapse(F.regexp_replace(part, r"^\s+|\s+$", ""))
 
 
 def foreign_scope(text: Column) -> Column:

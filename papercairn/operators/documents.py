@@ -243,6 +243,11 @@ def overlaid(unit: DataFrame, cache: DataFrame) -> DataFrame:
     return unit.join(c, ["paper_id", "key"], "left").select("paper_id", "key", F.when(good, F.col("other")).otherwise(F.col("text")).alias("text"), good.alias("translated"))
 
 
+def untranslated(unit: DataFrame, cache: DataFrame) -> DataFrame:
+    """Units (paper_id, key, text) that the cache (paper_id, key) doesn't have: what an incremental run has to do."""
+    return unit.join(cache.select("paper_id", "key").distinct(), ["paper_id", "key"], "left_anti")
+
+
 def repaired_symbols(paragraphs: DataFrame) -> DataFrame:
     """(paper_id, par_uid, text): paragraphs in which codes of a symbol font stand for signs, with the signs. A letter between
     digits is a point anywhere; equals and plus are put only in papers that show somewhere that their fractions are no

@@ -208,3 +208,22 @@ def discovered(candidates: DataFrame, items: DataFrame, foreign: DataFrame) -> D
     with another table, or that a neighbouring paper owns (foreign: paper_id, caption)."""
     c = candidates.filter("number IS NOT NULL").filter(~F.coalesce(F.col("caption"), F.lit("")).rlike(r"(?i)\bcont(inued|\.|d\.?)"))
     return c.join(items.select("paper_id", "number").distinct(), ["paper_id", "number"], "left_anti").join(foreign.select("paper_id", "caption").distinct(), ["paper_id", "caption"], "left_anti").distinct()
+
+
+def line_text(spans: DataFrame, body: float) -> DataFrame:
+    """(doc, ord, text, cited) of lines of spans (doc, ord, k, text, size, raised): what is raised or under 0.72 of the body's
+    size and holds figures only is a citation and comes out of the text. A line's spans are few."""
+    small = (F.coalesce("raised", F.lit(False)) | (F.col("size") < 0.72 * body)) & F.trim("text").rlike(r"^[\d,\s–-]+$")
+    put = lambda keep: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("k", "text", small.alias("s")))), lambda x: x["s"] == F.lit(not keep)), lambda x: x["text"]), "" if keep else ",")
+    return spans.groupBy("doc", "ord").agg(F.trim(put(True)).alias("text"), put(False).alias("cited"))
+
+
+def without_notes(rows: DataFrame) -> DataFrame:
+    """(table, row, note) for the rows (table, row, cells) of each table: note is set on those at its end that hold one cell
+    with a note's mark, an address or an abbreviation explained, and on none before a row that doesn't."""
+    filled = F.filter("cells", lambda c: F.trim(c) != "")
+    one = F.trim(F.get(filled, F.lit(0)))
+    sign = (F.size(filled) == 1) & (one.rlike(r"(?i)^(https?://|doi:|www\.)\S+$") | one.rlike(r"^[*†‡§¶]|^[a-z]\)?\s[A-Z]") | one.rlike(r"\b[A-Z]{2,6}\s?[,=:]\s"))
+    d = rows.withColumn("sign", sign)
+    last = d.groupBy("table").agg(F.coalesce(F.max(F.when(~F.coalesce("sign", F.lit(False)), F.col("row"))), F.lit(-1)).alias("last"))
+    return d.join(last, "table").select("table", "row", F.when(F.col("row") > F.col("last"), one).alias("note"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from papercairn.operators import captions, corpus, documents, joins, layout, matching, tables
+from papercairn.functions import python as P
+from papercairn.operators import captions, corpus, documents, joins, layout, matching, pages, tables
 from papercairn.plans.pages import _LINES_SQL, _TITLES_SQL, _lines, _titles
 from papercairn.plans.queries import _COMMON_SQL, _ROWS_SQL, query
 from papercairn.sources import files, sinks
@@ -107,6 +108,21 @@ def overlaid(spark: SparkSession, d: str) -> DataFrame:
     return documents.overlaid(units, cache)
 
 
+@query(f"WITH {_SOME_SQL} SELECT paper_id, par_uid AS key, text FROM so WHERE n % 3 = 2")
+def untranslated(spark: SparkSession, d: str) -> DataFrame:
+    """Units that no translation is kept of."""
+    u = _some(spark, d).select("paper_id", F.col("par_uid").alias("key"), "text", "n")
+    return documents.untranslated(u.drop("n"), u.filter("n % 3 < 2"))
+
+
+@query(f"WITH {_SOME_SQL} SELECT par_uid, CAST(CASE WHEN text = '' THEN 0 WHEN n % 2 = 0 THEN 1 ELSE 5 END AS BIGINT) AS edits FROM so")
+def edit_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of texts with a sign before them, or a line behind them."""
+    s = _some(spark, d)
+    after = F.when(F.col("text") == "", "").when(F.col("n") % 2 == 0, F.concat(F.lit("§"), "text")).otherwise(F.concat("text", F.lit("\nabcde")))
+    return s.select("par_uid", P.edit_count(F.col("text"), after).alias("edits"))
+
+
 # ---- matching --------------------------------------------------------------------------------------------------------
 
 _LISTS_SQL = """
@@ -233,3 +249,25 @@ def rule_parts(spark: SparkSession, d: str) -> DataFrame:
     """Rules of a page, parted at large gaps."""
     e = _edges(spark, d).withColumn("pos", F.floor(F.col("pos") / 2) * 2)
     return layout.large_gaps(e).select("doc_id", "page", F.col("pos").cast("long").alias("pos"), "part")
+
+
+@query(f"""WITH {_LINES_SQL} SELECT doc, ord, trim(trim(left(whole, 20)) || CASE WHEN n % 3 = 0 THEN ' mg12' ELSE '' END) AS text, CASE WHEN n % 2 = 0 THEN '12,13' ELSE '' END AS cited FROM l0""")
+def superscripts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of spans, with citations raised behind some and small letters behind others."""
+    n = F.col("n")
+    span = lambda k, t, size: F.struct(F.lit(k).alias("k"), t.alias("text"), F.lit(size).alias("size"))
+    spans = F.array(span(0, F.trim(F.left("whole", F.lit(20))), 10.0), span(1, F.when(n % 2 == 0, "12,13").otherwise(""), 6.0), span(2, F.when(n % 3 == 0, " mg12").otherwise(""), 6.0))
+    s = _lines(spark, d).select("doc", "ord", F.explode(F.filter(spans, lambda x: x["text"] != "")).alias("s")).select("doc", "ord", "s.*", F.lit(None).cast("boolean").alias("raised"))
+    every = _lines(spark, d).select("doc", "ord")
+    got = pages.line_text(s, 10.0)
+    return every.join(got, ["doc", "ord"], "left").select("doc", "ord", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("cited", F.lit("")).alias("cited"))
+
+
+@query(rf"""WITH {_ROWS_SQL}, a AS (SELECT table_uid, row, c FROM w UNION ALL SELECT table_uid, 1000 + k, CASE k WHEN 0 THEN ['* P below 0.05', ''] WHEN 1 THEN ['UVB, light of a kind', ''] ELSE ['', 'https://a.b/c'] END FROM (SELECT DISTINCT table_uid FROM w), (VALUES (0), (1), (2)) AS v(k) WHERE length(table_uid) + k > 0),
+o AS (SELECT *, list_filter(c, lambda x: trim(x) <> '') AS f FROM a), s AS (SELECT *, len(f) = 1 AND (regexp_matches(trim(f[1]), '(?i)^(https?://|doi:|www\.)\S+$') OR regexp_matches(trim(f[1]), '^[*†‡§¶]|^[a-z]\)?\s[A-Z]') OR regexp_matches(trim(f[1]), '\b[A-Z]{{2,6}}\s?[,=:]\s')) AS sign FROM o),
+z AS (SELECT table_uid, coalesce(max(CASE WHEN NOT coalesce(sign, false) THEN row END), -1) AS last FROM s GROUP BY table_uid) SELECT table_uid AS "table", CAST(row AS INT) AS row, CASE WHEN row > last THEN trim(f[1]) END AS note FROM s JOIN z USING (table_uid)""")
+def table_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows at the end of tables that are notes, three put to each."""
+    r = tables.grid(read(spark, d, "paper_tables")).groupBy(F.col("table_uid").alias("table"), "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]).alias("cells"))
+    notes = F.array(*[F.struct(F.lit(1000 + k).alias("row"), F.array(F.lit(a), F.lit(b)).alias("cells")) for k, (a, b) in enumerate((("* P below 0.05", ""), ("UVB, light of a kind", ""), ("", "https://a.b/c")))])
+    return pages.without_notes(r.unionByName(r.select("table").distinct().select("table", F.explode(notes).alias("x")).select("table", "x.*")))
