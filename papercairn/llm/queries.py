@@ -111,7 +111,7 @@ WITH t AS (SELECT DISTINCT 'paragraphs' AS tbl, par_uid AS id, text FROM paragra
   o AS (SELECT p.tbl, x, y FROM p JOIN n a ON a.tbl = p.tbl AND a.class = x JOIN n b ON b.tbl = p.tbl AND b.class = y WHERE common >= {threshold} * (a.n + b.n - common)),
   l AS (SELECT tbl, x, count(*) AS links FROM o GROUP BY ALL)
 {found}
-""".replace("\\p", "\p")
+"""
 
 
 SQL["p6_groups"], SQL["p6_classes"], SQL["p6_found"] = _classes_sql(5, 0.8), _classes_sql(3, 0.6), _classes_sql(3, 0.6, True)
