@@ -84,7 +84,11 @@ def aligned(items: DataFrame, printed: DataFrame, least: float = 80.0) -> DataFr
     return left.groupBy("paper_id").cogroup(right.groupBy("_paper")).applyInPandas(lambda a, b: work(a, b.rename(columns=lambda c: c[1:])), "paper_id string, uid string, pos int, by string")
 
 
-def table_pages(cells: DataFrame, pages: DataFrame, first: int = 14, least: int = 3) -> DataFrame:
+# Of a table so many values are looked for, and so many must stand on its page
+FIRST_VALUES, LEAST_VOTES = 14, 3
+
+
+def table_pages(cells: DataFrame, pages: DataFrame, first: int = FIRST_VALUES, least: int = LEAST_VOTES) -> DataFrame:
     """(paper_id, uid, page, votes): the page (paper_id, page, text) on which most of the first 14 values of a table (paper_id,
     uid, ord, value) stand as words, three at least; the earliest of equals. Joined on the values."""
     v = cells.filter(F.trim("value") != "").withColumn("n", F.row_number().over(W.partitionBy("paper_id", "uid").orderBy("ord"))).filter(F.col("n") <= first)
