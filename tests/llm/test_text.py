@@ -123,6 +123,24 @@ def test_frequent_damage_is_found(spark):
         assert sum(got.get(k) == t for k, t in mine) >= 0.9 * len(mine), kind
 
 
+def test_words_and_models_are_counted_over_all_texts(spark):
+    """Nine thousand texts, of which seven have a name; a text delivered again is the same text."""
+    rows = [f"The fold {i} was broad in the light." for i in range(9000)] + [f"Dr. Žilkuvar saw {i} of them." for i in range(7)]
+    n, found = encoding.counted(spark.createDataFrame([(t,) for t in [*rows, rows[-1]]], "t string"))
+    assert (n, found["Žilkuvar"], found["Ž"]) == (9007, 7, 7)
+
+    whole, made = encoding.Model(), []
+    whole.add(rows)
+    for some in (rows[:4000], rows[4000:]):
+        part = encoding.Model()
+        part.add(some)
+        made += list(encoding.parts("en", part))
+    table, alphabet, total = encoding.models(spark.createDataFrame(made, encoding._PARTS))["en"]
+    assert set(alphabet) == set("".join(rows[:10])) and abs(total - whole.fitted()[2]) < 10
+    # Only the runs across the place where the parts meet differ
+    assert abs(table - whole.table).sum() < 50
+
+
 RU = ["Лечение началось в мае и длилось три недели.", "Боль в колене прошла через несколько дней.", "Площадь пятна уменьшилась после мази."]
 EL = ["Η θεραπεία άρχισε τον Μάιο και κράτησε τρεις εβδομάδες.", "Ο πόνος στο γόνατο πέρασε μετά από λίγες μέρες.", "Η έκταση της κηλίδας μειώθηκε μετά την αλοιφή."]
 PL = ["Leczenie zaczęło się w maju i trwało trzy tygodnie, później ból ustąpił.", "Powierzchnia zmiany zmniejszyła się po maści, a świąd minął."]
