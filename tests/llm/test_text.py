@@ -141,6 +141,19 @@ def test_words_and_models_are_counted_over_all_texts(spark):
     assert abs(table - whole.table).sum() < 50
 
 
+def test_languages_described_together_or_alone():
+    models = {}
+    for name, texts in {"en": EN, "de": EN[7:], "fr": EN[:2], "es": EN[3:5], "it": EN[5:]}.items():
+        m = encoding.Model()
+        m.add(texts)
+        models[name] = m.fitted()
+    r = encoding.Restorer({}, 9, models, {})
+    for t in (EN[0], EN[7], "a\x96b \ufffd", "κ"):
+        whole = r.each(t)
+        assert all(abs(r.each(t, [n])[n] - bits) < 0.01 for n, bits in whole.items()) and len(whole) == 5
+    assert r.each(EN[7])["de"] < r.each(EN[7])["fr"]
+
+
 RU = ["Лечение началось в мае и длилось три недели.", "Боль в колене прошла через несколько дней.", "Площадь пятна уменьшилась после мази."]
 EL = ["Η θεραπεία άρχισε τον Μάιο και κράτησε τρεις εβδομάδες.", "Ο πόνος στο γόνατο πέρασε μετά από λίγες μέρες.", "Η έκταση της κηλίδας μειώθηκε μετά την αλοιφή."]
 PL = ["Leczenie zaczęło się w maju i trwało trzy tygodnie, później ból ustąpił.", "Powierzchnia zmiany zmniejszyła się po maści, a świąd minął."]
