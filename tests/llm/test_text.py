@@ -154,6 +154,29 @@ def test_languages_described_together_or_alone():
     assert r.each(EN[7])["de"] < r.each(EN[7])["fr"]
 
 
+def test_candidates_are_described_together(monkeypatch):
+    """A text has many candidates; they are looked up at once, and as long as each of them alone."""
+    models = {}
+    german = [f"Die Läsion {i} war größer als früher und über {i} Tage rückläufig, häufig am Fuß." for i in range(40)]
+    for name, texts in {"en": EN, "de": german, "fr": EN[:2]}.items():
+        m = encoding.Model()
+        m.add(texts)
+        models[name] = m.fitted()
+    found = encoding.Counter(u for t in german for u in encoding.units(t))
+    r = encoding.Restorer({c: n for c, n in found.items() if len(c) == 1}, 60, models, found)
+    bad = german[3].encode("cp1252").decode("mac_roman")
+    candidates = r.steps(bad)
+    assert german[3] in candidates and len(candidates) > 5
+    log2, calls = encoding.np.log2, []
+    monkeypatch.setattr(encoding.np, "log2", lambda *x: calls.append(1) or log2(*x))
+    assert r.restore(bad) == (german[3], 1, True)
+    assert len(calls) <= 2 + 3 * 4  # the text once, then a step at a time by four languages at most
+    pieces = [(t, names) for t in [*candidates, EN[0], "a\x96b \ufffd", "κ", "7·5"] for names in (("de",), ("de", "en", "fr"))]
+    r.lengths.clear()
+    r.describe(pieces)
+    assert all(abs(r.lengths[t, names] - min(r.each(t, names).values())) < 0.01 for t, names in pieces)
+
+
 RU = ["Лечение началось в мае и длилось три недели.", "Боль в колене прошла через несколько дней.", "Площадь пятна уменьшилась после мази."]
 EL = ["Η θεραπεία άρχισε τον Μάιο και κράτησε τρεις εβδομάδες.", "Ο πόνος στο γόνατο πέρασε μετά από λίγες μέρες.", "Η έκταση της κηλίδας μειώθηκε μετά την αλοιφή."]
 PL = ["Leczenie zaczęło się w maju i trwało trzy tygodnie, później ból ustąpił.", "Powierzchnia zmiany zmniejszyła się po maści, a świąd minął."]
