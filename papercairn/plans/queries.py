@@ -45,9 +45,10 @@ def golden(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "qid string, query string, anchor string, lang string, hard boolean, section_types array<string>")
 
 
-def indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the text that is indexed: embed_text, else header and text, in NFKC."""
-    c = read(spark, d, "chunks").dropDuplicates(["chunk_id"])
+def indexed(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """Chunks, or only those of some ids, with the text that is indexed: embed_text, else header and text, in NFKC."""
+    c = read(spark, d, "chunks")
+    c = (c if only is None else c.join(only, "chunk_id", "left_semi")).dropDuplicates(["chunk_id"])
     return c.withColumn("body", P.norm_text(F.coalesce("embed_text", F.concat("context_header", F.lit("\n"), "text"), "text")))
 
 
@@ -135,7 +136,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     c, v = indexed(spark, d), read(spark, d, "vectors")
     own = probes(spark, d)
     vectors = v.filter(F.size("vector") == 64).join(own, "chunk_id", "left_semi").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("qid"), "vector")
-    texts = c.join(own, "chunk_id", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("body").alias("query"))
+    texts = indexed(spark, d, own).select(F.col("chunk_id").alias("qid"), F.col("body").alias("query"))
     return retrieval.fuse(retrieval.dense(v, "chunk_id", "vector", vectors, 50), retrieval.bm25(c, "chunk_id", F.col("body"), texts, 50), "chunk_id", 8)
 
 
