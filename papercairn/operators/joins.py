@@ -219,10 +219,10 @@ def merged_references(printed: DataFrame, items: DataFrame) -> DataFrame:
     that none was printed of (listed), in this order."""
     pairs = paired(printed, items).select("paper_id", "pos", "item")
     q = items.select("paper_id", F.col("pos").alias("item"), F.col("title").alias("t"), F.col("year").alias("y"), F.col("doi").alias("d"))
-    p = printed.join(pairs, ["paper_id", "pos"], "left").join(q, ["paper_id", "item"], "left")
-    own = p.select("paper_id", "pos", F.coalesce("title", "t").alias("title"), F.coalesce("year", "y").alias("year"), F.coalesce("d", "doi").alias("doi"), F.when(F.col("item").isNull(), "parsed").otherwise("parsed+listed").alias("source"))
-    rest = q.join(pairs.select("paper_id", "item"), ["paper_id", "item"], "left_anti").select("paper_id", F.lit(None).cast("int").alias("pos"), F.col("t").alias("title"), F.col("y").alias("year"), F.col("d").alias("doi"), F.lit("listed").alias("source"))
-    return own.unionByName(rest)
+    # One join in full, so that lists are matched once
+    both = printed.join(pairs, ["paper_id", "pos"], "left").withColumn("_own", F.lit(True)).join(q, ["paper_id", "item"], "full")
+    source = F.when(F.col("_own").isNull(), "listed").when(F.col("item").isNull(), "parsed").otherwise("parsed+listed")
+    return both.select("paper_id", "pos", F.coalesce("title", "t").alias("title"), F.coalesce("year", "y").alias("year"), F.coalesce("d", "doi").alias("doi"), source.alias("source"))
 
 
 def filled_numbers(keys: DataFrame) -> DataFrame:

@@ -42,3 +42,11 @@ def test_long_lists_score_few_pairs(monkeypatch):
     cols.append({"pos": 5000, "title": titles[0][:-2], "year": 1990, "doi": None, "author": None, "journal": None})
     got = joins.one_to_one(rows, cols, set())
     assert len(got) == len(cols) and got[-1][:2] == (0, 5000) and len(scored) < 1000
+
+
+def test_merged_once(spark):
+    printed = spark.createDataFrame([("p", 1, "A title of some length", 2001, None, ""), (None, 1, "A title of some length", 2001, None, "")], "paper_id string, pos int, title string, year int, doi string, raw string")
+    items = spark.createDataFrame([("p", 7, "A title of some length", 2001, "10.1/a", None, None), ("p", 8, "Only listed here", 2002, None, None, None), (None, 7, "A title of some length", 2001, "10.1/a", None, None)], "paper_id string, pos int, title string, year int, doi string, author string, journal string")
+    got = joins.merged_references(printed, items)
+    assert got._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInPandas") <= 1
+    assert sorted([(r["paper_id"] or "", r["pos"] or 0, r["title"], r["doi"], r["source"]) for r in got.collect()]) == [("", 0, "A title of some length", "10.1/a", "listed"), ("", 1, "A title of some length", None, "parsed"), ("p", 0, "Only listed here", None, "listed"), ("p", 1, "A title of some length", "10.1/a", "parsed+listed")]
