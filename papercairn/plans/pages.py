@@ -11,7 +11,7 @@ from papercairn.functions import signs as S
 from papercairn.functions import text as X
 from papercairn.operators import captions, pages, references, retrieval
 from papercairn.plans.queries import _probe_queries, indexed, query
-from papercairn.tables import read
+from papercairn.tables import kept, read
 
 _LINES_SQL = """
 pg AS (SELECT DISTINCT ON (par_uid) paper_id AS doc, sec_ord AS page, par_uid, coalesce(text, '') AS whole, length(coalesce(text, '')) AS n FROM paragraphs WHERE paper_id IS NOT NULL),
@@ -382,12 +382,19 @@ def texts_without_journals(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def evaluation_variants(spark: SparkSession, d: str) -> DataFrame:
     """The probes' own papers as answers: vectors alone, words alone, and both, by hit@8 and mean reciprocal rank."""
-    c, v = indexed(spark, d), read(spark, d, "vectors")
-    q = _probe_queries(spark, d)
-    answers = c.join(q.select(F.col("qid").alias("chunk_id")), "chunk_id").groupBy(F.col("chunk_id").alias("qid")).agg(F.collect_set("paper_id").alias("anchors"))
+    c, q = indexed(spark, d), _probe_queries(spark, d)
+    answers = kept(indexed(spark, d, q.select(F.col("qid").alias("chunk_id"))).groupBy(F.col("chunk_id").alias("qid")).agg(F.collect_set("paper_id").alias("anchors")))
+    asked = q.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    # Each ranking once, for all variants
+    words = kept(retrieval.bm25(c, "chunk_id", F.col("body"), asked.select("qid", "query"), 50))
+    near = kept(retrieval.dense(read(spark, d, "vectors"), "chunk_id", "vector", asked.filter("vector IS NOT NULL").select("qid", "vector"), 50))
+    hits = None
+    for name, one, two in (("vectors", near, words.limit(0)), ("words", near.limit(0), words), ("both", near, words)):
+        part = retrieval.fuse(one, two, "chunk_id", 50).filter(F.col("qid") != F.col("chunk_id")).select("qid", "chunk_id", "rank", F.lit(name).alias("variant"))
+        hits = part if hits is None else hits.unionByName(part)
+    hits = kept(hits.join(c.select("chunk_id", "paper_id"), "chunk_id"))
     out = None
-    for name, options in (("vectors", {"vectors": v, "hybrid": False}), ("words", {}), ("both", {"vectors": v})):
-        hits = retrieval.search(c, "chunk_id", F.col("body"), q, 50, **options).filter(F.col("qid") != F.col("chunk_id")).join(c.select("chunk_id", "paper_id"), "chunk_id")
-        part = retrieval.evaluate(hits, answers, 8).withColumns({"variant": F.lit(name), "filter_ok": F.lit(None).cast("boolean")})
+    for name in ("vectors", "words", "both"):
+        part = retrieval.evaluate(hits.filter(F.col("variant") == name), answers, 8).withColumns({"variant": F.lit(name), "filter_ok": F.lit(None).cast("boolean")})
         out = part if out is None else out.unionByName(part)
     return retrieval.report(out, "variant")
